@@ -1,10 +1,14 @@
-"""Helpers that the training-data operators share: inputs, shared scratch tables, salted joins."""
+"""Helpers that the training-data operators share: inputs, shared scratch tables, slices of batches, prefix sums."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,8 +34,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
@@ -39,6 +43,7 @@ class Scratch:
         return reader.parquet(self.path(name))
 
     def drop(self, name: str) -> None:
+        """Removes a table that no returned DataFrame reads."""
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path(name))
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -48,39 +53,38 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def salted_left_join(
-    left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 8
-) -> DataFrame:
-    """Left join with a right side of one row a key, where one key may hold a large share of the left rows.
-
-    The left rows of a key are dealt over ``salts`` partitions by ``spread``; the right row is repeated as often.
-    """
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, "_salt"], "left").drop("_salt")
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text at most; a longer text stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).tolist()
+        begin = held = 0
+        for k, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(begin, k - begin)
+                begin, held = k, 0
+            held += n
+        yield batch.slice(begin)
 
 
 def prefix_sums(
-    df: DataFrame, order: Column, value: str, out: str, scratch: Scratch, rows_per_bucket: int = 100_000
+    df: DataFrame, order: list[Column], value: str, out: str, scratch: Scratch, rows_per_range: int = 100_000
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before, in ascending ``order`` (a unique key).
 
-    Rows are range-sorted; each range adds its total, and a running sum within a range is shifted by the
-    totals before it.  Only one row a range is ever gathered in one place.
+    Rows are range-sorted and written; each range adds its total, and a running sum within a range is shifted by
+    the totals before it.  Only one row a range is ever gathered in one place.
     """
-    n = max(1, -(-df.count() // rows_per_bucket))
-    ranged = df.withColumn("_order", order).repartitionByRange(n, "_order").sortWithinPartitions("_order")
-    ranged = scratch.put(ranged.withColumn("_range", F.spark_partition_id()), f"ranged-{uuid.uuid4().hex[:8]}")
-    from pyspark.sql import Window as W
-
+    names = [f"_order{k}" for k in range(len(order))]
+    n, tag = max(1, -(-df.count() // rows_per_range)), uuid.uuid4().hex[:8]
+    ranged = df.select("*", *(c.alias(k) for c, k in zip(order, names, strict=True))).repartitionByRange(n, *names)
+    ranged = scratch.put(ranged.withColumn("_range", F.spark_partition_id()), f"ranged-{tag}")
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
-    before = totals.select(
-        "_range", (F.sum("_total").over(W.orderBy("_range")) - F.col("_total")).alias("_before")
-    )
-    within = W.partitionBy("_range").orderBy("_order")
-    running = ranged.withColumn("_running", F.sum(value).over(within) - F.col(value))
-    return (
-        running.join(before, "_range", "left")
-        .withColumn(out, (F.col("_running") + F.col("_before")).cast("long"))
-        .drop("_range", "_order", "_running", "_before")
+    before = totals.select("_range", (F.sum("_total").over(W.orderBy("_range")) - F.col("_total")).alias("_before"))
+    within = W.partitionBy("_range").orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    running = ranged.withColumn("_running", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    shifted = running.join(before, "_range", "left")
+    return shifted.withColumn(out, (F.col("_running") + F.col("_before")).cast("long")).drop(
+        "_range", "_running", "_before", *names
     )

@@ -1,22 +1,27 @@
 """Whole-text encoding with a tokenizers file, fast for texts whose words repeat.
 
 The vocabulary splits at white space first and encodes each pre-token on its own, so a text's ids are the ids of
-its white-space-bounded segments in order.  Each distinct segment is encoded once by the tokenizers library and
-remembered in a bounded table; the result equals encoding the whole text (a test holds them together).
+its white-space-bounded segments in order.  Arrow splits a batch of whole texts and numbers its distinct segments;
+each distinct segment is encoded by the tokenizers library and remembered in a bounded table.  The result equals
+encoding each whole text in one call (a test holds them together, offsets included).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Separators that str.split() takes and the vocabulary's white-space rule does not.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_WORD = re.compile(r"([(\[{\"#$%&*+,\-./:;=>?@!~^_`|\])}]*)([^\W\d_]*)([(\[{\"#$%&*+,\-./:;=>?@!~^_`|\])}]*)")
+#: White space of the vocabulary's rule outside of ASCII; each is one character, as the blank put in its place.
+_WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SIGNS = r"[(\[{\"#$%&*+,\-./:;=>?@!~^_`|\])}]*"
+_WORD = re.compile(rf"({_SIGNS})([^\W\d_]*)({_SIGNS})")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -26,10 +31,45 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+@dataclass
+class Encoded:
+    """Ids of many texts end to end; text k has ids[starts[k]:starts[k + 1]] and segments[k]:segments[k + 1]."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    codes: np.ndarray  # of each segment, its place in words
+    segments: np.ndarray
+    words: list[str]
+    counts: np.ndarray  # ids of each word
+
+    def ends_of_segments(self) -> np.ndarray:
+        return np.cumsum(self.counts[self.codes])
+
+
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes of the white-space-bounded segments, where each text's begin, and the distinct segments."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring_regex(texts, _WIDE_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, _WIDE_SPACE, " ")
+    parts = pc.ascii_split_whitespace(texts)
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(full)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    numbered = flat.filter(pa.array(full)).dictionary_encode()
+    words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return numbered.indices.to_numpy(zero_copy_only=False), at, words
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of the runs starts[k]:starts[k] + lengths[k], end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class SegmentEncoder(dict):
-    """segment -> ids as little-endian unsigned 32-bit bytes; ``encode`` joins them for a whole text."""
+    """segment -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         super().__init__()
         self._library = Tokenizer.from_file(path)
         self._model, self._most, self._parts = self._library.model, most, {}
@@ -43,10 +83,10 @@ class SegmentEncoder(dict):
         got = self._parts.get(part)
         if got is None:
             if part.isascii() and part.isalpha():
-                got = np.array([t.id for t in self._model.tokenize(part)], np.uint32).tobytes()
+                got = array("I", [t.id for t in self._model.tokenize(part)]).tobytes()
             elif part.isalpha() and max(part) < "ɐ" and unicodedata.is_normalized("NFC", part):
                 letters = "".join(map(self._letters.__getitem__, part.encode()))
-                got = np.array([t.id for t in self._model.tokenize(letters)], np.uint32).tobytes()
+                got = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
             else:
                 got = self._by_library(part)
             if len(self._parts) >= self._most:
@@ -55,39 +95,127 @@ class SegmentEncoder(dict):
         return got
 
     def __missing__(self, segment: str) -> bytes:
-        m = _WORD.fullmatch(segment)
-        if m and len(segment) < 60:
-            head, core, tail = m.groups()
-            if core:
-                low = "".join(c.lower() for c in core)
-                if low.isalpha():
-                    ids = (self._part(head) if head else b"") + self._part(low) + (self._part(tail) if tail else b"")
-                else:
-                    ids = self._by_library(segment)
-            else:
-                ids = self._by_library(segment)
+        m = _WORD.fullmatch(segment) if len(segment) < 60 else None
+        # lower() looks at a letter's neighbours for these two only; the library lowers each letter alone
+        core = m[2].lower() if m and "Σ" not in segment and "İ" not in segment else ""
+        if core.isalpha():
+            ids = (self._part(m[1]) if m[1] else b"") + self._part(core) + (self._part(m[3]) if m[3] else b"")
         else:
             ids = self._by_library(segment)
-        if len(self) >= self._most:
-            self.clear()
         if len(segment) < 60:
+            if len(self) >= self._most:
+                self.clear()
             self[segment] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in _NOT_SPACE):
-            return b"".join(map(self.__getitem__, (s for s in _SPACE.split(text) if s)))
-        return b"".join(map(self.__getitem__, text.split()))
+    def encode_many(self, texts: pa.Array) -> Encoded:
+        codes, segments, words = split_texts(texts)
+        found = [self[w] for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(counts) - counts
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        each = counts[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return Encoded(pool[ragged(begins[codes], each)], ends[segments], codes, segments, words, counts)
 
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many(pa.array([text])).ids
 
-_ENCODERS: dict[str, SegmentEncoder] = {}
 
+class OffsetEncoder(dict):
+    """segment -> character places, in the segment, where its tokens start and end (two rows)."""
 
-def encoder(path: str) -> SegmentEncoder:
+    def __init__(self, path: str, most: int = 500_000):
+        super().__init__()
+        self._library = Tokenizer.from_file(path)
+        self._model, self._most, self._parts = self._library.model, most, {}
+        self._letters = _byte_letters()
+
+    def _core(self, core: str) -> list[tuple[int, int]]:
+        """Spans of one run of Latin letters; a token that begins within a letter's bytes starts at that letter."""
+        if core.isascii():
+            return [t.offsets for t in self._model.tokenize(core)]
+        letters = "".join(map(self._letters.__getitem__, core.encode()))
+        place = [k for k, c in enumerate(core) for x in c.encode() for _ in range(1 if x < 128 else 2)]
+        return [(place[a], place[b - 1] + 1) for a, b in (t.offsets for t in self._model.tokenize(letters))]
+
+    def _signs(self, part: str) -> list[tuple[int, int]]:
+        if part not in self._parts:
+            if len(self._parts) >= self._most:
+                self._parts.clear()
+            self._parts[part] = self._library.encode(part, add_special_tokens=False).offsets
+        return self._parts[part]
+
+    def __missing__(self, segment: str) -> np.ndarray:
+        m = _WORD.fullmatch(segment) if len(segment) < 60 and "Σ" not in segment and "İ" not in segment else None
+        core = m[2].lower() if m else ""
+        if core.isalpha() and max(core) < "ɐ" and unicodedata.is_normalized("NFC", core):
+            a, b = m.span(2)
+            spans = self._signs(m[1]) if a else []
+            spans = [*spans, *((x + a, y + a) for x, y in self._core(core))]
+            spans += [(x + b, y + b) for x, y in self._signs(m[3])] if m[3] else []
+        else:
+            spans = self._library.encode(segment, add_special_tokens=False).offsets
+        got = np.array(spans, np.int32).reshape(-1, 2)
+        if len(segment) < 60:
+            if len(self) >= self._most:
+                self.clear()
+            self[segment] = got
+        return got
+
+    def spans_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Character spans of all tokens end to end (two columns), and where each text's tokens begin."""
+        codes, segments, words = split_texts(texts)
+        found = [self[w] for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        pool = np.concatenate([np.empty((0, 2), np.int32), *found])
+        each = counts[codes]
+        spans = pool[ragged((np.cumsum(counts) - counts)[codes], each)].astype(np.int64)
+        spans += np.repeat(segment_places(texts), each)[:, None]
+        return spans, np.concatenate([[0], np.cumsum(each)])[segments]
+
+
+def segment_places(texts: pa.Array) -> np.ndarray:
+    """The character of its text at which each white-space-bounded segment starts, for all texts end to end."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring_regex(texts, _WIDE_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, _WIDE_SPACE, " ")
+    raw, at = flat_bytes(texts)
+    lead = (raw & 0xC0) != 0x80
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    before = np.concatenate([[True], space[:-1]])
+    before[at[:-1][at[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(~space & before)
+    chars = np.cumsum(lead) - lead
+    owner = np.searchsorted(at, starts, "right") - 1
+    return chars[starts] - chars[at[owner]] if len(starts) else starts
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts end to end, and where each begins (one more entry than texts)."""
+    texts = texts.cast(pa.large_string()) if not pa.types.is_large_binary(texts.type) else texts
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    body = texts.buffers()[2]
+    raw = np.frombuffer(body, np.uint8) if body is not None and body.size else np.empty(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+_KEPT: dict[tuple, dict] = {}
+
+
+def _kept(kind: type, path: str):
     """One encoder a Python worker, kept over its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = SegmentEncoder(path)
-    return _ENCODERS[path]
+    if (kind, path) not in _KEPT:
+        _KEPT[kind, path] = kind(path)
+    return _KEPT[kind, path]
+
+
+def encoder(path: str) -> SegmentEncoder:
+    return _kept(SegmentEncoder, path)
+
+
+def offset_encoder(path: str) -> OffsetEncoder:
+    return _kept(OffsetEncoder, path)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
