@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def text_key(name: str = "text") -> Column:
+    """128 bits of the text's SHA-256, to join by in place of the text."""
+    return F.unhex(F.substring(F.sha2(text_or_empty(name), 256), 1, 32))
+
+
 class Scratch:
     """Intermediate tables in the shared folder; they cut lineage and survive lost executors."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import Scratch, slices, text_or_empty
+from tidebar.llm.common import Scratch, slices, text_key, text_or_empty
 from tidebar.llm.components import components
 from tidebar.llm.encoder import split_texts
 
@@ -191,15 +191,16 @@ def jaccard_join(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_docs: int = 1500,
     block_bytes: int = 32_000_000,
 ) -> DataFrame:
-    """One row a document: doc_id, class_id, n_links, n_copies.
+    """One row a document: doc_id, class_id, n_links, n_copies, text_key, kept.
 
-    ``class_id`` is the least doc_id of all documents that chains of links join; ``n_links`` counts the different
+    ``class_id`` is the least doc_id of all documents that chains of links join (null where none has one), and
+    ``kept`` marks the document of that id, of the least text_key where texts share it; ``n_links`` counts the different
     texts with a similarity of ``threshold`` or more, ``n_copies`` the documents of the same text, itself included.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     exact = Fraction(threshold).limit_denominator(10_000)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select(
-        "doc_id", "text", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("text_hash"),
+        "doc_id", "text", text_key().alias("text_hash"),
         F.octet_length("text").cast("long").alias("n_bytes"),
     )
     work = _signatures(n, *choose_bands(float(exact), recall))
@@ -235,6 +236,13 @@ def jaccard_join(
     degree = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     placed = classes.select("node", "text_hash", "rep_id", "n_copies").join(joined, "node", "left").join(degree, "node", "left")
     placed = scratch.put(placed.withColumn("root", F.coalesce("root", "node")), "placed")
-    named = placed.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    found = placed.join(named, "root").select("text_hash", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return signed.select("doc_id", "text_hash").join(found, "text_hash").select("doc_id", "class_id", "n_links", "n_copies")
+    first = F.struct(F.isnull("rep_id").alias("no_id"), "rep_id", "text_hash")
+    named = placed.groupBy("root").agg(F.min(first).alias("first"))
+    found = placed.join(named, "root").select(
+        "text_hash", F.col("first.rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "n_copies", (F.col("text_hash") == F.col("first.text_hash")).alias("is_first"),
+    )
+    kept = F.col("is_first") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return signed.select("doc_id", "text_hash").join(found, "text_hash").select(
+        "doc_id", "class_id", "n_links", "n_copies", F.col("text_hash").alias("text_key"), kept.alias("kept")
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import Scratch, prefix_sums, text_or_empty
+from tidebar.llm.common import Scratch, prefix_sums, text_key, text_or_empty
 
 #: Runs of characters that are no ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -49,15 +49,15 @@ def targets(sources: DataFrame, share: float, cap: float, weights: tuple[int, ..
 def mix(
     docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: str = "mix"
 ) -> DataFrame:
-    """One row a document: row, doc_id, source, size, source_size, target, taken, served (words of each pass), finish.
+    """One row a document: row, doc_id, text_key, source, size, source_size, target, taken, served, finish.
 
     ``finish`` is the virtual time at which its first pass ends; ``served`` has the words that the mix takes in
-    each pass.  Rows of a source are range-sorted with those of all sources, so no source meets in one task.
+    each pass.  Rows of one doc_id are served by their texts, and equal ones as they are stored.  Rows of a source are range-sorted with those of all sources, so no source meets in one task.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"),
+        F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), text_key().alias("text_key"),
     )
     sized = scratch.put(sized, "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -72,7 +72,8 @@ def mix(
     )
     order = [
         F.col("source").isNull(), F.hex(F.encode("source", "UTF-8")),
-        F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), F.col("row"),
+        F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), F.col("text_key"),
+        F.col("row"),
     ]
     queued = prefix_sums(sized, order, "size", "_all", scratch)
     both = queued.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
@@ -82,7 +83,7 @@ def mix(
         for k in range(int(-(-cap // 1)))
     ]
     return both.select(
-        "row", "doc_id", "d.source", "size", "source_size", "target", sum(passes[1:], passes[0]).alias("taken"),
+        "row", "doc_id", "text_key", "d.source", "size", "source_size", "target", sum(passes[1:], passes[0]).alias("taken"),
         F.array(*passes).alias("served"),
         F.when(F.col("target") > 0, (before + F.col("size")) / F.col("target")).alias("finish"),
     )

@@ -198,6 +198,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; nothing is exchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(shared.value.scores(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     """Whether a row's label is kept from training: by the CRC-32 of the doc_id as text."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
