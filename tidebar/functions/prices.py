@@ -49,6 +49,13 @@ def impact_bps(k: float, sigma_bps: Column, participation: Column) -> Column:
     return F.lit(k) * sigma_bps * F.sqrt(participation)
 
 
+def closure_kelly(mu: Column, variance: Column, most: float) -> Column:
+    """The fraction that grows fastest, for a lognormal law of the horizon's log return, at most ``most`` either way."""
+    m1, m2 = F.exp(mu + variance / 2), F.exp(2 * mu + 2 * variance)
+    f = F.try_divide(m1 - 1, m2 - 2 * m1 + 1)
+    return F.least(F.greatest(f, F.lit(-most)), F.lit(most))
+
+
 def dof(prev: Column, o: Column, h: Column, low: Column, c: Column, volume: Column, usual: Column) -> dict[str, Column]:
     """A bar by five free coordinates: r, s, u, v, w.
 
