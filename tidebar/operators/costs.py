@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions import prices as P
-from tidebar.operators.momentum import BY
+from tidebar.operators.momentum import by
 
 DAY_MS = 86_400_000
 
@@ -25,11 +25,11 @@ def measured(bars: DataFrame, res_ms: int, per_day: float, least_pairs: int = 64
     can't be measured is null.
     """
     good = bars.where("low > 0 AND high >= low AND close > 0").withColumn("month", month_index(F.col("ts_ms")))
-    lead = lambda c: F.lead(c).over(BY)
+    lead = lambda c: F.lead(c).over(by())
     paired = (lead("ts_ms") - F.col("ts_ms")) == res_ms
-    joined_before = (F.col("ts_ms") - F.lag("ts_ms").over(BY)) == res_ms
+    joined_before = (F.col("ts_ms") - F.lag("ts_ms").over(by())) == res_ms
     c = {k: F.col(k) for k in ("close", "high", "low")}
-    own = F.ln(c["close"] / F.lag("close").over(BY))
+    own = F.ln(c["close"] / F.lag("close").over(by()))
     found = good.withColumns(
         {
             "_alpha": F.when(paired, P.corwin_schultz_alpha(c["high"], c["low"], lead("high"), lead("low"))),

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.folds import ema, recurrence
 
-BY = W.partitionBy("symbol").orderBy("ts_ms")
+def by():
+    return W.partitionBy("symbol").orderBy("ts_ms")
 
 
 def rows(first: int, last: int):
-    return BY.rowsBetween(first, last)
+    return by().rowsBetween(first, last)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -21,11 +22,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def index() -> Column:
     """A bar's place in its symbol, from 0; warm-up thresholds are places, not frame sizes."""
-    return F.row_number().over(BY) - 1
+    return F.row_number().over(by()) - 1
 
 
 def log_return(column: str = "close") -> Column:
-    return F.ln(F.col(column) / F.lag(column).over(BY))
+    return F.ln(F.col(column) / F.lag(column).over(by()))
 
 
 def with_log_returns(bars: DataFrame) -> DataFrame:
@@ -34,12 +35,12 @@ def with_log_returns(bars: DataFrame) -> DataFrame:
 
 def differences(column: str = "close") -> Column:
     """The change from the bar before; before the first bar there was 100."""
-    return F.col(column) - F.lag(column, 1, 100.0).over(BY)
+    return F.col(column) - F.lag(column, 1, 100.0).over(by())
 
 
 def expanding_range() -> Column:
     """(highest high - lowest low so far) / close."""
-    whole = BY.rowsBetween(W.unboundedPreceding, 0)
+    whole = by().rowsBetween(W.unboundedPreceding, 0)
     return (F.max("high").over(whole) - F.min("low").over(whole)) / F.col("close")
 
 
@@ -51,10 +52,10 @@ def price_normals() -> Column:
 def momentum(bars: DataFrame) -> DataFrame:
     """mom_5, mom_60, mom_120, mom_accel, rsi, trend_strength, range_pos, stoch_k, zscore, vol_adj_mom, efficiency."""
     p = F.col("close")
-    found = bars.withColumn("_i", index()).withColumn("_d", p - F.lag("close").over(BY))
-    back = lambda k, bound: F.when(F.col("_i") >= k, clamp(p / F.lag("close", k).over(BY) - 1, -bound, bound)).otherwise(0.0)
+    found = bars.withColumn("_i", index()).withColumn("_d", p - F.lag("close").over(by()))
+    back = lambda k, bound: F.when(F.col("_i") >= k, clamp(p / F.lag("close", k).over(by()) - 1, -bound, bound)).otherwise(0.0)
     found = found.withColumns({"mom_5": back(5, 0.5), "mom_60": back(60, 1.0), "mom_120": back(120, 2.0)})
-    accel = clamp(F.col("mom_5") - F.lag("mom_5", 5).over(BY), -0.2, 0.2)
+    accel = clamp(F.col("mom_5") - F.lag("mom_5", 5).over(by()), -0.2, 0.2)
     up, down = F.greatest("_d", F.lit(0.0)), F.greatest(-F.col("_d"), F.lit(0.0))
     f14, f20 = rows(-13, 0), rows(-19, 0)
     gains, losses = F.sum(up).over(f14), F.greatest(F.sum(down).over(f14), F.lit(1e-10))
@@ -64,7 +65,7 @@ def momentum(bars: DataFrame) -> DataFrame:
     place = (p - low) / F.greatest(high - low, F.lit(1e-10))
     mean, sd = F.avg("close").over(f20), F.stddev_pop("close").over(f20)
     floored = F.greatest(sd, F.lit(1e-10))
-    ago = F.lag("close", 20).over(BY)
+    ago = F.lag("close", 20).over(by())
     path = F.greatest(F.sum(F.abs("_d")).over(f20), F.lit(1e-10))
     late = lambda k, x, default: F.when(F.col("_i") >= k, x).otherwise(default)
     return found.withColumns(
@@ -96,7 +97,7 @@ def macd_plain(bars: DataFrame) -> DataFrame:
 
 def rsi_ema(bars: DataFrame, alpha: float = 1 / 14) -> DataFrame:
     """100 * up / (up + down) of exponential means of gains and losses; the first difference counts as 1."""
-    first = F.lag("close").over(BY).isNull()
+    first = F.lag("close").over(by()).isNull()
     d = F.when(first, 1.0).otherwise(differences())
     found = bars.withColumn("_up", F.greatest(d, F.lit(0.0))).withColumn("_down", F.greatest(-d, F.lit(0.0)))
     found = ema(found, "_up", {"_gain": alpha})
@@ -132,14 +133,14 @@ def rolling_sharpe(bars: DataFrame, width: int = 100, per_year: float = 252 * 78
 
 def drawdown(bars: DataFrame, column: str = "close") -> DataFrame:
     """Running peak and the fall from it."""
-    peak = F.max(column).over(BY.rowsBetween(W.unboundedPreceding, 0))
+    peak = F.max(column).over(by().rowsBetween(W.unboundedPreceding, 0))
     return bars.withColumn("peak", peak).withColumn("drawdown", 1 - F.col(column) / peak)
 
 
 def volume_reference(bars: DataFrame, span: int = 20) -> DataFrame:
     """Adds ema_volume: the exponential mean of the volumes before each bar; the first bar has its own."""
     found = ema(bars, "volume", {"_after": 2 / (span + 1)})
-    return found.withColumn("ema_volume", F.coalesce(F.lag("_after").over(BY), F.col("volume"))).drop("_after")
+    return found.withColumn("ema_volume", F.coalesce(F.lag("_after").over(by()), F.col("volume"))).drop("_after")
 
 
 def gae(steps: DataFrame, gamma: float = 0.995, trace: float = 0.95) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.operators.momentum import BY
+from tidebar.operators.momentum import by
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def returns(bars: DataFrame) -> DataFrame:
     clock = bars.select("ts_ms").distinct()
     # instants are few next to bars, but are numbered by one window all the same
     clock = clock.select("ts_ms", (F.row_number().over(W.orderBy("ts_ms")) - 1).alias("t"), F.lag("ts_ms").over(W.orderBy("ts_ms")).alias("_tick"))
-    own = bars.withColumn("_prev", F.lag("ts_ms").over(BY)).withColumn("_close", F.lag("close").over(BY)).join(clock, "ts_ms")
+    own = bars.withColumn("_prev", F.lag("ts_ms").over(by())).withColumn("_close", F.lag("close").over(by())).join(clock, "ts_ms")
     kept = own.where("_prev = _tick AND close > 0 AND _close > 0")
     return kept.select("t", "ts_ms", "symbol", F.ln(F.col("close") / F.col("_close")).alias("realized_r"), "close")
 
@@ -70,7 +70,7 @@ def panel_backtest(panel: DataFrame, weight: str, cost_bps: float) -> DataFrame:
 
 def equal_weight_benchmark(bars: DataFrame, cash: float = 10_000.0) -> DataFrame:
     """Equal amounts of every name bought at its second bar's open, marked at closes; ``cash`` at the first step."""
-    found = bars.withColumn("step", F.row_number().over(BY) - 1).withColumn("_entry", F.when(F.col("step") == 1, F.col("open")))
+    found = bars.withColumn("step", F.row_number().over(by()) - 1).withColumn("_entry", F.when(F.col("step") == 1, F.col("open")))
     entry = found.where("step = 1").select("symbol", F.col("open").alias("_open"))
     n = entry.agg(F.count("*").alias("_n"))
     held = found.drop("_entry").join(entry, "symbol").join(F.broadcast(n))

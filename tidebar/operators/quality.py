@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.operators.joins import near
-from tidebar.operators.momentum import BY, index, log_return
+from tidebar.operators.momentum import by, index, log_return
 
 DAY_MS = 86_400_000
 
@@ -21,8 +21,8 @@ def usable(bars: DataFrame, completed_before_ms: int, res_ms: int) -> DataFrame:
 
 def marked(bars: DataFrame, hole_days: float = 14, jump: float = 2 * 0.6931471805599453) -> DataFrame:
     """Adds i, gap_ms, r, and kind: splice (after a hole), tick (the next bar gives it back), jump, or null."""
-    r, later = log_return(), F.lead("close").over(BY)
-    found = bars.withColumn("i", index()).withColumn("r", r).withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(BY))
+    r, later = log_return(), F.lead("close").over(by())
+    found = bars.withColumn("i", index()).withColumn("r", r).withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(by()))
     found = found.withColumn("_next", F.ln(later / F.col("close")))
     extreme = F.abs("r") > jump
     back = F.coalesce(F.abs(F.col("r") + F.col("_next")) < 0.5 * F.abs("r"), F.lit(False))
@@ -48,8 +48,8 @@ def rates(census: DataFrame) -> DataFrame:
 
 def discontinuities(bars: DataFrame, gap_days: float = 5, ratio: float = 4.0) -> DataFrame:
     """Bars after a gap of days or a price change beyond 1/ratio..ratio, with the severity of the break."""
-    found = bars.withColumn("i", index()).withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(BY))
-    found = found.withColumn("ratio", F.col("close") / F.lag("close").over(BY))
+    found = bars.withColumn("i", index()).withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(by()))
+    found = found.withColumn("ratio", F.col("close") / F.lag("close").over(by()))
     broken = (F.col("gap_ms") >= gap_days * DAY_MS) | (F.col("ratio") > ratio) | (F.col("ratio") < 1 / ratio)
     return found.where(broken).withColumn("severity", F.col("gap_ms") / DAY_MS + F.abs(F.ln("ratio")))
 
@@ -57,7 +57,7 @@ def discontinuities(bars: DataFrame, gap_days: float = 5, ratio: float = 4.0) ->
 def seams(bars: DataFrame, splits: DataFrame, within: int = 3) -> DataFrame:
     """Extreme moves that are real breaks: not a tick, not the leg back from one, not near a split of the symbol."""
     found = marked(bars)
-    recovery = F.coalesce((F.lag("kind").over(BY) == "tick"), F.lit(False))
+    recovery = F.coalesce((F.lag("kind").over(by()) == "tick"), F.lit(False))
     found = found.withColumn("_leg", recovery).where("kind IN ('splice', 'jump') AND NOT _leg").drop("_leg")
     dated = found.withColumn("_day", F.date_from_unix_date(F.floor(F.col("ts_ms") / DAY_MS).cast("int")))
     excused = near(dated.select("symbol", "ts_ms", "_day"), splits, ["symbol"], "_day", "date", within)

@@ -35,7 +35,7 @@ class Account:
             quantity = -min(-quantity, self.quantities.get(symbol, 0.0))
         if abs(quantity) * price < least:
             return 0.0
-        self.cash -= quantity * price + abs(quantity) * self.commission
+        self.cash = max(self.cash - quantity * price - abs(quantity) * self.commission, 0.0)
         self.quantities[symbol] = self.quantities.get(symbol, 0.0) + quantity
         return abs(quantity) * price
 

@@ -124,7 +124,7 @@ def rebalanced_backtest(spark: SparkSession, sf: str) -> DataFrame:
         FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def trailing_dollars(spark: SparkSession, sf: str) -> DataFrame:
-    before = M.BY.rowsBetween(W.unboundedPreceding, -1)
+    before = M.by().rowsBetween(W.unboundedPreceding, -1)
     dollars = F.round(F.sum(F.col("close") * F.col("volume")).over(before), 4)
     return bars(spark, sf).select("symbol", "ts_ms", F.count("*").over(before).alias("bars"), dollars.alias("dollars"))
 
@@ -157,7 +157,7 @@ def quantile_bands(spark: SparkSession, sf: str) -> DataFrame:
         SELECT symbol, round(1 - var_pop(guess - close) / var_pop(close), 6) AS explained FROM p WHERE guess IS NOT NULL GROUP BY 1""",
 )
 def explained_variance(spark: SparkSession, sf: str) -> DataFrame:
-    own = bars(spark, sf).withColumn("guess", F.lag("close").over(M.BY)).where("guess IS NOT NULL")
+    own = bars(spark, sf).withColumn("guess", F.lag("close").over(M.by())).where("guess IS NOT NULL")
     share = F.try_divide(F.var_pop(F.col("guess") - F.col("close")), F.var_pop("close"))
     return own.groupBy("symbol").agg(r6(1 - share).alias("explained"))
 

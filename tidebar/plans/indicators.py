@@ -313,7 +313,7 @@ def gae(spark: SparkSession, sf: str) -> DataFrame:
     numbered = bars(spark, sf).withColumn("t", M.index().cast("long"))
     steps = numbered.select(
         F.col("symbol").alias("env"), "t", F.coalesce(M.log_return(), F.lit(0.0)).alias("reward"),
-        (F.col("close") / 100).alias("value"), F.coalesce(F.lead("close").over(M.BY) / 100, F.lit(0.0)).alias("next_value"),
+        (F.col("close") / 100).alias("value"), F.coalesce(F.lead("close").over(M.by()) / 100, F.lit(0.0)).alias("next_value"),
         (F.col("t") % 97 == 96).alias("terminated"), (F.col("t") % 41 == 40).alias("truncated"),
     )
     return M.gae(steps).select("env", "t", r6("advantage").alias("advantage"), r6("value_target").alias("value_target"))

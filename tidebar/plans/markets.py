@@ -39,7 +39,7 @@ COST_BASE = f"""{BARS}, pairs AS (
         round(ar, 6) AS ar_moment FROM estimates WHERE paired""",
 )
 def spread_estimators(spark: SparkSession, sf: str) -> DataFrame:
-    lead = lambda c: F.lead(c).over(M.BY)
+    lead = lambda c: F.lead(c).over(M.by())
     found = bars(spark, sf).withColumns(
         {
             "alpha": P.corwin_schultz_alpha(F.col("high"), F.col("low"), lead("high"), lead("low")),
@@ -209,7 +209,7 @@ _METRICS = ("total_return", "max_drawdown", "sharpe", "sortino", "calmar", "win_
 
 
 def equity(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", "ts_ms", (10_000.0 * F.col("close") / F.first("close").over(M.BY)).alias("value"))
+    return bars(spark, sf).select("symbol", "ts_ms", (10_000.0 * F.col("close") / F.first("close").over(M.by())).alias("value"))
 
 
 @query(
@@ -347,7 +347,7 @@ DOF = f"""dofs AS (
 
 
 def dofs(spark: SparkSession, sf: str) -> DataFrame:
-    own = M.volume_reference(bars(spark, sf)).withColumn("prev", F.lag("close").over(M.BY)).where("prev IS NOT NULL")
+    own = M.volume_reference(bars(spark, sf)).withColumn("prev", F.lag("close").over(M.by())).where("prev IS NOT NULL")
     return own.withColumns(P.dof(*(F.col(c) for c in ("prev", "open", "high", "low", "close", "volume", "ema_volume"))))
 
 
@@ -379,7 +379,7 @@ def dof_decode(spark: SparkSession, sf: str) -> DataFrame:
 )
 def time_ids(spark: SparkSession, sf: str) -> DataFrame:
     own = bars(spark, sf)
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(M.BY)
+    gap = F.col("ts_ms") - F.lag("ts_ms").over(M.by())
     ids = P.time_ids(F.col("ts_ms"))
     return own.withColumns(ids | {"elapsed": P.elapsed_bucket(gap, HOUR)}).select("symbol", "ts_ms", "et_minute", "et_weekday", "et_session", "elapsed")
 
@@ -393,7 +393,7 @@ RETURNS = f"""{BARS}, simple AS (SELECT (close / lag(close) OVER (PARTITION BY s
     f"""WITH {RETURNS} SELECT least(floor((x - a) / (b - a) * 50), 49)::INTEGER AS bin, count(*) AS n FROM simple, ends WHERE x IS NOT NULL GROUP BY 1""",
 )
 def returns_hist(spark: SparkSession, sf: str) -> DataFrame:
-    x = (F.col("close") / F.lag("close").over(M.BY) - 1) * 100
+    x = (F.col("close") / F.lag("close").over(M.by()) - 1) * 100
     return B.histogram(bars(spark, sf).select(x.alias("x")).where("x IS NOT NULL"), "x", 50)
 
 
@@ -420,7 +420,7 @@ def bin_masses(spark: SparkSession, sf: str) -> DataFrame:
         SELECT a.k::INTEGER AS k1, b.k::INTEGER AS k2, round((ln(b.k) - ln(a.k)) / (ln(b.x) - ln(a.x)), 6) AS slope FROM picked a JOIN picked b ON a.k < b.k""",
 )
 def tail_slopes(spark: SparkSession, sf: str) -> DataFrame:
-    x = (F.col("close") / F.lag("close").over(M.BY) - 1) * 100
+    x = (F.col("close") / F.lag("close").over(M.by()) - 1) * 100
     found = B.tail_slopes(bars(spark, sf).select(F.abs(x).alias("x")).where("x > 0"), "x", (10, 30, 100, 300))
     return found.withColumn("slope", r6("slope"))
 

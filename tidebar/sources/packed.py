@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 # fixed values of the file format
 MAGIC, VERSION = b"TBBARS01", 1
-HEADER = struct.Struct("<8sIIQqq24s")
+HEADER = "<8sIIQqq24s"
+HEADER_BYTES = struct.calcsize(HEADER)
 RECORD = np.dtype(
     [("ts_ms", "<i8"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("volume", "<f4"), ("vwap", "<f4"), ("trades", "<u4")]
 )
@@ -42,19 +43,19 @@ def encode(symbol: str, res_secs: int, rows: np.ndarray) -> bytes:
     if len(rows) > 1 and (np.diff(rows["ts_ms"]) <= 0).any():
         raise ValueError(f"times of {symbol} are not strictly increasing")
     first, last = (int(rows["ts_ms"][0]), int(rows["ts_ms"][-1])) if len(rows) else (0, 0)
-    return HEADER.pack(MAGIC, VERSION, res_secs, len(rows), first, last, symbol.encode()) + rows.tobytes()
+    return struct.pack(HEADER, MAGIC, VERSION, res_secs, len(rows), first, last, symbol.encode()) + rows.tobytes()
 
 
 def decode(content: bytes) -> tuple[str, int, np.ndarray]:
     """(symbol, resolution, records); fails on anything that is not a whole, consistent file."""
-    if len(content) < HEADER.size:
+    if len(content) < HEADER_BYTES:
         raise ValueError("shorter than a header")
-    magic, version, res_secs, count, first, last, symbol = HEADER.unpack_from(content)
+    magic, version, res_secs, count, first, last, symbol = struct.unpack_from(HEADER, content)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a bar file of this version")
-    if len(content) != HEADER.size + RECORD.itemsize * count:
+    if len(content) != HEADER_BYTES + RECORD.itemsize * count:
         raise ValueError("length and count disagree")
-    rows = np.frombuffer(content, RECORD, offset=HEADER.size)
+    rows = np.frombuffer(content, RECORD, offset=HEADER_BYTES)
     if count and (rows["ts_ms"][0] != first or rows["ts_ms"][-1] != last):
         raise ValueError("header and records disagree")
     return symbol.rstrip(b"\0").decode(), res_secs, rows
@@ -85,11 +86,11 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             out = []
             for content in frame["head"]:
-                _, _, res, count, first, last, symbol = HEADER.unpack(content)
+                _, _, res, count, first, last, symbol = struct.unpack(HEADER, content)
                 out.append((symbol.rstrip(b"\0").decode(), res, count, first, last))
             yield pd.DataFrame(out, columns=["symbol", "res_secs", "bars", "first_ts_ms", "last_ts_ms"])
 
-    heads = files.select(F.substring("content", 1, HEADER.size).alias("head"))
+    heads = files.select(F.substring("content", 1, HEADER_BYTES).alias("head"))
     return heads.mapInPandas(parse, "symbol string, res_secs int, bars long, first_ts_ms long, last_ts_ms long")
 
 
