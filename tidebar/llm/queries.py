@@ -52,7 +52,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.chat_digests(chat.written_chats(turns))
+    found = chat.chat_digests(chat.written_chats(turns))
+    return found.drop("n_tokens", "loss_tokens")
 
 
 def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,4 +128,48 @@ SQL = {
                 + greatest(0, least(size, floor(target)::BIGINT - before - source_size)))::BIGINT AS taken
         FROM queued
     """,
+    "op7_chat": r"""
+        WITH said AS (
+            SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), escaped AS (
+            SELECT *, regexp_replace(replace(text, '\', '\'), '(<)(s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\2\4', 'g') AS t,
+                   replace(regexp_replace(replace(role, '\', '\'), '(<)(s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\2\4', 'g'),
+                           chr(10), '\' || chr(10)) AS r
+            FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(8 + length(r) + length(t))::BIGINT AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE classes AS (
+            SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS n_copies FROM documents GROUP BY 1
+        ), words AS (
+            SELECT rep, list_filter(string_split_regex(text, '[\x09-\x0D \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'),
+                                    lambda x: x <> '') AS w
+            FROM classes
+        ), grams AS (
+            SELECT DISTINCT rep, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+            FROM words
+        ), sizes AS (
+            SELECT rep, count(*) AS n FROM grams GROUP BY 1
+        ), pairs AS (
+            SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM pairs JOIN sizes p ON x = p.rep JOIN sizes q ON y = q.rep WHERE c * 9 >= 4 * (p.n + q.n)
+        ), walk AS (
+            SELECT rep AS node, rep AS root FROM classes
+            UNION SELECT l.y, w.root FROM walk w JOIN links l ON l.x = w.node
+        ), named AS (
+            SELECT node, min(root) AS class_id FROM walk GROUP BY 1
+        ), degrees AS (SELECT x, count(*) AS n_links FROM links GROUP BY 1)
+        SELECT d.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies
+        FROM documents d JOIN classes c ON coalesce(d.text, '') = c.text JOIN named ON c.rep = node LEFT JOIN degrees ON c.rep = x
+    """,
 }
