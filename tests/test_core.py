@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidebar.functions import calendar as K
 from tidebar.functions import folds
 from tidebar.functions import prices as P
+from tidebar.operators import evaluate as V
+from tidebar.operators import factors as A
 from tidebar.operators import joins as J
 from tidebar.operators import momentum as M
 from tidebar.operators import panel as N
@@ -309,3 +311,66 @@ def test_bounds_conserve_bars(spark):
     bounds = U.split_bounds(bars, 60_000)
     parts = {r.split: r["count"] for r in U.with_split(bars, bounds).groupBy("split").count().collect()}
     assert parts == {"train": 80, "val": 10, "test": 10}
+
+
+def test_identity_cut(spark):
+    bars = frame(spark, [10, 10, 50, 50, 9, 9], step=DAY)
+    breaks = Q.discontinuities(bars, gap_days=5, ratio=3.0)
+    known = spark.createDataFrame([("A", 0, "old"), ("A", 3 * DAY, "new"), ("A", 5 * DAY, "new")], "symbol string, at_ms long, identity string")
+    kept = U.identity_cut(bars, breaks, known)
+    assert [r.ts_ms // DAY for r in kept.orderBy("ts_ms").collect()] == [2, 3, 4, 5]
+    silent = known.where("at_ms > 0")
+    assert U.identity_cut(bars, breaks, silent).count() == 6
+
+
+def test_split_like_moves(spark):
+    bars = frame(spark, [100, 101, 50.5, 50, 200, 50, 51], step=DAY)
+    found = A.split_like(bars).collect()
+    assert [(r.ts_ms // DAY, r.ratio.p, r.ratio.q) for r in found] == [(2, 2, 1)]
+
+
+def test_first_factor(spark):
+    rng = np.random.default_rng(4)
+    common = rng.normal(size=60)
+    x = common[:, None] + 0.3 * rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(t, f"s{k}", float(x[t, k])) for t in range(60) for k in range(5)], "t long, symbol string, r double")
+    loadings, share = A.first_factor(df, "r")
+    values = np.linalg.eigvalsh(np.corrcoef(x.T))
+    assert share == pytest.approx(values[-1] / values.sum()) and (loadings["loading"] > 0).all()
+
+
+def test_multiplicity_conserves_bars(spark):
+    bars = frame(spark, range(1, 31))
+    windows = spark.createDataFrame([("A", 0, 10), ("A", 5, 15), ("A", 20, 30)], "symbol string, start long, end long")
+    assert {r.covers: r.bars for r in V.multiplicity(windows, bars).collect()} == {1: 20, 2: 5, 0: 5}
+
+
+def test_paired_refuses_other_runs(spark):
+    a = spark.createDataFrame([("w1", "x", 1.0), ("w2", "x", 2.0)], "w string, run string, score double")
+    assert V.paired(a, a.withColumn("score", F.lit(0.5)), ["w"], "score", ["run"]).count() == 2
+    with pytest.raises(ValueError):
+        V.paired(a, a.withColumn("run", F.lit("y")), ["w"], "score", ["run"])
+    with pytest.raises(ValueError):
+        V.paired(a, a.where("w = 'w1'"), ["w"], "score", ["run"])
+
+
+def test_common_symbols(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "s int, symbol string")
+    assert [r.symbol for r in V.common_symbols(df, "s").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        V.common_symbols(df.unionByName(df), "s")
+
+
+def test_band_zero_is_the_window_form(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, f"s{k}", float(rng.normal()), float(rng.normal() / 50)) for t in range(20) for k in range(4) if (t + k) % 5]
+    panel = N.book_weights(spark.createDataFrame(rows, "t long, symbol string, score double, realized_r double"), "score")
+    a = {r.t: (r.gross_r, r.turnover, r.wealth) for r in N.panel_backtest(panel, "signed", 5.0).collect()}
+    b = {r.t: (r.gross_r, r.turnover, r.wealth) for r in V.banded_backtest(panel, "signed", 5.0, 0.0).collect()}
+    assert a.keys() == b.keys() and all(a[t] == pytest.approx(b[t]) for t in a)
+
+
+def test_journal_skips_torn_lines(spark):
+    lines = [(1, '{"symbol": "A", "n": 1}'), (2, '{"symbol": "A", "n": 2}'), (3, '{"symbol": "A", "n"'), (4, '{"symbol": "B", "n": 5}')]
+    found = packed.replay_journal(spark.createDataFrame(lines, "nth long, value string"), "symbol string, n long", ["symbol"])
+    assert {(r.symbol, r.n) for r in found.collect()} == {("A", 2), ("B", 5)}

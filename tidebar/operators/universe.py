@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,3 +103,28 @@ def quotas(counts: DataFrame, total: int) -> DataFrame:
     left = F.lit(total) - F.sum("_floor").over(whole)
     nth = F.row_number().over(W.orderBy(F.desc("_rest"), "symbol"))
     return found.withColumn("quota", (F.col("_floor") + F.when(nth <= left, 1).otherwise(0)).cast("long")).drop("_floor", "_rest")
+
+
+def sampled_sessions(spark: SparkSession, first: str, last: str, n: int) -> DataFrame:
+    """``n`` days evenly spaced over a span, weekends rolled back to Friday, each once."""
+    a, b = F.to_date(F.lit(first)), F.to_date(F.lit(last))
+    step = F.datediff(b, a) / F.lit(max(n - 1, 1))
+    days = spark.range(n).select(F.date_add(a, F.floor(F.col("id") * step).cast("int")).alias("day"))
+    back = F.greatest(F.weekday("day") - 4, F.lit(0))
+    return days.select(F.date_sub("day", back).alias("day")).distinct()
+
+
+def identity_cut(bars: DataFrame, breaks: DataFrame, identities: DataFrame, worst: int = 16, within_ms: int = 20 * 86_400_000) -> DataFrame:
+    """Bars from the newest break on at which a symbol became another company.
+
+    Of a symbol's ``worst`` breaks by severity, one is confirmed where the last identity known before it and the first
+    known after it, each at most ``within_ms`` away, are there and differ.
+    """
+    nth = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("severity"), F.desc("ts_ms")))
+    top = breaks.select("symbol", "ts_ms", "severity").withColumn("_k", nth).where(F.col("_k") <= worst).drop("_k")
+    near = top.alias("b").join(identities.alias("i"), "symbol").where(F.abs(F.col("i.at_ms") - F.col("b.ts_ms")) <= within_ms)
+    before = F.max_by(F.when(F.col("at_ms") < F.col("ts_ms"), F.col("identity")), F.when(F.col("at_ms") < F.col("ts_ms"), F.col("at_ms")))
+    after = F.min_by(F.when(F.col("at_ms") >= F.col("ts_ms"), F.col("identity")), F.when(F.col("at_ms") >= F.col("ts_ms"), F.col("at_ms")))
+    sides = near.groupBy("symbol", "ts_ms").agg(before.alias("_before"), after.alias("_after")).where("_before <> _after")
+    cut = sides.groupBy("symbol").agg(F.max("ts_ms").alias("_cut"))
+    return bars.join(cut, "symbol", "left").where("_cut IS NULL OR ts_ms >= _cut").drop("_cut")

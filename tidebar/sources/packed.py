@@ -143,8 +143,10 @@ def append_bars(spark: SparkSession, path: str, bars: DataFrame) -> int:
 
 def replay_journal(lines: DataFrame, schema: str, keys: list[str]) -> DataFrame:
     """The last whole record of each key from (value, nth) lines of JSON; torn lines are skipped."""
-    parsed = lines.select("nth", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    whole = parsed.where(" AND ".join(f"r.{k} IS NOT NULL" for k in keys)).select("nth", "r.*")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}
+    parsed = lines.select("nth", F.from_json("value", f"{schema}, _torn string", options).alias("r"))
+    whole = parsed.where("r._torn IS NULL AND " + " AND ".join(f"r.{k} IS NOT NULL" for k in keys))
+    whole = whole.select("nth", "r.*").drop("_torn")
     last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("nth")))
     return whole.withColumn("_k", last).where("_k = 1").drop("_k", "nth")
 
