@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.folds import ema
 from tidebar.operators import momentum as M
 from tidebar.plans import query
-from tidebar.sources.views import DAY, HOUR, bars, bars_sql
+from tidebar.sources.views import DAY, bars, bars_sql
 
 BARS = bars_sql()
 #: Symbols' bars numbered from 0, with what the indicators share.
