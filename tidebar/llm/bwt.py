@@ -17,18 +17,24 @@ from tidebar.llm.encoder import ragged
 
 
 class Columns:
-    """The two sequential files of a collection, in the task's temporary folder."""
+    """The two sequential files of a collection, in the task's temporary folder, written over from round to round."""
 
     def __init__(self, folder: str):
-        self.at = [os.path.join(folder, name) for name in ("transform", "prefixes")]
+        self.files = [open(os.path.join(folder, name), "w+b") for name in ("transform", "prefixes")]  # noqa: SIM115
 
     def write(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
-        for path, values in zip(self.at, (transform, prefixes), strict=True):
-            values.tofile(path + ".new")
-            os.replace(path + ".new", path)
+        for file, values in zip(self.files, (transform, prefixes), strict=True):
+            file.seek(0)
+            values.tofile(file)
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.at[0], np.uint8), np.fromfile(self.at[1], np.uint8)
+        for file in self.files:
+            file.seek(0)
+        return tuple(np.fromfile(file, np.uint8) for file in self.files)
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
 
 def _least_between(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -43,13 +49,15 @@ def _least_between(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np
     return out
 
 
-def _steps(transform: np.ndarray, strings: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows of the transform by symbol (stable), the row each leads to, and how many symbols are terminators."""
-    order = np.argsort(transform, kind="stable")
-    ends = int(np.count_nonzero(transform == 0))
-    to = np.empty(len(transform), np.int64)
-    to[order] = np.arange(len(transform)) + (strings - ends)
-    return order, to, ends
+def _ranks(transform: np.ndarray, order: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where rows ``place`` stand in ``order``, the rows by symbol: found by search among the rows of their symbol."""
+    first = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
+    symbol = transform[place]
+    out = np.empty(len(place), np.int64)
+    for c in np.unique(symbol).tolist():
+        own = np.flatnonzero(symbol == c)
+        out[own] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], place[own])
+    return out
 
 
 def transform_and_prefixes(body: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +81,10 @@ def transform_and_prefixes(body: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
             transform, prefixes = files.read()
             keep = lengths[active] >= done
             active, place = active[keep], place[keep]
-            order, to, _ = _steps(transform, count)
-            new = to[place]
-            rank = new - count + int(np.count_nonzero(transform == 0))
+            order = np.argsort(transform, kind="stable")
+            rank = _ranks(transform, order, place)
+            # suffixes that are only an end come first; rows whose symbol is an end lead to none
+            new = rank + count - int(np.count_nonzero(transform == 0))
             symbol = transform[place]
             before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
             has_before = (rank > 0) & (transform[before] == symbol)
@@ -96,13 +105,17 @@ def transform_and_prefixes(body: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
             common[new] = shared
             files.write(grown, common)
             place = new
-        return files.read()
+        found = files.read()
+        files.close()
+        return found
 
 
 def suffix_rows(transform: np.ndarray, lengths: np.ndarray, starts: np.ndarray, string: np.ndarray) -> np.ndarray:
     """Rows of the suffixes of ``string`` from ``starts`` on, found by walking all strings from their ends."""
     count = len(lengths)
-    _, to, _ = _steps(transform, count)
+    order = np.argsort(transform, kind="stable")
+    to = np.empty(len(transform), np.int64)
+    to[order] = np.arange(len(transform)) + (count - int(np.count_nonzero(transform == 0)))
     wanted = lengths[string] - starts
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
     rows = np.empty(int(begin[-1]), np.int64)  # of each string's suffixes, the shortest first
