@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,18 +128,28 @@ def _features(bits: int):
     return run
 
 
-def _epoch(ftrl: Ftrl, state, epoch: int):
+def _dense(places: int, at: np.ndarray, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((2, places))
+    out[0, at], out[1, at] = z, n
+    return out[0], out[1]
+
+
+def _epoch(ftrl: Ftrl, state, places: int, rare: int, epoch: int):
     """For applyInArrow: one pass over a shard from the shared state; how the coordinates it met have moved."""
 
     def run(table: pa.Table) -> pa.Table:
-        z, n = (x.copy() for x in state.value)
+        z, n = _dense(places, *state.value)
+        z_was, n_was = z.copy(), n.copy()
         table = table.sort_by([("nth", "ascending"), ("doc_id", "ascending")])
-        places = [np.frombuffer(p, "<u4").astype(np.int64) for p in table.column("places").to_pylist()]
-        data = list(zip(places, table.column("label").to_pylist(), strict=True))
+        features = [np.frombuffer(p, "<u4").astype(np.int64) for p in table.column("places").to_pylist()]
+        uses = np.bincount(np.concatenate([np.empty(0, np.int64), *features]), minlength=places)
+        enough = uses >= max(2, round(len(features) / rare))
+        features = [x[enough[x]] for x in features]
+        data = list(zip(features, table.column("label").to_pylist(), strict=True))
         order = np.random.default_rng(epoch).permutation(len(data)).tolist()
         ftrl.learn(z, n, [data[k] for k in order])
-        at = np.flatnonzero(n != state.value[1])
-        moved = {"at": at, "dz": (z - state.value[0])[at], "dn": (n - state.value[1])[at]}
+        at = np.flatnonzero(n != n_was)
+        moved = {"at": at.astype("<i4"), "dz": (z - z_was)[at].astype("<f4"), "dn": (n - n_was)[at].astype("<f4")}
         return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in moved.items()})
 
     return run
@@ -148,12 +157,13 @@ def _epoch(ftrl: Ftrl, state, epoch: int):
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str, bits: int = 20, max_docs: int = 24_000, shard_docs: int = 6_000,
-    visits: int = 60_000, ftrl: Ftrl | None = None,
+    visits: int = 60_000, rare: int = 750, ftrl: Ftrl | None = None,
 ) -> Model:
     """Learns from ``labels`` (doc_id and the 0/1 column ``label``); only a bounded number of rows is gathered.
 
     Shards have about ``shard_docs`` rows; there are 4 epochs, and more (16 at most) where rows are so few that
-    they would be visited less than ``visits`` times.
+    they would be visited less than ``visits`` times.  Features that fewer than one in ``rare`` rows of a shard (or
+    than two) have could hardly pass the L1 term and are left out, which keeps the state that travels small.
     """
     spark, ftrl = docs.sparkSession, ftrl or Ftrl()
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -162,20 +172,21 @@ def train(
     count = chosen.count()
     shards, epochs = max(1, round(count / shard_docs)), min(16, max(4, -(-visits // max(count, 1))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(chosen, "doc_id").select("doc_id", "nth", "label", "text")
-    work = rows.mapInArrow(_features(bits), "doc_id long, nth long, label int, places binary")
-    dealt = Scratch(spark, "toxicity").put(work.withColumn("shard", F.pmod("nth", F.lit(shards)).cast("int")), "features")
+    # at most max_docs rows of three numbers, so the texts need not be exchanged
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "nth", "label").agg(F.min("text").alias("text"))
+    found = rows.mapInArrow(_features(bits), "doc_id long, nth long, label int, places binary")
+    dealt = Scratch(spark, "toxicity").put(found.withColumn("shard", F.pmod("nth", F.lit(shards)).cast("int")), "features")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for epoch in range(epochs):
-        state = spark.sparkContext.broadcast((z, n))
-
-        changes = dealt.groupBy("shard").applyInArrow(_epoch(ftrl, state, epoch), "at binary, dz binary, dn binary").collect()
-        z, n = z.copy(), n.copy()
+        met = np.flatnonzero(n)
+        state = spark.sparkContext.broadcast((met.astype("<i4"), z[met].astype("<f4"), n[met].astype("<f4")))
+        work = _epoch(ftrl, state, len(z), rare, epoch)
+        changes = dealt.groupBy("shard").applyInArrow(work, "at binary, dz binary, dn binary").collect()
         for at, dz, dn in sorted(changes):
-            at = np.frombuffer(at, np.int64)
-            z[at] += np.frombuffer(dz) / len(changes)
-            n[at] += np.frombuffer(dn) / len(changes)
-        state.unpersist()
+            at = np.frombuffer(at, "<i4")
+            z[at] += np.frombuffer(dz, "<f4") / len(changes)
+            n[at] += np.frombuffer(dn, "<f4") / len(changes)
+        state.destroy()  # its copies on disk go, too
     w = ftrl.weights(z[:-1], n[:-1])
     places = np.flatnonzero(w)
     return Model(bits, places, w[places], float(-z[-1] * ftrl.alpha / (ftrl.beta + np.sqrt(n[-1]))))
