@@ -69,7 +69,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class SegmentEncoder(dict):
     """segment -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 350_000):
         super().__init__()
         self._library = Tokenizer.from_file(path)
         self._model, self._most, self._parts = self._library.model, most, {}
@@ -125,7 +125,7 @@ class SegmentEncoder(dict):
 class OffsetEncoder(dict):
     """segment -> character places, in the segment, where its tokens start and end (two rows)."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         super().__init__()
         self._library = Tokenizer.from_file(path)
         self._model, self._most, self._parts = self._library.model, most, {}

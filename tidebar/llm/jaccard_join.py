@@ -56,7 +56,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         got = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) < 60:
-            if len(self) >= 500_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = got
         return got

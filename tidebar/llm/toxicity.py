@@ -38,7 +38,7 @@ class WordHashes(dict):
         word = _NOT_WORD.sub("", segment.lower())
         got = xxhash.xxh3_64_intdigest(word.encode()) | 1 if word else 0
         if len(segment) < 60:
-            if len(self) >= 500_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[segment] = got
         return got
@@ -116,7 +116,7 @@ class Model:
 
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=3_000_000):
             doc, place = feature_places(batch.column("text"), bits)
             key = np.unique(doc << bits | place)
             at = np.searchsorted(key >> bits, np.arange(batch.num_rows + 1))
@@ -194,7 +194,7 @@ def train(
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=3_000_000):
             scores = pa.array(model.value.scores(batch.column("text")))
             yield pa.record_batch([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
@@ -214,7 +214,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=3_000_000):
             yield batch.filter(pa.array(shared.value.scores(batch.column("text")) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
