@@ -134,7 +134,7 @@ def _dense(places: int, at: np.ndarray, z: np.ndarray, n: np.ndarray) -> tuple[n
     return out[0], out[1]
 
 
-def _epoch(ftrl: Ftrl, state, places: int, rare: int, epoch: int):
+def _epoch(ftrl: Ftrl, state, places: int, epoch: int):
     """For applyInArrow: one pass over a shard from the shared state; how the coordinates it met have moved."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -142,13 +142,10 @@ def _epoch(ftrl: Ftrl, state, places: int, rare: int, epoch: int):
         z_was, n_was = z.copy(), n.copy()
         table = table.sort_by([("nth", "ascending"), ("doc_id", "ascending")])
         features = [np.frombuffer(p, "<u4").astype(np.int64) for p in table.column("places").to_pylist()]
-        uses = np.bincount(np.concatenate([np.empty(0, np.int64), *features]), minlength=places)
-        enough = uses >= max(2, round(len(features) / rare))
-        features = [x[enough[x]] for x in features]
         data = list(zip(features, table.column("label").to_pylist(), strict=True))
         order = np.random.default_rng(epoch).permutation(len(data)).tolist()
         ftrl.learn(z, n, [data[k] for k in order])
-        at = np.flatnonzero(n != n_was)
+        at = np.flatnonzero((z != z_was) | (n != n_was))
         moved = {"at": at.astype("<i4"), "dz": (z - z_was)[at].astype("<f4"), "dn": (n - n_was)[at].astype("<f4")}
         return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in moved.items()})
 
@@ -157,13 +154,13 @@ def _epoch(ftrl: Ftrl, state, places: int, rare: int, epoch: int):
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str, bits: int = 20, max_docs: int = 24_000, shard_docs: int = 6_000,
-    visits: int = 60_000, rare: int = 750, ftrl: Ftrl | None = None,
+    visits: int = 60_000, ftrl: Ftrl | None = None,
 ) -> Model:
     """Learns from ``labels`` (doc_id and the 0/1 column ``label``); only a bounded number of rows is gathered.
 
     Shards have about ``shard_docs`` rows; there are 4 epochs, and more (16 at most) where rows are so few that
-    they would be visited less than ``visits`` times.  Features that fewer than one in ``rare`` rows of a shard (or
-    than two) have could hardly pass the L1 term and are left out, which keeps the state that travels small.
+    they would be visited less than ``visits`` times.  Every feature is learned, however rare; the L1 term alone
+    decides.  Only coordinates that moved travel, as 32-bit numbers.
     """
     spark, ftrl = docs.sparkSession, ftrl or Ftrl()
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -178,9 +175,9 @@ def train(
     dealt = Scratch(spark, "toxicity").put(found.withColumn("shard", F.pmod("nth", F.lit(shards)).cast("int")), "features")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for epoch in range(epochs):
-        met = np.flatnonzero(n)
+        met = np.flatnonzero((z != 0) | (n != 0))
         state = spark.sparkContext.broadcast((met.astype("<i4"), z[met].astype("<f4"), n[met].astype("<f4")))
-        work = _epoch(ftrl, state, len(z), rare, epoch)
+        work = _epoch(ftrl, state, len(z), epoch)
         changes = dealt.groupBy("shard").applyInArrow(work, "at binary, dz binary, dn binary").collect()
         for at, dz, dn in sorted(changes):
             at = np.frombuffer(at, "<i4")
