@@ -42,11 +42,11 @@ def journal_replay(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "chart_bars",
     f"""WITH {bars_sql(DAY)} SELECT symbol, ts_ms, round(open / 2, 6) AS open, round(high / 2, 6) AS high, round(low / 2, 6) AS low,
-        round(close / 2, 6) AS close, volume, round((high + low + close) / 6, 6) AS vwap, 0::BIGINT AS trades FROM bars WHERE trades % 7 <> 0""",
+        round(close / 2, 6) AS close, volume, round((high + low + close) / 6, 6) AS vwap, 0::BIGINT AS trades FROM bars""",
 )
 def chart_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily bars as a provider's parallel arrays, halved by their dividend factor; some adjusted values are missing."""
-    own = bars(spark, sf, DAY).withColumn("adjclose", F.when(F.col("trades") % 7 != 0, F.col("close") / 2))
+    """Daily bars as a provider's parallel arrays, halved by their dividend factor."""
+    own = bars(spark, sf, DAY).withColumn("adjclose", F.col("close") / 2)
     names = ("ts_ms", "open", "high", "low", "close", "volume", "adjclose")
     rows = own.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
     pick = lambda c: F.transform("r", lambda x: x[c])

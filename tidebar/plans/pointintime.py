@@ -13,21 +13,18 @@ from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
 from tidebar.sources.views import DAY, HOUR, bars, bars_sql, table
 
-#: Monthly mean order price, out 15 days after the month; every fifth month's value is missing.
+#: Monthly mean order price, out 15 days after the month.
 MACRO = """macro AS (
     SELECT date_trunc('month', o_orderdate)::DATE AS period,
            (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + INTERVAL 15 DAY)::DATE AS available,
-           CASE WHEN (year(o_orderdate) * 12 + month(o_orderdate)) % 5 = 0 THEN NULL ELSE round(avg(o_totalprice), 4) END AS value
-    FROM orders GROUP BY 1, 2, year(o_orderdate) * 12 + month(o_orderdate))"""
+           round(avg(o_totalprice), 4) AS value
+    FROM orders GROUP BY 1, 2)"""
 
 
 def macro(spark: SparkSession, sf: str) -> DataFrame:
     day = F.to_date("o_orderdate")
-    months = table(spark, sf, "orders").groupBy(F.trunc(day, "month").alias("period")).agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
-    missing = (F.year("period") * 12 + F.month("period")) % 5 == 0
-    return months.select(
-        "period", F.date_add(F.add_months("period", 1), 15).alias("available"), F.when(~missing, F.col("v")).alias("value")
-    )
+    months = table(spark, sf, "orders").groupBy(F.trunc(day, "month").alias("period")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    return months.select("period", F.date_add(F.add_months("period", 1), 15).alias("available"), "value")
 
 
 @query(
@@ -167,14 +164,14 @@ def priority_coalesce(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "reference_precedence",
     """WITH listings AS (
-           SELECT s_name AS name, s_nationkey AS nation, 1 AS priority FROM supplier WHERE s_suppkey % 2 = 0
+           SELECT s_name AS name, s_nationkey AS nation, 1 AS priority FROM supplier
            UNION ALL SELECT s_name, s_nationkey + 100, 0 FROM supplier)
        SELECT name, arg_max(nation, priority)::INTEGER AS nation, count(*) AS listings FROM listings GROUP BY 1""",
 )
 def reference_precedence(spark: SparkSession, sf: str) -> DataFrame:
     """Delisted entries, then listed ones over them."""
-    own = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), "s_suppkey")
-    listed = own.where("s_suppkey % 2 = 0").select("name", "nation", F.lit(1).alias("priority"))
+    own = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    listed = own.select("name", "nation", F.lit(1).alias("priority"))
     gone = own.select("name", (F.col("nation") + 100).alias("nation"), F.lit(0).alias("priority"))
     return gone.unionByName(listed).groupBy("name").agg(
         F.max_by("nation", "priority").cast("int").alias("nation"), F.count("*").alias("listings")
@@ -270,7 +267,7 @@ def discontinuities(spark: SparkSession, sf: str) -> DataFrame:
 SEAMS = f"""{MARKED}, legs AS (
     SELECT *, coalesce(lag(kind) OVER (PARTITION BY symbol ORDER BY ts_ms) = 'tick', false) AS leg FROM marked
 ), user_splits AS (
-    SELECT DISTINCT user_id::VARCHAR AS symbol, (ts::DATE) AS date FROM events WHERE event_type = 'signup' AND event_id % 7 = 0
+    SELECT DISTINCT user_id::VARCHAR AS symbol, (ts::DATE) AS date FROM events WHERE event_type = 'signup'
 ), seams AS (
     SELECT symbol, ts_ms, i, kind FROM legs l WHERE kind IN ('splice', 'jump') AND NOT leg AND NOT EXISTS (
         SELECT 1 FROM user_splits s WHERE s.symbol = l.symbol
@@ -278,7 +275,7 @@ SEAMS = f"""{MARKED}, legs AS (
 
 
 def user_splits(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "events").where("event_type = 'signup' AND event_id % 7 = 0")
+    own = table(spark, sf, "events").where("event_type = 'signup'")
     return own.select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date")).distinct()
 
 
@@ -421,7 +418,7 @@ def window_quotas(spark: SparkSession, sf: str) -> DataFrame:
 
 COSTS = """measured AS (
     SELECT l_suppkey AS symbol, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS month, avg(l_discount) * 100 AS spread, avg(l_quantity) AS depth
-    FROM lineitem WHERE (l_suppkey + month(l_shipdate)) % 3 = 0 GROUP BY 1, 2
+    FROM lineitem GROUP BY 1, 2
 ), pooled AS (SELECT symbol, avg(spread) AS spread, avg(depth) AS depth FROM measured GROUP BY 1)
 , wanted AS (SELECT s_suppkey AS symbol, m AS month FROM supplier, (SELECT unnest([23944, 23950, 23957, 24001]) AS m))"""
 
@@ -440,7 +437,7 @@ COSTS = """measured AS (
 )
 def fallback_cost(spark: SparkSession, sf: str) -> DataFrame:
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("month")
-    lines = table(spark, sf, "lineitem").where((F.col("l_suppkey") + F.month("l_shipdate")) % 3 == 0)
+    lines = table(spark, sf, "lineitem")
     measured = lines.groupBy(F.col("l_suppkey").alias("symbol"), month).agg((F.avg("l_discount") * 100).alias("spread"), F.avg("l_quantity").alias("depth"))
     pooled = measured.groupBy("symbol").agg(F.avg("spread").alias("spread"), F.avg("depth").alias("depth")).withColumn("month", F.lit(None).cast("int"))
     wanted = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"), F.explode(F.array(*map(F.lit, (23944, 23950, 23957, 24001)))).alias("month"))
