@@ -2,41 +2,19 @@
 
 Each round prepends one symbol to one more suffix of every string: its place among the suffixes so far follows from
 the transform itself (the place of its first symbol there), and the common prefixes with its new neighbours from the
-least of those between.  A round reads the transform and the prefixes of the round before from two files from start
-to end and writes theirs anew, so only these two, of one byte a symbol each, pass from round to round.
+least of those between.  A round reads the transform and the prefixes of the round before from start to end and writes
+theirs anew, so only these two columns, of one byte a symbol each, pass from round to round.  A collection is bounded,
+so they are held in memory: a task's own disk isn't used, and files in a shared store would be written and read again
+in each of some 76 rounds.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 
 from tidebar.llm.encoder import ragged
 
 
-class Columns:
-    """The two sequential files of a collection, in the task's temporary folder, written over from round to round."""
-
-    def __init__(self, folder: str):
-        self.files = [open(os.path.join(folder, name), "w+b") for name in ("transform", "prefixes")]  # noqa: SIM115
-
-    def write(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
-        for file, values in zip(self.files, (transform, prefixes), strict=True):
-            file.seek(0)
-            values.tofile(file)
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        for file in self.files:
-            file.seek(0)
-        return tuple(np.fromfile(file, np.uint8) for file in self.files)
-
-    def close(self) -> None:
-        for file in self.files:
-            file.close()
-
-
 def _least_between(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Minimum of values[begin:end] for each pair; begin < end."""
     if not len(begin):
@@ -72,42 +50,36 @@ def transform_and_prefixes(body: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     ends = np.cumsum(lengths)
     symbols = body.astype(np.uint8) + np.uint8(1)
     longest = int(lengths.max())
-    with tempfile.TemporaryDirectory() as folder:
-        files = Columns(folder)
-        first = np.where(lengths > 0, symbols[np.maximum(ends - 1, 0)], 0).astype(np.uint8)
-        files.write(first, np.zeros(count, np.uint8))
-        active, place = np.arange(count), np.arange(count)
-        for done in range(1, longest + 1):
-            transform, prefixes = files.read()
-            keep = lengths[active] >= done
-            active, place = active[keep], place[keep]
-            order = np.argsort(transform, kind="stable")
-            rank = _ranks(transform, order, place)
-            # suffixes that are only an end come first; rows whose symbol is an end lead to none
-            new = rank + count - int(np.count_nonzero(transform == 0))
-            symbol = transform[place]
-            before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
-            has_before = (rank > 0) & (transform[before] == symbol)
-            has_after = (rank + 1 < len(order)) & (transform[after] == symbol)
-            shared = np.zeros(len(active), np.uint8)
-            shared[has_before] = 1 + _least_between(prefixes, before[has_before] + 1, place[has_before] + 1)
-            shared_next = 1 + _least_between(prefixes, place[has_after] + 1, after[has_after] + 1)
-            preceding = np.zeros(len(active), np.uint8)
-            more = lengths[active] > done
-            preceding[more] = symbols[ends[active[more]] - 1 - done]
-            old = np.ones(len(transform) + len(active), bool)
-            old[new] = False
-            grown, common = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-            grown[old], common[old] = transform, prefixes
-            grown[new] = preceding
-            # first what follows the new rows, then the new rows themselves, which may follow each other
-            common[new[has_after] + 1] = shared_next
-            common[new] = shared
-            files.write(grown, common)
-            place = new
-        found = files.read()
-        files.close()
-        return found
+    transform = np.where(lengths > 0, symbols[np.maximum(ends - 1, 0)], 0).astype(np.uint8)
+    prefixes = np.zeros(count, np.uint8)
+    active, place = np.arange(count), np.arange(count)
+    for done in range(1, longest + 1):
+        keep = lengths[active] >= done
+        active, place = active[keep], place[keep]
+        order = np.argsort(transform, kind="stable")
+        rank = _ranks(transform, order, place)
+        # suffixes that are only an end come first; rows whose symbol is an end lead to none
+        new = rank + count - int(np.count_nonzero(transform == 0))
+        symbol = transform[place]
+        before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
+        has_before = (rank > 0) & (transform[before] == symbol)
+        has_after = (rank + 1 < len(order)) & (transform[after] == symbol)
+        shared = np.zeros(len(active), np.uint8)
+        shared[has_before] = 1 + _least_between(prefixes, before[has_before] + 1, place[has_before] + 1)
+        shared_next = 1 + _least_between(prefixes, place[has_after] + 1, after[has_after] + 1)
+        preceding = np.zeros(len(active), np.uint8)
+        more = lengths[active] > done
+        preceding[more] = symbols[ends[active[more]] - 1 - done]
+        old = np.ones(len(transform) + len(active), bool)
+        old[new] = False
+        grown, common = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+        grown[old], common[old] = transform, prefixes
+        grown[new] = preceding
+        # first what follows the new rows, then the new rows themselves, which may follow each other
+        common[new[has_after] + 1] = shared_next
+        common[new] = shared
+        transform, prefixes, place = grown, common, new
+    return transform, prefixes
 
 
 def suffix_rows(transform: np.ndarray, lengths: np.ndarray, starts: np.ndarray, string: np.ndarray) -> np.ndarray:
@@ -128,22 +100,63 @@ def suffix_rows(transform: np.ndarray, lengths: np.ndarray, starts: np.ndarray,
     return rows[begin[string] + wanted]
 
 
+def _window_hashes(body: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Rolling hashes of the windows at ``starts``; equal windows have equal ones."""
+    n = len(body)
+    powers = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+    return (sums[starts + width] - sums[starts]) * powers[n - starts]
+
+
+def _shared_windows(body: np.ndarray, lengths: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """For every window, end to end: strings of different owners have its hash."""
+    windows = np.maximum(lengths - width + 1, 0)
+    starts = ragged(np.cumsum(lengths) - lengths, windows)
+    own = np.repeat(owner, windows)
+    h = _window_hashes(body, starts, width)
+    order = np.argsort(h)
+    ordered, own = h[order], own[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    differ = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(differ, np.diff(np.append(begin, len(h))))
+    return out
+
+
 def least_owner(body: np.ndarray, lengths: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For every string's substrings of ``width`` in order, end to end: the least owner of a string that has it.
 
-    Also how many each string has.  Suffixes that share ``width`` symbols or more are neighbours in the transform.
+    Also how many each string has.  A substring whose hash only strings of one owner have is that owner's; strings
+    are cut down to what lies between their first and last other ones, and only these parts enter the collection.
+    Suffixes that share ``width`` symbols or more are neighbours in the transform.
     """
     windows = np.maximum(lengths - width + 1, 0)
+    found = np.repeat(owner, windows)
+    if not len(found):
+        return found, windows
     string = np.repeat(np.arange(len(lengths)), windows)
-    if not len(string):
-        return np.empty(0, np.int64), windows
-    transform, prefixes = transform_and_prefixes(body, lengths)
-    rows = suffix_rows(transform, lengths, ragged(np.zeros(len(lengths), np.int64), windows), string)
+    shared = np.flatnonzero(_shared_windows(body, lengths, owner, width))
+    if not len(shared):
+        return found, windows
+    of = string[shared]
+    parts, first = np.unique(of, return_index=True)
+    last = shared[np.append(first[1:], len(shared)) - 1]
+    first = shared[first]
+    start = (np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows))[parts] + first  # in body
+    size = last - first + width
+    part_windows = last - first + 1
+    transform, prefixes = transform_and_prefixes(body[ragged(start, size)], size)
+    part = np.repeat(np.arange(len(parts)), part_windows)
+    rows = suffix_rows(transform, size, ragged(np.zeros(len(parts), np.int64), part_windows), part)
     run = np.cumsum(prefixes < width)[rows]
     order = np.argsort(run, kind="stable")
     sorted_run = run[order]
     begin = np.flatnonzero(np.concatenate([[True], sorted_run[1:] != sorted_run[:-1]]))
-    least = np.minimum.reduceat(owner[string][order], begin)
-    out = np.empty(len(string), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
-    return out, windows
+    least = np.minimum.reduceat(owner[parts][part][order], begin)
+    answer = np.empty(len(part), np.int64)
+    answer[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
+    found[ragged(first, part_windows)] = answer
+    return found, windows

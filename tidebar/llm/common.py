@@ -43,12 +43,18 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.get(name, df)
 
-    def put_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """A table bucketed by ``key``: joins and groups by it exchange no rows of this side again."""
-        n, known = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"tidebar_{uuid.uuid4().hex}"
+    def put_bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """A table in ``n`` buckets by ``key``: joins and groups by it exchange no rows of this side again.
+
+        The catalog knows it only while it is resolved; its files stay.
+        """
+        known = f"tidebar_{uuid.uuid4().hex}"
         writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd")
         writer.option("path", self.path(name)).saveAsTable(known)
-        return self.spark.table(known)
+        found = self.spark.table(known)
+        found.schema  # noqa: B018  resolves it
+        self.spark.sql(f"DROP TABLE {known}")
+        return found
 
     def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
         reader = self.spark.read if like is None else self.spark.read.schema(like.schema)

@@ -3,17 +3,18 @@
 A byte goes when it is covered by a string of ``width`` bytes that also starts in a document with a smaller doc_id.
 
 1. Texts are gathered in batches of bounded size, in one table that is bucketed by batch, so they are exchanged once.
-2. Texts are cut by content.  A chunk that, with the bytes after it in which its last windows end, is also in a
-   document with a smaller doc_id goes whole, without a closer look; copies are done with here.
-3. Every other window of ``width`` bytes has a least k-gram hash, and equal windows have the same one.  Only these
-   hashes (for about one byte in 14) are exchanged, packed, to find the k-grams that occur more than once.
-4. The strings around such k-grams (a k-gram with all windows whose least it is) go to their k-gram's bucket, equal
+2. Every window of ``width`` bytes has a least k-gram hash, and equal windows have the same one.  Only these hashes
+   (for about one byte in 14) are exchanged, packed, to find the k-grams that occur more than once.
+3. The strings around such k-grams (a k-gram with all windows whose least it is) go to their k-gram's bucket, equal
    ones of a batch once with the least doc_id.  Windows of a k-gram with very many strings are dealt one by one,
    by their own hash, so no k-gram's strings meet in one task.
-5. A bucket's strings are one collection: its Burrows-Wheeler transform and common prefixes are built column by
-   column (see ``bwt``); suffixes that share ``width`` bytes or more are neighbours there, and the least doc_id of
-   such a run says which of its windows go.
-6. These answers, a bit a window, go back to the batches, where the texts are.
+4. A bucket's strings are one collection.  Windows whose rolling hash no string of another owner has can't be answered
+   otherwise than by themselves, so strings lose them at their ends, or go; of what is left, the Burrows-Wheeler
+   transform and common prefixes are built column by column (see ``bwt``); suffixes that share ``width`` bytes or more
+   are neighbours there, and the least doc_id of such a run says which of its windows go.
+5. These answers, a bit a window, go back to the batches, where the texts are.
+
+Hashes only say which strings can't be equal; what is equal, the transform says.
 
 Defined cases: a null text is an empty one; a null doc_id comes before all others; rows that repeat a doc_id are
 documents of the same rank, which take nothing from each other; texts shorter than ``width`` keep all; an empty table
@@ -23,6 +24,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.bwt import least_owner
-from tidebar.llm.chunking import cut_candidates, cuts
 from tidebar.llm.common import Scratch, slices
 from tidebar.llm.encoder import flat_bytes, ragged
 
 GRAM = 24
 _LEAST_ID, _MOST_ID = -(1 << 63), (1 << 63) - 1
 _C = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_PART = 1 << 20
+_PART = 1 << 17
 
 
 def _words(raw: np.ndarray, n: int) -> np.ndarray:
@@ -110,6 +111,19 @@ def reach(least: np.ndarray, place: np.ndarray, own: np.ndarray, width: int) ->
     return first, last
 
 
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """By the upper bits, so grams in ascending order are in the order of their buckets, too."""
+    return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+
+
+def _arrays(packed: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of whole texts, one row each."""
     base, k = TaskContext.get().partitionId() << 32, 0
@@ -128,7 +142,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Batch:
-    """A batch's texts and, once it is known which windows to skip, its k-grams in the order of buckets and hashes."""
+    """A batch's texts, and its k-grams in the order of buckets."""
 
     def __init__(self, row: dict, width: int, buckets: int):
         self.ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
@@ -137,82 +151,55 @@ class _Batch:
         self.at = np.concatenate([[0], np.cumsum(sizes)])
         self.width, self.buckets = width, buckets
 
-    def chunks(self):
-        """Different chunks in the order of buckets: (bucket, key), least id; and each chunk's number, doc and span."""
-        body, at = self.raw.tobytes(), self.at.tolist()
-        candidates = cut_candidates(self.raw, 8)
-        numbers: dict[bytes, int] = {}
-        number, doc, begin, end = [], [], [], []
-        for k in range(len(self.ids)):
-            a, stop = at[k], at[k + 1]
-            for b in cuts(candidates, a, stop, 64, 2048):
-                key = xxhash.xxh3_128_digest(body[a : min(b + self.width - 1, stop)])
-                number.append(numbers.setdefault(key, len(numbers)))
-                doc.append(k), begin.append(a), end.append(b)
-                a = b
-        number, doc = np.array(number, np.int64), np.array(doc, np.int64)
-        owner = np.full(len(numbers), _MOST_ID)
-        np.minimum.at(owner, number, self.ids[doc])
-        bucket = np.frombuffer(b"".join(numbers), "<u8")[::2] % np.uint64(self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        keys = list(numbers)
-        spans = np.array(begin, np.int64), np.array(end, np.int64)
-        return [keys[k] for k in order.tolist()], bucket[order].astype(np.int64), owner[order], rank[number], doc, spans
-
-    def look(self, gone: np.ndarray) -> None:
-        """Takes the windows that start at ``gone`` places as removed and finds the least hashes of the others."""
-        skip = gone.copy()
+    def look(self) -> None:
+        """Finds the least hashes of the windows that lie in one text."""
+        skip = np.zeros(len(self.raw), bool)
         ends = self.at[1:]
         begin = np.maximum(ends - self.width + 1, self.at[:-1])
         skip[ragged(begin, ends - begin)] = True
         self.least, self.place, self.hash = least_hashes(self.raw, skip, self.width)
-        bucket = (self.hash % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((self.hash, bucket))
+        spread = self.hash * _C[1]  # least hashes are small ones
+        order = np.argsort(spread)
+        ordered = spread[order]
         new = np.ones(len(order), bool)
-        new[1:] = self.hash[order][1:] != self.hash[order][:-1]
+        new[1:] = ordered[1:] != ordered[:-1]
         self.gram = np.empty(len(order), np.int64)
         self.gram[order] = np.cumsum(new) - 1
-        self.grams, self.gram_bucket = self.hash[order][new], bucket[order][new]
+        self.grams = ordered[new]
+        self.gram_bucket = _bucket(self.grams, self.buckets)
         self.uses = np.bincount(self.gram, minlength=len(self.grams))
 
-    def windows_of(self, gone: np.ndarray) -> np.ndarray:
-        """The places of ``gone`` at which whole windows of their texts start."""
-        out = gone.copy()
-        ends = self.at[1:]
-        begin = np.maximum(ends - self.width + 1, self.at[:-1])
-        out[ragged(begin, ends - begin)] = False
-        return out
-
     def strings(self, state: np.ndarray):
-        """Different strings of k-grams in state 1, whole, and 2, by window: (bucket, text) -> number, and occurrences.
+        """Different strings of k-grams in state 1, whole, and 2, by window, in the order of buckets; and occurrences.
 
-        Occurrences: (string, doc, first window, windows), one for each anchor or window.
+        (texts, buckets, least ids), and for each anchor or window: (string, doc, first window, windows).  A string's
+        k-gram follows from it, so equal strings have the same bucket.
         """
         body, at, width = self.raw.tobytes(), self.at, self.width
         on = np.flatnonzero(state[self.gram] > 0)
         hot = state[self.gram[on]] == 2
         begin, last = reach(self.least, self.place[on], self.hash[on], width)
-        doc = np.searchsorted(at, begin, "right") - 1
         windows = last - begin + 1
         each = np.where(hot, windows, 1)
         first = np.repeat(begin, each) + ragged(np.zeros(len(on), np.int64), each)
         windows = np.repeat(np.where(hot, 1, windows), each)
-        doc, hot = np.repeat(doc, each), np.repeat(hot, each)
-        bucket = np.repeat(self.gram_bucket[self.gram[on]], each).tolist()
-        numbers: dict[tuple[int, bytes], int] = {}
-        string = np.empty(len(first), np.int64)
-        stops = (first + windows + width - 1).tolist()
-        for k, (a, b, is_hot) in enumerate(zip(first.tolist(), stops, hot.tolist(), strict=True)):
-            text = body[a:b]
-            place = xxhash.xxh3_64_intdigest(text) % self.buckets if is_hot else bucket[k]
-            string[k] = numbers.setdefault((place, text), len(numbers))
-        keys = list(numbers)
-        order = np.argsort(np.array([k[0] for k in keys], np.int64), kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        return [keys[k] for k in order.tolist()], rank[string], doc, first, windows
+        hot = np.repeat(hot, each)
+        doc = np.searchsorted(at, first, "right") - 1
+        numbers: dict[bytes, int] = {}
+        stops = first + windows + width - 1
+        texts = [body[a:b] for a, b in zip(first.tolist(), stops.tolist(), strict=True)]
+        string = np.fromiter((numbers.setdefault(x, len(numbers)) for x in texts), np.int64, len(texts))
+        bucket = np.empty(len(numbers), np.int64)
+        bucket[string] = np.repeat(self.gram_bucket[self.gram[on]], each)
+        different = list(numbers)
+        for k in np.unique(string[hot]).tolist():
+            bucket[k] = xxhash.xxh3_64_intdigest(different[k]) % self.buckets
+        owner = np.full(len(numbers), _MOST_ID)
+        np.minimum.at(owner, string, self.ids[doc])
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return ([different[k] for k in order.tolist()], bucket[order], owner[order]), (rank[string], doc, first, windows)
 
 
 def _runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -221,41 +208,6 @@ def _runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(which.tolist(), begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True))
 
 
-def _chunk_rows(width: int, buckets: int):
-    """For mapInArrow: a row for each batch and bucket: its chunks' keys and the least ids of documents with them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches:
-            for r in table.to_pylist():
-                keys, bucket, owner, *_ = _Batch(r, width, buckets).chunks()
-                runs = _runs(bucket)
-                yield pa.record_batch(
-                    [
-                        pa.array([w for w, _, _ in runs], pa.int64()), pa.array([r["batch"]] * len(runs), pa.int64()),
-                        pa.array([b"".join(keys[x:y]) for _, x, y in runs], pa.binary()),
-                        pa.array([owner[x:y].tobytes() for _, x, y in runs], pa.binary()),
-                    ],
-                    names=["bucket", "batch", "keys", "owner"],
-                )
-
-    return run
-
-
-def _chunk_answers(table: pa.Table) -> pa.Table:
-    """For applyInArrow by bucket: for each batch, a bit for each of its chunks: a lesser id has it too."""
-    parts = table.column("keys").to_pylist()
-    keys = np.frombuffer(b"".join(parts), np.dtype([("a", "<u8"), ("b", "<u8")]))
-    owner = np.frombuffer(b"".join(table.column("owner").to_pylist()), np.int64)
-    order = np.lexsort((keys["b"], keys["a"]))
-    key = keys[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.empty(len(keys), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(owner[order], begin), np.diff(np.append(begin, len(key))))
-    ends = np.cumsum([len(p) // 16 for p in parts])[:-1]
-    bits = [np.packbits(x).tobytes() for x in np.split(least < owner, ends)]
-    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-
 def _unpacked(table: pa.Table, runs: list[tuple[int, int, int]], sizes: np.ndarray) -> np.ndarray:
     """Bits of a batch's buckets, end to end; bucket runs[k] has those of the items from..to, each of ``sizes`` bits."""
     found = dict(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True))
@@ -267,30 +219,23 @@ _STATES = "batch long, bucket long, state binary"
 
 
 def _gram_rows(width: int, buckets: int):
-    """For applyInArrow over (batch, chunk answers): a row for each bucket: k-gram hashes, and how often each occurs.
-
-    One row more, of a bucket of its own, has the places where windows start that go with their chunks.
-    """
+    """For mapInArrow: a row for each batch and bucket: k-gram hashes, and how often each occurs."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("bucket", "batch", "grams", "uses")}
-        if left.num_rows:
-            r = left.to_pylist()[0]
-            b = _Batch(r, width, buckets)
-            keys, bucket, owner, number, doc, (begin, end) = b.chunks()
-            taken = _unpacked(right, _runs(bucket), np.ones(len(keys), np.int64))
-            whole = taken[number] | (b.ids[doc] > owner[number])
-            gone = np.zeros(len(b.raw), bool)
-            gone[ragged(begin[whole], (end - begin)[whole])] = True
-            b.look(gone)
-            uses = np.minimum(b.uses, 255).astype(np.uint8)
-            runs = _runs(b.gram_bucket)
-            out["bucket"] = [w for w, _, _ in runs] + [-1 - r["batch"]]
-            out["batch"] = [r["batch"]] * (len(runs) + 1)
-            out["grams"] = [b.grams[x:y].tobytes() for _, x, y in runs] + [np.packbits(gone).tobytes()]
-            out["uses"] = [uses[x:y].tobytes() for _, x, y in runs] + [None]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for r in table.to_pylist():
+                b = _Batch(r, width, buckets)
+                b.look()
+                uses = np.minimum(b.uses, 255).astype(np.uint8)
+                runs = _runs(b.gram_bucket)
+                yield pa.record_batch(
+                    [
+                        pa.array([w for w, _, _ in runs], pa.int64()), pa.array([r["batch"]] * len(runs), pa.int64()),
+                        pa.array([b.grams[x:y].tobytes() for _, x, y in runs], pa.binary()),
+                        pa.array([uses[x:y].tobytes() for _, x, y in runs], pa.binary()),
+                    ],
+                    names=["bucket", "batch", "grams", "uses"],
+                )
 
     return run
 
@@ -298,10 +243,8 @@ def _gram_rows(width: int, buckets: int):
 def _shared_grams(hot: int):
     """For applyInArrow by bucket: for each batch, its k-grams' states: 0 alone, 1 shared, 2 shared by very many."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         batch, bucket = table.column("batch"), table.column("bucket")
-        if key[0].as_py() < 0:
-            return pa.table({"batch": batch, "bucket": bucket, "state": table.column("grams")})
         grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         uses = np.frombuffer(b"".join(table.column("uses").to_pylist()), np.uint8).astype(np.int64)
         _, which = np.unique(np.concatenate(grams), return_inverse=True)
@@ -313,34 +256,31 @@ def _shared_grams(hot: int):
     return run
 
 
-def _looked(row: dict, states: pa.Table, width: int, buckets: int) -> tuple[_Batch, np.ndarray, np.ndarray]:
-    """A batch with its least hashes, which of its windows are gone already, and its k-grams' states."""
-    b = _Batch(row, width, buckets)
-    of = pc.less(states.column("bucket"), 0)
-    gone = np.frombuffer(states.filter(of).column("state").to_pylist()[0], np.uint8)
-    gone = np.unpackbits(gone, count=len(b.raw)).astype(bool)
-    b.look(gone)
-    rest = states.filter(pc.invert(of)).sort_by("bucket").column("state").to_pylist()
-    return b, gone, np.frombuffer(b"".join(rest), np.uint8)
-
-
 def _string_rows(width: int, buckets: int):
-    """For applyInArrow over (batch, states): a row for each bucket: lengths, bytes and least ids of its strings."""
+    """For applyInArrow over (batch, states): a row for each bucket: lengths, bytes and least ids of its strings.
+
+    One row more, of a bucket of its own, has what the batch needs of them at the end.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("bucket", "batch", "lengths", "body", "owner")}
         if left.num_rows:
             r = left.to_pylist()[0]
-            b, _, state = _looked(r, right, width, buckets)
-            keys, string, doc, _, _ = b.strings(state)
-            owner = np.full(len(keys), _MOST_ID)
-            np.minimum.at(owner, string, b.ids[doc])
-            for w, x, y in _runs(np.array([k[0] for k in keys], np.int64)):
-                texts = [k[1] for k in keys[x:y]]
+            b = _Batch(r, width, buckets)
+            b.look()
+            state = np.frombuffer(b"".join(right.sort_by("bucket").column("state").to_pylist()), np.uint8)
+            (texts, bucket, owner), (string, doc, first, windows) = b.strings(state)
+            runs = _runs(bucket)
+            for w, x, y in runs:
                 out["bucket"].append(w), out["batch"].append(r["batch"])
-                out["lengths"].append(np.array([*map(len, texts)], np.uint8).tobytes())
-                out["body"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(texts)))
+                out["lengths"].append(np.array([*map(len, texts[x:y])], np.uint8).tobytes())
+                out["body"].append(zstandard.ZstdCompressor(level=1).compress(b"".join(texts[x:y])))
                 out["owner"].append(owner[x:y].tobytes())
+            sizes = np.array([*map(len, texts)], np.int64) - width + 1
+            later = b.ids[doc] > owner[string]
+            out["bucket"].append(-1 - r["batch"]), out["batch"].append(r["batch"])
+            narrow = [x.astype(np.int32) for x in (bucket, sizes, string, first, windows)]
+            out["lengths"].append(None), out["owner"].append(None), out["body"].append(_packed(*narrow, later))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
@@ -350,7 +290,9 @@ def _string_rows(width: int, buckets: int):
 def _answers(width: int):
     """For applyInArrow by bucket: for each batch, a bit for each window of its strings: a lesser id has it too."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": table.column("body")})
         unpack = zstandard.ZstdDecompressor().decompress
         lengths = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("lengths").to_pylist()]
         sizes = [int(x.sum()) for x in lengths]
@@ -360,7 +302,8 @@ def _answers(width: int):
         lengths = np.concatenate(lengths)
         numbers: dict[bytes, int] = {}
         at = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-        string = np.array([numbers.setdefault(body[a:b], len(numbers)) for a, b in zip(at, at[1:], strict=False)], np.int64)
+        parts = [body[a:b] for a, b in zip(at, at[1:], strict=False)]
+        string = np.fromiter((numbers.setdefault(x, len(numbers)) for x in parts), np.int64, len(parts))
         least = np.full(len(numbers), _MOST_ID)
         np.minimum.at(least, string, owner)
         own_lengths = np.array([*map(len, numbers)], np.int64)
@@ -379,22 +322,20 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _removed(width: int, buckets: int):
-    """For applyInArrow over (batch, states and bits): what goes of each document."""
+    """For applyInArrow over (batch, bits): what goes of each document."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c.split()[0]: [] for c in _RESULT.split(", ", 5)}
         if left.num_rows:
             r = left.to_pylist()[0]
-            b, whole, state = _looked(r, right.filter(pc.is_valid(right.column("state"))), width, buckets)
-            keys, string, doc, first, windows = b.strings(state)
-            owner = np.full(len(keys), _MOST_ID)
-            np.minimum.at(owner, string, b.ids[doc])
-            per_key = np.array([len(k[1]) - width + 1 for k in keys], np.int64)
-            answers = right.filter(pc.is_valid(right.column("bits"))).select(["bucket", "bits"])
-            bits = _unpacked(answers, _runs(np.array([k[0] for k in keys], np.int64)), per_key)
-            key_begin = np.cumsum(per_key) - per_key
-            gone = bits[ragged(key_begin[string], windows)] | np.repeat(b.ids[doc] > owner[string], windows)
-            begins = b.windows_of(whole)
+            b = _Batch(r, width, buckets)
+            own = pc.less(right.column("bucket"), 0)
+            bucket, sizes, string, first, windows, later = _arrays(right.filter(own).column("bits").to_pylist()[0])
+            answers = right.filter(pc.invert(own))
+            bits = _unpacked(answers, _runs(bucket), sizes)
+            begin = np.cumsum(sizes, dtype=np.int64) - sizes
+            gone = bits[ragged(begin[string], windows)] | np.repeat(later, windows)
+            begins = np.zeros(len(b.raw), bool)
             begins[ragged(first, windows)[gone]] = True
             edge = np.cumsum(np.concatenate([[0], begins]))
             n = len(begins)
@@ -415,31 +356,30 @@ def _removed(width: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, bucket_bytes: int = 3_000_000, hot: int = 20_000) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = 50, bucket_bytes: int = 3_000_000, hot: int = 20_000,
+    task_bytes: int = 32_000_000, least_tasks: int = 8,
+) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets that go).
 
-    ``bucket_bytes`` of text make a bucket; a k-gram that occurs more than ``hot`` times is dealt by windows.
+    ``bucket_bytes`` of text make a bucket and ``task_bytes`` a task, so tasks don't grow with the input; a k-gram that occurs more than ``hot`` times is dealt by windows.
     """
     if width < 2 * GRAM or width - GRAM > 128:
         raise ValueError(f"width is from {2 * GRAM} to {GRAM + 128}")
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets, tasks = max(1, -(-total // bucket_bytes)), max(least_tasks, -(-total // task_bytes))
     held = source.mapInArrow(_gather, "batch long, ids binary, sizes binary, body binary")
-    held = scratch.put_bucketed(held, "batches", "batch")
-    total = held.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = max(1, -(-3 * total // bucket_bytes))  # texts are about three times their compressed size
-
-    by_batch, answer = held.groupBy("batch"), "batch long, bucket long, bits binary"
-    chunks = held.mapInArrow(_chunk_rows(width, buckets), "bucket long, batch long, keys binary, owner binary")
-    known = chunks.groupBy("bucket").applyInArrow(_chunk_answers, answer)
-    grams = by_batch.cogroup(known.groupBy("batch")).applyInArrow(
-        _gram_rows(width, buckets), "bucket long, batch long, grams binary, uses binary"
-    )
-    states = scratch.put(grams.groupBy("bucket").applyInArrow(_shared_grams(hot), _STATES), "states")
+    held = scratch.put_bucketed(held, "batches", "batch", tasks)
+
+    by_batch = held.groupBy("batch")
+    grams = held.mapInArrow(_gram_rows(width, buckets), "bucket long, batch long, grams binary, uses binary")
+    states = grams.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared_grams(hot), _STATES)
+    states = scratch.put(states, "states")
     strings = by_batch.cogroup(states.groupBy("batch")).applyInArrow(
         _string_rows(width, buckets), "bucket long, batch long, lengths binary, body binary, owner binary"
     )
-    bits = scratch.put(strings.groupBy("bucket").applyInArrow(_answers(width), answer), "bits")
-    no_bits, no_state = F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("state")
-    marks = states.select("batch", "bucket", "state", no_bits).unionByName(bits.select("batch", "bucket", no_state, "bits"))
-    return by_batch.cogroup(marks.groupBy("batch")).applyInArrow(_removed(width, buckets), _RESULT)
+    bits = strings.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answers(width), "batch long, bucket long, bits binary")
+    bits = scratch.put(bits, "bits")
+    return by_batch.cogroup(bits.groupBy("batch")).applyInArrow(_removed(width, buckets), _RESULT)
