@@ -6,11 +6,14 @@ model that goes to the executors is the short list of the others.
 
 Training takes at most ``max_docs`` labelled documents, those with the least hashes of their ids.  They are dealt
 over ``shards`` groups of bounded size; in each epoch every group starts from the same state and the changes are
-averaged.  Same rows, same model.
+averaged, block by block of coordinates, in Spark; the driver gets one mean of each coordinate that moved.  Same rows,
+same model.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; null labels are not
 learned from; of several labels of one document the highest counts; without labels every score is 0.5's intercept,
-which is 0.5; rows that repeat a doc_id are scored each; an empty table gives an empty result.
+which is 0.5; rows that repeat a doc_id are scored each, and of their texts the least is learned from; texts of any
+length are read whole, in slices of bounded size; an empty table gives an empty result; columns besides ``doc_id`` and
+``text`` are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import Scratch, slices
 from tidebar.llm.encoder import split_texts
 
+_BLOCK = 14  # bits of a coordinate within its block
+_MOVED = "at binary, dz binary, dn binary"
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -146,8 +152,28 @@ def _epoch(ftrl: Ftrl, state, places: int, epoch: int):
         order = np.random.default_rng(epoch).permutation(len(data)).tolist()
         ftrl.learn(z, n, [data[k] for k in order])
         at = np.flatnonzero((z != z_was) | (n != n_was))
-        moved = {"at": at.astype("<i4"), "dz": (z - z_was)[at].astype("<f4"), "dn": (n - n_was)[at].astype("<f4")}
-        return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in moved.items()})
+        moved = (at.astype("<i4"), (z - z_was)[at].astype("<f4"), (n - n_was)[at].astype("<f4"))
+        block, begin = np.unique(at >> _BLOCK, return_index=True)
+        ends = np.append(begin, len(at)).tolist()
+        parts = {k: pa.array([v[a:b].tobytes() for a, b in pairwise(ends)], pa.binary()) for k, v in zip(("at", "dz", "dn"), moved, strict=True)}
+        shard = table.column("shard")[: 1].to_pylist() * len(block)
+        return pa.table({"shard": pa.array(shard, pa.int32()), "block": pa.array(block, pa.int32()), **parts})
+
+    return run
+
+
+def _mean(shards: int):
+    """For applyInArrow by block: the mean change of each of its coordinates over all shards, moved there or not."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        at, dz, dn = (
+            np.concatenate([np.frombuffer(x, kind) for x in table.column(k).to_pylist()])
+            for k, kind in (("at", "<i4"), ("dz", "<f4"), ("dn", "<f4"))
+        )
+        place, which = np.unique(at, return_inverse=True)
+        means = [(np.bincount(which, x) / shards).astype("<f4") for x in (dz, dn)]
+        return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(("at", "dz", "dn"), (place, *means), strict=True)})
 
     return run
 
@@ -172,17 +198,20 @@ def train(
     # at most max_docs rows of three numbers, so the texts need not be exchanged
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "nth", "label").agg(F.min("text").alias("text"))
     found = rows.mapInArrow(_features(bits), "doc_id long, nth long, label int, places binary")
-    dealt = Scratch(spark, "toxicity").put(found.withColumn("shard", F.pmod("nth", F.lit(shards)).cast("int")), "features")
+    # in buckets, so an epoch exchanges no features
+    found = found.withColumn("shard", F.pmod("nth", F.lit(shards)).cast("int"))
+    dealt = Scratch(spark, "toxicity").put_bucketed(found, "features", "shard", 2 * shards)
+    used = max(1, dealt.select("shard").distinct().count())
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for epoch in range(epochs):
         met = np.flatnonzero((z != 0) | (n != 0))
         state = spark.sparkContext.broadcast((met.astype("<i4"), z[met].astype("<f4"), n[met].astype("<f4")))
         work = _epoch(ftrl, state, len(z), epoch)
-        changes = dealt.groupBy("shard").applyInArrow(work, "at binary, dz binary, dn binary").collect()
-        for at, dz, dn in sorted(changes):
+        moved = dealt.groupBy("shard").applyInArrow(work, f"shard int, block int, {_MOVED}")
+        for at, dz, dn in moved.groupBy("block").applyInArrow(_mean(used), _MOVED).collect():
             at = np.frombuffer(at, "<i4")
-            z[at] += np.frombuffer(dz, "<f4") / len(changes)
-            n[at] += np.frombuffer(dn, "<f4") / len(changes)
+            z[at] += np.frombuffer(dz, "<f4")
+            n[at] += np.frombuffer(dn, "<f4")
         state.destroy()  # its copies on disk go, too
     w = ftrl.weights(z[:-1], n[:-1])
     places = np.flatnonzero(w)
