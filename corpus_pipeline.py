@@ -31,37 +31,55 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity model rejects."""
+    """Without the documents that the toxicity model rejects.
+
+    Null and empty texts get the intercept's score and stay unless that rejects; repeated rows are judged each; an
+    empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
     return toxicity.without_toxic(docs, toxicity.train(docs, labels, "toxic"), THRESHOLD)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of equal ones."""
+    """One document of equal ones, that with the largest doc_id; null texts count as empty ones.
+
+    Of rows that repeat doc_id and text one stays, the first by its other columns.
+    """
     found = exact_dedup.exact_dedup(docs).where("kept")
     return _only(docs, found.select("doc_id", F.unhex(F.substring("text_sha256", 1, 32)).alias("text_key")))
 
 
 def without_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of a similarity of 0.8 or more join: that with the least doc_id."""
+    """One document of each group that links of a similarity of 0.8 or more join: that with the least doc_id.
+
+    Null texts count as empty ones; texts without words link to none; of rows that repeat doc_id and text one stays.
+    """
     return _only(docs, jaccard_join.jaccard_join(docs).where("kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row for each pass; where it cuts one, its first words, between blanks."""
-    same = W.partitionBy("doc_id", "text_key").orderBy("row")
-    found = mixing.mix(docs).where("taken > 0").withColumn("nth", F.row_number().over(same))
-    passes = found.select("doc_id", "text_key", "nth", "size", F.explode("served").alias("words")).where("words > 0")
-    passes = passes.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_taken"), "nth", "size", "words")
-    match = (F.col("_key") == F.col("_taken")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("nth"))
-    both = _numbered(docs).join(passes, match)
-    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
-    return both.withColumn("text", text.otherwise(F.col("text"))).select(*docs.columns)
+    """The documents that the mix takes, a row for each pass, in the order of their virtual finish times.
+
+    Where the mix cuts a document, its first words stay, between blanks.  Null texts and texts without words aren't
+    taken; rows that repeat a doc_id, or a text, too, are documents of their own; sources may be null.
+    """
+    queue = mixing.packets(docs).where("words > 0").select("row", "text_key", "at", "words", "size")
+    queue = Scratch(spark, "mixed").put(queue, "queue")
+    total = queue.agg(F.sum("words")).first()[0] or 0
+    # rows are numbered as in the queue, from the same files; the key says so
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), text_key().alias("key"))
+    same = F.when(F.col("key") == F.col("text_key"), F.col("doc.text")).otherwise(F.raise_error(F.lit("rows are not where the queue has them")))
+    words = F.filter(F.split(same, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(same)
+    both = own.join(queue, "row").select("at", "words", F.col("doc").withField("text", text).alias("doc"))
+    return mixing.mixed_order(both, total).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences that the documents fill."""
+    """The pieces of the sequences that the documents fill, in the order in which the mix is stored.
+
+    Null texts are an end id alone; long ones span sequences; no documents, no pieces.
+    """
     return packing.pack(docs)
 
 
