@@ -1,14 +1,17 @@
 """Packing token streams into sequences of bounded length, in document order, by dynamic programming.
 
 A run of documents is one stream of ids.  Windows may be cut at ends of documents and of sentences (and every few
-hundred ids of a sentence that is longer).  A cut inside a document is penalised, as is padding; the cheapest chain
-of windows is found with a monotone queue, since a window's cost is a sum of a term of its start and a term of its
-end, and starts leave the front of the queue as they come to lie more than a sequence away.
+dozen ids of a sentence that is longer).  A cut inside a document is penalised, as is padding; the cheapest chain of
+windows is found with a monotone queue, since a window's cost is a sum of a term of its start and a term of its end,
+and starts leave the front of the queue as they come to lie more than a sequence away.  A window whose length happens
+to be a power of two needs no padding; it is a transition of its own, for a fee, so that short sequences stay rare.
 
-The last window of a run is made of lengths that are powers of two, which need no padding.
+Only the last window of a run, which no later document can fill, may be cut anywhere, into powers of two, each for the
+fee and the penalty of a cut within a sentence; the programme weighs that against padding it.
 
 Defined cases: a null text is an empty one (its end id alone); a document longer than a sequence spans several;
-rows that repeat a doc_id are packed as they come; an empty table gives an empty result.
+rows that repeat a doc_id are packed as they come; an empty table gives an empty result; columns besides ``doc_id``
+and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +35,30 @@ _PIECES = (
 )
 
 
-def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int) -> list[int]:
+def powers(length: int) -> list[int]:
+    """``length`` as a sum of powers of two, the largest first."""
+    return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
+
+
+def short_windows(places: np.ndarray, most: int) -> dict[int, list[int]]:
+    """For each place, those before it at a distance that is a power of two below ``most``, by number."""
+    out: dict[int, list[int]] = {}
+    for k in range(most.bit_length()):
+        if 1 << k < most:
+            at = np.searchsorted(places, places - (1 << k))
+            for j in np.flatnonzero(places[at] == places - (1 << k)).tolist():
+                out.setdefault(j, []).append(int(at[j]))
+    return out
+
+
+def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int, fee: float, anywhere: float) -> list[int]:
     """Places at which windows end, from ``places`` (ascending, the first 0, no two further apart than ``most``).
 
-    cost(end) = penalty(end) + most - place(end) + least over starts in reach of (cost(start) + place(start)).
+    cost(end) = penalty(end) + the less of most - place(end) + least over starts in reach of (cost(start) +
+    place(start)), and fee + least cost(start) over starts at the distance of a power of two.  The last window may also
+    be cut into powers of two, for ``fee`` each and ``anywhere`` a cut.
     """
+    short = short_windows(places, most)
     places, penalty = places.tolist(), penalty.tolist()
     cost, came = [0.0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])
@@ -46,53 +68,55 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int) -> list[int]
         while here - places[queue[0]] > most:
             queue.popleft()
         i = queue[0]
+        best = key[i] + most - here
+        for s in short.get(j, ()):
+            if cost[s] + fee < best:
+                i, best = s, cost[s] + fee
         came[j] = i
-        cost[j] = key[i] + most - here + penalty[j]
+        cost[j] = best + penalty[j]
         k = key[j] = cost[j] + here
         while queue and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
-    out, j = [], len(places) - 1
+    last = len(places) - 1
+    pieces: list[int] = []
+    for i in range(last - 1, -1, -1):
+        length = places[last] - places[i]
+        if length > most:
+            break
+        parts = powers(length)
+        own = cost[i] + fee * len(parts) + anywhere * (len(parts) - 1) + penalty[last]
+        if own < cost[last]:
+            cost[last], came[last], pieces = own, i, parts
+    out, j = [], last
     while j:
         out.append(places[j])
         j = came[j]
-    return out[::-1]
-
-
-def powers(length: int) -> list[int]:
-    """``length`` as a sum of powers of two, the largest first."""
-    return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
+    inner = np.cumsum(pieces)[:-1] + places[came[last]] if pieces else []
+    return sorted({*out, *map(int, inner)})
 
 
 class Packer:
     """Packs runs of documents: their ids end to end, where each ends, and where their sentences end."""
 
-    def __init__(self, most: int, inside: float, mid_sentence: float, grid: int):
-        self.most, self.inside, self.mid_sentence, self.grid = most, inside, mid_sentence, grid
+    def __init__(self, most: int, inside: float, mid_sentence: float, grid: int, fee: float):
+        self.most, self.inside, self.mid_sentence, self.grid, self.fee = most, inside, mid_sentence, grid, fee
 
-    def windows(self, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> list[int]:
-        total = int(doc_ends[-1])
+    def places(self, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows may be cut, and the penalty of each."""
         known = np.union1d(doc_ends, sentence_ends)
         known = np.concatenate([[0], known[known > 0]])
-        gaps = np.diff(known)
-        wide = np.flatnonzero(gaps > self.grid)
+        wide = np.flatnonzero(np.diff(known) > self.grid)
         more = [np.arange(known[k] + self.grid, known[k + 1], self.grid) for k in wide]
         places = np.union1d(known, np.concatenate([np.empty(0, np.int64), *more]))
         penalty = np.full(len(places), self.mid_sentence)
         penalty[np.isin(places, sentence_ends)] = self.inside
         penalty[np.isin(places, doc_ends)] = 0.0
-        ends = choose_cuts(places, penalty, self.most)
-        # the shortest windows of the run become powers of two where that saves padding
-        out, begin = [], 0
-        for end in ends:
-            length = end - begin
-            parts = powers(length)
-            if self.most - length > self.mid_sentence * (len(parts) - 1) or end == total and length < self.most:
-                out += (begin + np.cumsum(parts)).tolist()
-            else:
-                out.append(end)
-            begin = end
-        return out
+        return places, penalty
+
+    def windows(self, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> list[int]:
+        places, penalty = self.places(doc_ends, sentence_ends)
+        return choose_cuts(places, penalty, self.most, self.fee, self.mid_sentence)
 
 
 def pack_partition(path: str, end_id: int, packer: Packer, run_tokens: int):
@@ -149,14 +173,15 @@ def pack_partition(path: str, end_id: int, packer: Packer, run_tokens: int):
 
 def pack(
     docs: DataFrame, most: int = 4096, end_id: int = 2, path: str | None = None, inside: float = 8.0,
-    mid_sentence: float = 24.0, grid: int = 256, run_tokens: int = 3_000_000,
+    mid_sentence: float = 24.0, grid: int = 32, fee: float = 64.0, run_tokens: int = 3_000_000,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
 
     Documents keep the order in which they are stored, so nothing is exchanged; a sequence is filled from one
     partition.  ``inside`` and ``mid_sentence`` are the penalties, in ids of padding, of a cut at the end of a
-    sentence within a document and of one within a sentence.
+    sentence within a document and of one within a sentence; ``fee`` is that of a sequence whose length is a lesser
+    power of two.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    work = pack_partition(path or vocabulary_path(), end_id, Packer(most, inside, mid_sentence, grid), run_tokens)
+    work = pack_partition(path or vocabulary_path(), end_id, Packer(most, inside, mid_sentence, grid, fee), run_tokens)
     return source.mapInArrow(work, _PIECES)
