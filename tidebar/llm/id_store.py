@@ -3,12 +3,13 @@
 Whole texts are encoded, each document's id stream is cut where a rolling hash of the ids says so, and every
 different chunk is stored once under the SHA-256 of its bytes.  The store is a folder of three Parquet tables:
 
-``chunks``     digest, n_ids, ids (little-endian unsigned, ``width`` bytes each)
+``chunks``     digest, n_ids, ids (little-endian unsigned, 2 or 4 bytes each, as the vocabulary needs)
 ``recipes``    in ascending doc_id order: file, doc_id, start, n_tokens, digests in order, root
 ``manifests``  file, documents, tokens, root
 
-``root`` is the Merkle root of a document's digests; a file's root is that of its documents' roots.  ``read_back``
-and ``verify`` rebuild every document's figures from the stored bytes.
+``root`` is the Merkle root of a document's digests; a file's root is that of its documents' roots.  ``verify`` takes
+all of them anew and holds them against the stored ones, ``read_ids`` rebuilds every document's ids from the stored
+bytes, and ``read_back`` their number, place and CRC-32.
 
 Defined cases: a null text is an empty one (its end id alone); equal doc_ids keep the order of their rows; null
 doc_ids come first; an empty table makes an empty store.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.chunking import cut_candidates, cuts
 from tidebar.llm.common import Scratch, prefix_sums, slices
-from tidebar.llm.encoder import encoder, vocabulary_path
+from tidebar.llm.encoder import encoder, greatest_id, vocabulary_path
 
 _CUT = pa.schema(
     [
@@ -91,17 +92,19 @@ def cut_ids(path: str, end_id: int, width: int, bits: int, least: int, most: int
 
 
 def write_store(
-    docs: DataFrame, root: str, end_id: int = 1, path: str | None = None, width: int = 2, bits: int = 10,
-    least: int = 256, most: int = 8192, rows_per_file: int = 100_000,
+    docs: DataFrame, root: str, end_id: int = 1, path: str | None = None, bits: int = 10, least: int = 256,
+    most: int = 8192, rows_per_file: int = 100_000,
 ) -> None:
-    """Writes the store to the folder ``root``; ``width`` 2 holds vocabularies of up to 65,536 ids."""
+    """Writes the store to the folder ``root``; ids of vocabularies above 65,536 take 4 bytes, others 2."""
+    path = path or vocabulary_path()
+    width = 2 if max(greatest_id(path), end_id) < 1 << 16 else 4
     spark = docs.sparkSession
     scratch = Scratch(spark, "id-store")
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
-    work = cut_ids(path or vocabulary_path(), end_id, width, bits, least, most)
+    work = cut_ids(path, end_id, width, bits, least, most)
     cut = scratch.put(source.mapInArrow(work, _CUT_SQL), "cut")
     chunks = cut.where("digest IS NOT NULL").select("digest", "ids").distinct()
     chunks = chunks.select("digest", (F.octet_length("ids") / width).cast("long").alias("n_ids"), "ids")
@@ -117,12 +120,25 @@ def write_store(
     scratch.drop("cut")
 
 
+def _checked_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for digests, root in zip(batch.column("digests").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            if merkle_root(digests) != root:
+                raise ValueError(f"a document's root is not that of its digests, but {root.hex()}")
+        yield batch.drop_columns(["digests"])
+
+
 def manifests(recipes: DataFrame) -> DataFrame:
-    """One row a recipe file, its root taken anew from the digests; a file has a bounded number of rows."""
+    """One row a recipe file, its root from its documents' stored roots, of which a file has a bounded number.
+
+    Fails where a document's root is not that of its digests.
+    """
+    columns = "file int, start long, row long, n_tokens long, root binary"
+    checked = recipes.select("file", "start", "row", "n_tokens", "root", "digests").mapInArrow(_checked_roots, columns)
 
     def of_file(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("start", "ascending"), ("row", "ascending")])
-        roots = [merkle_root(x) for x in rows.column("digests").to_pylist()]
+        roots = rows.column("root").to_pylist()
         total = sum(rows.column("n_tokens").to_pylist())
         return pa.table(
             {
@@ -131,11 +147,14 @@ def manifests(recipes: DataFrame) -> DataFrame:
             }
         )
 
-    return recipes.groupBy("file").applyInArrow(of_file, "file int, documents long, tokens long, root binary")
+    return checked.groupBy("file").applyInArrow(of_file, "file int, documents long, tokens long, root binary")
 
 
 def verify(spark: SparkSession, root: str) -> None:
-    """Raises where a manifest is not that of its recipes, or a document's root not that of its digests."""
+    """Raises where a manifest is not that of its recipes, or a document's root not that of its digests.
+
+    Chunks are held against their digests wherever they are read.
+    """
     stored = spark.read.parquet(f"{root}/manifests")
     again = manifests(spark.read.parquet(f"{root}/recipes"))
     if not stored.exceptAll(again).isEmpty() or not again.exceptAll(stored).isEmpty():
@@ -171,21 +190,44 @@ def shift_crc(crc: np.ndarray, zero_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
-def _checked_chunks(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, crcs = [], []
-            for digest, ids in zip(batch.column("digest").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if hashlib.sha256(ids).digest() != digest:
-                    raise ValueError(f"chunk {digest.hex()} does not match its digest")
-                counts.append(len(ids) // width)
-                crcs.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.record_batch(
-                [batch.column("digest"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())],
-                names=["digest", "n_ids", "crc"],
-            )
+def _checked(digests: list[bytes], bodies: list[bytes]) -> None:
+    for digest, ids in zip(digests, bodies, strict=True):
+        if hashlib.sha256(ids).digest() != digest:
+            raise ValueError(f"chunk {digest.hex()} does not match its digest")
 
-    return run
+
+def _checked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies, counts = batch.column("ids").to_pylist(), batch.column("n_ids").to_pylist()
+        _checked(batch.column("digest").to_pylist(), bodies)
+        wide = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(bodies, counts, strict=True)]
+        crcs = pa.array([zlib.crc32(x) for x in wide], pa.int64())
+        counts = pa.array([len(x) // 4 for x in wide], pa.int64())
+        yield pa.record_batch([batch.column("digest"), counts, crcs], names=["digest", "n_ids", "crc"])
+
+
+def _wide_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies, counts = batch.column("ids").to_pylist(), batch.column("n_ids").to_pylist()
+        _checked(batch.column("digest").to_pylist(), bodies)
+        ids = [np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(bodies, counts, strict=True)]
+        yield pa.record_batch([batch.column("digest"), pa.array(ids, pa.list_(pa.int64()))], names=["digest", "ids"])
+
+
+_NOT_STORED = "a recipe names a chunk that is not stored"
+
+
+def read_ids(spark: SparkSession, root: str) -> DataFrame:
+    """One row a document, from the stored files: doc_id, start, ids; every chunk is held against its digest."""
+    chunks = spark.read.parquet(f"{root}/chunks").select("digest", "n_ids", "ids")
+    chunks = chunks.mapInArrow(_wide_chunks, "digest binary, ids array<long>")
+    recipes = spark.read.parquet(f"{root}/recipes")
+    parts = recipes.select("doc_id", "row", "start", F.posexplode("digests").alias("pos", "digest"))
+    found = parts.join(chunks, "digest", "left").withColumn(
+        "ids", F.coalesce("ids", F.raise_error(F.lit(_NOT_STORED)).cast("array<long>"))
+    )
+    whole = found.groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    return whole.select("doc_id", "start", F.flatten(F.col("parts.ids")).alias("ids"))
 
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,18 +240,18 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def read_back(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
+def read_back(spark: SparkSession, root: str) -> DataFrame:
     """One row a document, from the stored files: doc_id, start, n_tokens, ids_crc32.
 
     Every stored chunk is read and held against its digest; a document's CRC-32 is put together from those of its
     chunks, so the ids themselves are not exchanged again.
     """
-    stored = spark.read.parquet(f"{root}/chunks").select("digest", "ids")
-    chunks = stored.mapInArrow(_checked_chunks(width), "digest binary, n_ids long, crc long")
+    stored = spark.read.parquet(f"{root}/chunks").select("digest", "n_ids", "ids")
+    chunks = stored.mapInArrow(_checked_chunks, "digest binary, n_ids long, crc long")
     recipes = spark.read.parquet(f"{root}/recipes")
     parts = recipes.select("doc_id", "row", "start", F.posexplode("digests").alias("pos", "digest"))
     found = parts.join(chunks, "digest", "left").withColumn(
-        "n_ids", F.coalesce("n_ids", F.raise_error(F.lit("a recipe names a chunk that is not stored")).cast("long"))
+        "n_ids", F.coalesce("n_ids", F.raise_error(F.lit(_NOT_STORED)).cast("long"))
     )
     later = W.partitionBy("row").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
     found = found.withColumn("after", F.coalesce(F.sum("n_ids").over(later), F.lit(0)))

@@ -4,7 +4,7 @@ A document's sections are sorted, disjoint spans of characters that cover it (he
 ``!``, ``?`` and line ends).  The join of tokens with sections is one of sorted intervals, by binary search.  A token
 across an edge goes by ``rule``: to the section of its first character, of its last, or of the most of it.
 
-Defined cases: a null text is an empty one, without sections or tokens; rows that repeat a doc_id are separate rows;
+Defined cases: a null text is an empty one, without sections or tokens; a text of any length is encoded whole; rows that repeat a doc_id are separate rows;
 an empty table gives an empty result.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import slices
-from tidebar.llm.encoder import flat_bytes, offset_encoder, vocabulary_path
+from tidebar.llm.encoder import flat_bytes, vocabulary_path, whole_encoder
 
 RULES = ("first", "last", "most")
 _COUNTS = (
@@ -52,8 +52,8 @@ def count_batches(path: str, marks: bytes, rule: str):
     """For mapInArrow: a row for each document, with the tokens of each of its sections in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = offset_encoder(path).spans_many
-        for batch in slices(batches):
+        encode = whole_encoder(path).spans_many
+        for batch in slices(batches, most=2_000_000):
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             raw, at = flat_bytes(texts)
             chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
