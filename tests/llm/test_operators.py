@@ -1,5 +1,6 @@
 """Operators held against brute force on small tables with awkward rows."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidebar.llm import chat, exact_dedup, id_store, jaccard_join, media, mixing, packing, queries
@@ -99,10 +101,35 @@ def test_mixing(spark, docs, rows):
         assert r["target"] == pytest.approx(goal[r["source"]])
     for s, t in goal.items():
         assert taken[s] == int(t + 1e-6) or abs(taken[s] - t) <= 1
-    served = collected(mixing.mixed_order(mixing.mix(docs)))
-    assert sum(r["words"] for r in served) == sum(taken.values())
-    finish = [r["virtual_finish"] for r in served]
-    assert finish == sorted(finish)
+    queue = mixing.packets(docs)
+    brute_queue(collected(queue), goal, {r["row"]: r["taken"] for r in found})
+    total = sum(taken.values())
+    served = [r.asDict() for r in mixing.mixed_order(queue, total, words_per_range=500).collect()]
+    assert sum(r["words"] for r in served) == total
+    finish = [r["finish"] for r in served]
+    assert finish == sorted(finish) and [r["at"] for r in served] == sorted(r["at"] for r in served)
+    assert mixing.mixed_order(queue, total, words_per_range=500).rdd.getNumPartitions() == -(-total // 500)
+
+
+def brute_queue(queue, goal, taken):
+    """Serves packets by virtual finish time, one after another, until the budget is gone."""
+    budget, got = sum(int(t) for t in goal.values()), Counter()
+    streams = defaultdict(list)
+    for r in queue:
+        streams[r["source"]].append(r)
+    for source, own in streams.items():
+        own.sort(key=lambda r: (r["finish"] or 0, r["pass"], r["first"]))
+        words = 0
+        for r in own:
+            words += r["length"]
+            if r["length"]:
+                assert r["finish"] == pytest.approx(words / goal[source])
+    for r in sorted(queue, key=lambda r: (r["finish"] or 0, r["at"])):
+        words = min(r["length"], budget)
+        budget -= words
+        got[r["row"]] += words
+        assert r["words"] == words
+    assert budget == 0 and dict(got) == taken
 
 
 def encoded(texts, end):
@@ -151,19 +178,43 @@ def test_packing(spark, docs, rows):
 
 
 def test_packing_is_the_cheapest_chain():
+    """Packer.windows against all cut sets, whose last window may also be cut into powers of two."""
     rng = random.Random(1)
-    for _ in range(200):
-        most = rng.randint(3, 20)
-        places = np.cumsum([0, *(rng.randint(1, most) for _ in range(rng.randint(1, 9)))])
-        penalty = np.array([rng.choice([0.0, 1.0, 5.0]) for _ in places])
-        cuts = packing.choose_cuts(places, penalty, most)
-        cost = lambda ends: sum(most - (b - a) for a, b in zip([0, *ends], ends, strict=False)) + sum(penalty[places.tolist().index(b)] for b in ends)
-        best, inner = None, places[1:-1].tolist()
-        for mask in range(1 << len(inner)):
-            ends = [p for k, p in enumerate(inner) if mask >> k & 1] + [int(places[-1])]
-            if all(b - a <= most for a, b in zip([0, *ends], ends, strict=False)):
-                best = cost(ends) if best is None else min(best, cost(ends))
-        assert cost(cuts) == best
+    for _ in range(300):
+        most, fee, inside, anywhere = rng.choice([8, 12, 16, 32]), rng.choice([0.5, 3.0, 7.0]), 1.0, rng.choice([1.0, 5.0])
+        packer = packing.Packer(most, inside, anywhere, most // 2, fee)
+        sentences = np.cumsum([rng.randint(1, most) for _ in range(rng.randint(1, 5))])
+        docs = np.array(sorted({*rng.sample(sentences.tolist(), rng.randint(1, len(sentences))), int(sentences[-1])}))
+        places, penalty = packer.places(docs, sentences)
+        at, known = places.tolist(), dict(zip(places.tolist(), penalty.tolist(), strict=True))
+        window = lambda n: min(most - n, fee if n < most and n & (n - 1) == 0 else np.inf) if n <= most else np.inf
+        tail = lambda n: fee * len(packing.powers(n)) + anywhere * (len(packing.powers(n)) - 1) if n <= most else np.inf
+
+        def cost(head, end):
+            steps = [b - a for a, b in zip([0, *head], head, strict=False)]
+            last = end - (head[-1] if head else 0)
+            return sum(map(window, steps)) + sum(known[b] for b in [*head, end]) + min(window(last), tail(last))
+
+        inner = at[1:-1]
+        best = min(cost([p for k, p in enumerate(inner) if mask >> k & 1], at[-1]) for mask in range(1 << len(inner)))
+        ends = packer.windows(docs, sentences)
+        assert ends == sorted(set(ends)) and ends[-1] == at[-1]
+        found = []
+        for k in range(len(ends)):
+            head, rest = ends[:k], [b - a for a, b in zip([0, *ends][k:], ends[k:], strict=False)]
+            if all(p in known for p in head) and (len(rest) == 1 or rest == packing.powers(sum(rest))):
+                steps = [b - a for a, b in zip([0, *head], head, strict=False)]
+                own = min(window(rest[0]), tail(rest[0])) if len(rest) == 1 else tail(sum(rest))
+                found.append(sum(map(window, steps)) + sum(known[b] for b in [*head, ends[-1]]) + own)
+        assert min(found) == pytest.approx(best)
+
+
+def test_packing_fills_sequences(spark):
+    lengths = Counter()
+    for r in packing.pack(queries.table(spark, "/root/testdata/sf0.01", "documents")).select("sequence_id", "sequence_length").distinct().collect():
+        lengths[r["sequence_length"]] += 1
+    full = sum(n for length, n in lengths.items() if length > 4096 - 64)
+    assert full > 0.85 * sum(lengths.values())
 
 
 def test_media(spark, docs, rows):
@@ -202,16 +253,17 @@ TURNS = [
 ]
 
 
-@pytest.mark.parametrize("part_chars", [1_000_000, 20])
-def test_chat(spark, part_chars):
+@pytest.mark.parametrize("chars_at_once", [1_000_000, 20])
+def test_chat(spark, monkeypatch, chars_at_once):
+    monkeypatch.setattr(chat.format_turns, "__defaults__", (64, chars_at_once))
     turns = spark.createDataFrame([(*t, "clash") for t in TURNS], "conv_id long, turn int, role string, text string, formatted string")
-    made = Scratch(spark, "t").put(chat.format_chats(turns, part_chars=part_chars), "x")
+    made = Scratch(spark, "t").put(chat.format_chats(turns), "x")
     library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
     for r in collected(made):
         e = library.encode(r["formatted"], add_special_tokens=False)
-        assert e.ids == r["input_ids"]
+        assert e.ids == r["input_ids"] and e.offsets == list(zip(r["token_starts"], r["token_ends"], strict=True))
         spans = [(s["start"], s["end"]) for s in r["loss_spans"]]
-        assert r["loss_mask"] == [int(any(a <= x < b for a, b in spans)) for x, _ in e.offsets]
+        assert r["loss_mask"] == [int(any(a < y and x < b for a, b in spans)) for x, y in e.offsets]
     found = {r["conv_id"]: r for r in collected(chat.chat_digests(made))}
     for conv in {t[0] for t in TURNS}:
         own = sorted((t for t in TURNS if t[0] == conv), key=lambda t: (-1 if t[1] is None else t[1], t[2] or "", t[3] or ""))
@@ -223,6 +275,71 @@ def test_chat(spark, part_chars):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
+def test_chat_digests_follow_the_mask(spark):
+    """What is learnt comes from the mask: without one token's mark, its characters are missing."""
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "good day")], "conv_id long, turn int, role string, text string")
+    made = chat.format_chats(turns)
+    mask = F.transform("loss_mask", lambda m, k: F.when(k == F.array_position("loss_mask", 1) - 1, 0).otherwise(m).cast("tinyint"))
+    whole, less = (collected(chat.chat_digests(x))[0] for x in (made, made.withColumn("loss_mask", mask)))
+    assert whole["loss_chars"] == len("good day") and less["loss_sha256"] == hashlib.sha256(b" day").hexdigest()
+
+
+def test_learnt_runs():
+    """Against a set of characters, with tokens that share characters and tokens over several spans."""
+    rng = random.Random(2)
+    for _ in range(300):
+        edges = sorted(rng.sample(range(40), 2 * rng.randint(0, 4)))
+        spans = np.array(edges, np.int64).reshape(-1, 2)
+        begin = np.array(sorted(rng.randint(0, 36) for _ in range(rng.randint(0, 12))), np.int64)
+        end = np.maximum.accumulate(begin + np.array([rng.randint(0, 9) for _ in begin], np.int64)) if len(begin) else begin
+        mask = chat.token_mask(begin, end, spans[:, 0], spans[:, 1])
+        inside = {c for a, b in spans.tolist() for c in range(a, b)}
+        for a, b, m in zip(begin.tolist(), end.tolist(), mask.tolist(), strict=True):
+            assert a == b or m == bool(inside & {*range(a, b)})
+        runs = chat.learnt(begin, end, mask, spans[:, 0], spans[:, 1])
+        want = {c for a, b in zip(begin.tolist(), end.tolist(), strict=True) for c in range(a, b)} & inside
+        assert [c for a, b in runs for c in range(a, b)] == sorted(want)
+
+
+def damaged(spark, root, name, column, value):
+    """The store at ``root`` with one row's ``column`` of the table ``name`` changed, as a new store."""
+    to = Scratch(spark, "t").path("damaged")
+    for t in ("chunks", "recipes", "manifests"):
+        frame = spark.read.parquet(f"{root}/{t}")
+        if t == name:
+            first = frame.orderBy(*(c for c in ("start", "digest", "file") if c in frame.columns)).first()
+            key = "digest" if t == "chunks" else "row" if t == "recipes" else "file"
+            frame = frame.withColumn(column, F.when(F.col(key) == F.lit(first[key]), value).otherwise(F.col(column)))
+        frame.write.parquet(f"{to}/{t}")
+    return to
+
+
+def test_id_store_finds_damage(spark, docs):
+    root = Scratch(spark, "t").path("store")
+    id_store.write_store(docs, root, bits=4, least=33, most=200, rows_per_file=20)
+    zeros = F.unhex(F.repeat(F.lit("00"), 32))
+    for name, column, value in (("recipes", "root", zeros), ("manifests", "root", zeros), ("manifests", "tokens", F.lit(1).cast("long"))):
+        with pytest.raises(Exception, match="root|manifests"):
+            id_store.verify(spark, damaged(spark, root, name, column, value))
+    with pytest.raises(Exception, match="does not match its digest"):
+        id_store.read_back(spark, damaged(spark, root, "chunks", "ids", F.concat("ids", zeros))).collect()
+    with pytest.raises(Exception, match="not stored|does not match"):
+        id_store.read_ids(spark, damaged(spark, root, "chunks", "digest", zeros)).collect()
+
+
+def test_other_vocabularies(spark, docs, rows):
+    """A vocabulary with other rules is encoded in whole-text calls."""
+    path = vocabulary_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    root = Scratch(spark, "t").path("store")
+    id_store.write_store(docs, root, end_id=70_000, path=path)
+    want = Counter((r[0], tuple([*library.encode(r[1] or "", add_special_tokens=False).ids, 70_000])) for r in rows)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in collected(id_store.read_ids(spark, root))) == want
+    id_store.verify(spark, root)
+    found = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in collected(id_store.read_back(spark, root)))
+    assert found == Counter((k, len(e), crc(e)) for k, e in want.elements())
+
+
 def test_id_store(spark, docs, rows):
     root = Scratch(spark, "t").path("store")
     id_store.write_store(docs, root, bits=4, least=33, most=200, rows_per_file=20)
@@ -230,6 +347,8 @@ def test_id_store(spark, docs, rows):
     found = collected(id_store.read_back(spark, root))
     want = Counter((r[0], len(e), crc(e)) for r, e in zip(rows, encoded([r[1] for r in rows], 1), strict=True))
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == want
+    rebuilt = collected(id_store.read_ids(spark, root))
+    assert Counter((r["doc_id"], len(r["ids"]), crc(r["ids"])) for r in rebuilt) == want
     at = 0
     for r in sorted(found, key=lambda r: r["start"]):
         assert r["start"] == at
@@ -249,19 +368,17 @@ def test_token_counts(spark, docs, rows):
             edges = [0] + [k + 1 for k, c in enumerate(text) if c in ".!?\n"]
             edges = sorted({e for e in edges if e < len(text)})
             spans = library.encode(text, add_special_tokens=False).offsets
-            of = lambda x, edges=edges: sum(e <= x for e in edges) - 1
+            of = lambda x, edges=edges: bisect.bisect_right(edges, x) - 1
             counts, crossing = [0] * len(edges), 0
-            for a, b in spans[:4000] if len(text) > 100_000 else spans:
+            for a, b in spans:
                 x, y = of(a), of(max(b - 1, a))
                 crossing += x != y
                 share = Counter(of(c) for c in range(a, b)) if rule == "most" and x != y else {x: 1}
                 counts[y if rule == "last" else max(share, key=lambda s: (share[s], -s))] += 1
-            if len(text) <= 100_000:
-                want[r[0], len(text), len(spans), crossing, tuple(counts)] += 1
+            want[r[0], len(text), len(spans), crossing, tuple(counts)] += 1
         found = Counter(
             (r["doc_id"], r["n_chars"], r["n_tokens"], r["n_crossing"], tuple(r["section_tokens"]))
             for r in collected(token_counts.count_sections(docs, rule=rule))
-            if r["n_chars"] <= 100_000
         )
         assert found == want
 

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm.test_operators import SMALL, awkward, brute_classes, check_packing, encoded
@@ -62,6 +63,9 @@ def test_near_stage(spark, docs):
 def test_mixing_stage(spark, docs):
     kept = pipeline.mixed(spark, docs, SMALL)
     assert kept.columns == docs.columns
+    order = [r["row"] for r in mixing.mixed_order(mixing.packets(docs), sum(r.taken for r in mixing.mix(docs).collect())).collect()]
+    place = {r["row"]: r["doc_id"] for r in mixing.packets(docs).collect()}
+    assert [r[0] for r in rows_of(kept)] == [place[k] for k in order]
     words = Counter()
     for r in rows_of(kept):
         words[r[0], r[3]] += len((r[1] or "").encode().split())
@@ -89,3 +93,19 @@ def test_packing_stage_and_whole_run(spark):
     assert max(per_sequence.values()) <= 4096
     once = docs.dropDuplicates(["doc_id"])
     check_packing([r.asDict() for r in pipeline.packed(spark, once, SMALL).collect()], {r.doc_id: r.text for r in once.collect()})
+
+
+def test_stages_on_an_empty_table(spark, docs, tmp_path):
+    docs.limit(0).write.parquet(f"{tmp_path}/none")
+    none = spark.read.parquet(f"{tmp_path}/none")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, none, SMALL).count() == 0
+
+
+def test_stages_keep_other_columns(spark, docs, tmp_path):
+    """Columns named as the stages name theirs."""
+    names = ("row", "at", "words", "size", "doc", "key", "_key", "text_key")
+    docs.withColumns({k: F.lit(k) for k in names}).write.parquet(f"{tmp_path}/more")
+    more = spark.read.parquet(f"{tmp_path}/more")
+    kept = pipeline.mixed(spark, more, SMALL)
+    assert kept.columns == more.columns and {tuple(r[k] for k in names) for r in kept.collect()} == {names}

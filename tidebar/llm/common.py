@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is chosen only where the session names none."""
+    """The folder that driver and executors share; one is chosen only where the session names none and runs locally."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"/tmp/spark-{uuid.uuid4().hex[:6]}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -86,6 +88,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8_
         yield batch.slice(begin)
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """``rows`` with their row of ``groups``, whose column ``count`` says how many rows of ``total`` have its key.
+
+    Keys with more than one in ``most`` of all rows, of which there are at most ``most``, are joined by a broadcast, so
+    no task gets all rows of a hot key; the others are joined as usual.
+    """
+    hot = groups.where(F.col(count) * most > total)
+    hot_rows = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = others.join(groups.where(F.col(count) * most <= total), keys, how)
+    return hot_rows.unionByName(rest)
+
+
 def prefix_sums(
     df: DataFrame, order: list[Column], value: str, out: str, scratch: Scratch, rows_per_range: int = 100_000
 ) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.llm.chunking import cut_candidates, cuts
-from tidebar.llm.common import Scratch, slices
+from tidebar.llm.common import Scratch, join_counted, slices
 from tidebar.llm.encoder import flat_bytes
 
 _CUT = pa.schema(
@@ -79,7 +79,8 @@ def exact_dedup(
 
     A chunk's identifier is its hash and, where several chunks share the hash, its rank among them by content, so
     a collision never merges texts.  Chunks and recipes are exchanged by key with partial aggregates below, so a
-    group with a large share of all rows reaches its task as one row from each task before.
+    group with a large share of all rows reaches its task as one row from each task before; and documents of such a
+    group are joined to its row where they are.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     source = docs.select(
@@ -112,7 +113,8 @@ def exact_dedup(
     groups = recipes.groupBy("recipe").agg(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")
     )
-    return recipes.join(groups, "recipe").select(
+    groups = scratch.put(groups, "groups")
+    return join_counted(recipes, groups, ["recipe"], "group_size", recipes.count()).select(
         "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"),
     )

@@ -4,9 +4,11 @@
 2. A class's signature is cut into bands; bands and rows a band are chosen so that a pair at the threshold meets in
    one band with the target recall.  Band hashes are exchanged; classes that share one are hung on the least of them,
    and the components of that graph hold every candidate pair.
-3. The texts of a component are held against each other by their full sets of word n-grams, in blocks: a component
-   of more than a block's documents or bytes is split into tiles of two blocks each, so no task holds more than two
-   blocks and no pairs leave it.  A tile gives a document's number of links and which documents hang together.
+3. The texts of a component are held against each other by their full sets of word n-grams.  A component of more than
+   a block's documents or bytes is cut into blocks along its bands: classes with the same least neighbour stay together
+   as far as a block goes.  Each block is a tile, and so are any two blocks in which some band occurs, so every pair
+   that shares a band meets in one tile, no task holds more than two blocks, and blocks that share no band never
+   meet.  A text goes to as many tiles as blocks share its block's bands.
 4. Components of the verified links are the result's classes.
 
 Words are runs between white space, as they are; a text of fewer words than an n-gram has is one n-gram; n-grams are
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import Scratch, slices, text_key, text_or_empty
+from tidebar.llm.common import Scratch, join_counted, slices, text_key, text_or_empty
 from tidebar.llm.components import components
 from tidebar.llm.encoder import split_texts
 
@@ -210,24 +212,47 @@ def jaccard_join(
     )
     classes = scratch.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.where("bands IS NOT NULL").select("node", "bands").mapInArrow(_band_rows, "key long, node long")
+    bands = classes.where("bands IS NOT NULL").select("node", "bands").mapInArrow(_band_rows, "key long, node long")
+    banded = scratch.put(bands, "banded")
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("uses")).where("uses > 1")
-    met = banded.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    candidates = components(met, scratch, "candidates")
+    hubs, total = scratch.put(hubs, "hubs"), banded.count()
+    met = join_counted(banded, hubs, ["key"], "uses", total)
+    candidates = scratch.put(
+        components(met.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), scratch, "candidates"), "candidates"
+    )
 
     members = candidates.join(classes.select("node", "text_hash", "rep_id", "n_bytes"), "node")
     sizes = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n_bytes").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int")
-    members = members.join(sizes.select("root", blocks.alias("blocks")), "root")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    parts = lambda: F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("long")
+    sizes = scratch.put(sizes.withColumn("blocks", parts()), "sizes")
+    members = scratch.put(join_counted(members, sizes.drop("bytes"), ["root"], "docs", candidates.count()).drop("docs"), "members")
+    large = members.where("blocks > 1").select("node", "root", "n_bytes", "blocks")
+    if large.isEmpty():
+        members = members.withColumns({"one": F.lit(0).cast("long"), "two": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
+    else:
+        near = met.groupBy("node").agg(F.min("hub").alias("near"))
+        near = large.join(near, "node")
+        groups = near.groupBy("root", "near").agg(F.count("*").alias("docs"), F.sum("n_bytes").alias("bytes"))
+        groups = scratch.put(groups.select("root", "near", "docs", parts().alias("cuts")), "groups")
+        near = join_counted(near, groups, ["root", "near"], "docs", candidates.count())
+        own = F.xxhash64("near", F.pmod(F.xxhash64("node"), F.col("cuts")))  # of a group of more than a block, a part
+        shared = F.pmod(F.xxhash64("near"), F.col("blocks"))
+        blocks = scratch.put(near.select("node", "root", F.when(F.col("cuts") > 1, own).otherwise(shared).alias("block")), "blocks")
+        places = banded.join(blocks, "node").select("root", "key", "block").distinct()
+        lists = places.groupBy("root", "key").agg(F.array_sort(F.collect_set("block")).alias("all"))
+        pairs = lists.select("root", "all", F.explode("all").alias("one"))
+        pairs = pairs.select("root", "one", F.explode(F.filter("all", lambda x: x >= F.col("one"))).alias("two")).distinct()
+        ends = pairs.select("*", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+        tiles = ends.groupBy("root", "block").agg(F.collect_list(F.struct("one", "two")).alias("tiles"))
+        tiled_blocks = blocks.join(tiles, ["root", "block"]).select("node", "block", F.explode("tiles").alias("tile"))
+        tiled_blocks = tiled_blocks.select("node", "block", "tile.one", "tile.two")
+        none = {k: F.lit(0).cast("long") for k in ("one", "two", "block")}
+        members = members.where("blocks = 1").withColumns(none).unionByName(members.where("blocks > 1").join(tiled_blocks, "node"))
     texts = source.join(
-        members.select("text_hash", "rep_id", "node", "root", "block", "blocks"),
+        members.select("text_hash", "rep_id", "node", "root", "block", "one", "two"),
         (source["text_hash"] == members["text_hash"]) & source["doc_id"].eqNullSafe(members["rep_id"]),
-    ).select("node", "root", "block", "blocks", "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = texts.select("*", other).select(
-        "root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "text"
     )
+    tiled = texts.select("root", "one", "two", "block", "node", "text")
     verified = tiled.groupBy("root", "one", "two").applyInArrow(_tile(n, exact), "node long, links long, root long")
     verified = scratch.put(verified, "verified")
     joined = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch, "links")
@@ -236,12 +261,14 @@ def jaccard_join(
     placed = classes.select("node", "text_hash", "rep_id", "n_copies").join(joined, "node", "left").join(degree, "node", "left")
     placed = scratch.put(placed.withColumn("root", F.coalesce("root", "node")), "placed")
     first = F.struct(F.isnull("rep_id").alias("no_id"), "rep_id", "text_hash")
-    named = placed.groupBy("root").agg(F.min(first).alias("first"))
-    found = placed.join(named, "root").select(
+    named = placed.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("members"))
+    named = scratch.put(named, "named")
+    found = join_counted(placed, named, ["root"], "members", placed.count()).select(
         "text_hash", F.col("first.rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "n_copies", (F.col("text_hash") == F.col("first.text_hash")).alias("is_first"),
     )
     kept = F.col("is_first") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return signed.select("doc_id", "text_hash").join(found, "text_hash").select(
+    found = scratch.put(found, "found")
+    return join_counted(signed.select("doc_id", "text_hash"), found, ["text_hash"], "n_copies", signed.count()).select(
         "doc_id", "class_id", "n_links", "n_copies", F.col("text_hash").alias("text_key"), kept.alias("kept")
     )
