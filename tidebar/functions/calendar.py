@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Single weekdays on which the exchange stayed shut all day.
+CLOSURES = (
+    "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30",
+    "2018-12-05", "2025-01-09",
+)
+
+
 def _nth_weekday(year: Column, month: int, weekday: str, n: int) -> Column:
     """The n-th given weekday of a month."""
     before_first = F.date_sub(F.make_date(year, F.lit(month), F.lit(1)), 1)
@@ -38,13 +45,13 @@ def holidays(year: Column) -> list[Column]:
     fixed = lambda m, d: F.make_date(year, F.lit(m), F.lit(d))
     new_year = F.when(F.weekday(fixed(1, 1)) == 6, F.date_add(fixed(1, 1), 1)).when(F.weekday(fixed(1, 1)) != 5, fixed(1, 1))
     return [
-        new_year, _nth_weekday(year, 1, "Mon", 3), _nth_weekday(year, 2, "Mon", 3), F.date_sub(easter(year), 2), _last_monday(year, 5),
+        new_year, F.when(year >= 1998, _nth_weekday(year, 1, "Mon", 3)), _nth_weekday(year, 2, "Mon", 3), F.date_sub(easter(year), 2), _last_monday(year, 5),
         F.when(year >= 2022, _observed(fixed(6, 19))), _observed(fixed(7, 4)), _nth_weekday(year, 9, "Mon", 1),
         _nth_weekday(year, 11, "Thu", 4), _observed(fixed(12, 25)),
     ]
 
 
-def sessions(spark: SparkSession, first: str, last: str, closures: tuple[str, ...] = ()) -> DataFrame:
+def sessions(spark: SparkSession, first: str, last: str, closures: tuple[str, ...] = CLOSURES) -> DataFrame:
     """(day): the trading days of a span; ``closures`` are single days on which the exchange stayed shut."""
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
     shut = F.array_compact(F.array(*holidays(F.year("day"))))
@@ -52,6 +59,36 @@ def sessions(spark: SparkSession, first: str, last: str, closures: tuple[str, ..
     return kept.where(~F.col("day").isin(*(F.to_date(F.lit(c)) for c in closures))) if closures else kept
 
 
+def sessions_sql(first: str, last: str, closures: tuple[str, ...] = CLOSURES) -> str:
+    """The same days as common table expressions that end in ``sessions``."""
+    nth = lambda m, iso, n: f"make_date(y, {m}, 1) + (({iso} - isodow(make_date(y, {m}, 1)) + 7) % 7)::INTEGER + {7 * (n - 1)}"
+    kept = lambda m, d: f"make_date(y, {m}, {d}) + CASE isodow(make_date(y, {m}, {d})) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END"
+    shut = [
+        "CASE isodow(make_date(y, 1, 1)) WHEN 7 THEN make_date(y, 1, 2) WHEN 6 THEN NULL ELSE make_date(y, 1, 1) END",
+        f"CASE WHEN y >= 1998 THEN {nth(1, 1, 3)} END", nth(2, 1, 3), "easter - 2",
+        "make_date(y, 5, 31) - (isodow(make_date(y, 5, 31)) - 1)::INTEGER", f"CASE WHEN y >= 2022 THEN {kept(6, 19)} END", kept(7, 4),
+        nth(9, 1, 1), nth(11, 4, 4), kept(12, 25),
+    ]
+    return f"""days AS (
+        SELECT d::DATE AS day FROM generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY) t(d)
+    ), golden AS (
+        SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT DISTINCT year(day)::INTEGER AS y FROM days)
+    ), epact AS (
+        SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM golden
+    ), letter AS (
+        SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM epact
+    ), moon AS (
+        SELECT *, h + m - 7 * ((a + 11 * h + 22 * m) // 451) + 114 AS code FROM letter
+    ), years AS (
+        SELECT y::BIGINT AS y, make_date(y::BIGINT, (code // 31)::BIGINT, (code % 31 + 1)::BIGINT) AS easter FROM moon
+    ), shut AS (
+        SELECT unnest([{", ".join(shut)}]) AS day FROM years
+        UNION ALL SELECT unnest([{", ".join(f"DATE '{c}'" for c in closures)}])
+    ), sessions AS (
+        SELECT day FROM days WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM shut WHERE day IS NOT NULL)
+    )"""
+
+
 def available_at(observations: DataFrame, sessions: DataFrame, released: str = "released") -> DataFrame:
     """Adds available_day: the first session after the day of release; trading starts there at 09:30 New York time."""
     both = observations.select(F.date_add(released, 1).alias("_from")).distinct()

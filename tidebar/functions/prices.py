@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 SQRT2 = math.sqrt(2)
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b), and null where one of them is not above 0."""
+    return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
+
+
 def percent_diff(a: Column, b: Column) -> Column:
     return F.try_divide(a - b, b) * 100
 
@@ -29,8 +34,8 @@ def whole_shares(budget: Column, price: Column) -> Column:
 def corwin_schultz_alpha(h1: Column, l1: Column, h2: Column, l2: Column) -> Column:
     """From two consecutive bars' highs and lows."""
     k = 3 - 2 * SQRT2
-    beta = F.pow(F.ln(h1 / l1), 2) + F.pow(F.ln(h2 / l2), 2)
-    gamma = F.pow(F.ln(F.greatest(h1, h2) / F.least(l1, l2)), 2)
+    beta = F.pow(log_ratio(h1, l1), 2) + F.pow(log_ratio(h2, l2), 2)
+    gamma = F.pow(log_ratio(F.greatest(h1, h2), F.least(l1, l2)), 2)
     return (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k)
 
 
@@ -67,10 +72,10 @@ def dof(prev: Column, o: Column, h: Column, low: Column, c: Column, volume: Colu
     o_ = safe(o, c_)
     top, bottom = F.greatest(safe(h, c_), o_, c_), F.least(safe(low, c_), o_, c_)
     cut = lambda x: F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))
-    s = cut(F.ln(top / bottom))
-    place = lambda p: F.when(s > 0, F.least(F.greatest(F.ln(p / bottom) / s, F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
-    w = F.when((volume > 0) & (usual > 0), cut(F.ln(volume / usual))).otherwise(0.0)
-    return {"r": cut(F.ln(c_ / prev)), "s": s, "u": place(c_), "v": place(o_), "w": w}
+    s = cut(log_ratio(top, bottom))
+    place = lambda p: F.when(s > 0, F.least(F.greatest(F.try_divide(log_ratio(p, bottom), s), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
+    w = F.when((volume > 0) & (usual > 0), cut(log_ratio(volume, usual))).otherwise(0.0)
+    return {"r": cut(log_ratio(c_, prev)), "s": s, "u": place(c_), "v": place(o_), "w": w}
 
 
 def undof(prev: Column, r: Column, s: Column, u: Column, v: Column) -> dict[str, Column]:

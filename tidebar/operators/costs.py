@@ -29,13 +29,13 @@ def measured(bars: DataFrame, res_ms: int, per_day: float, least_pairs: int = 64
     paired = (lead("ts_ms") - F.col("ts_ms")) == res_ms
     joined_before = (F.col("ts_ms") - F.lag("ts_ms").over(by())) == res_ms
     c = {k: F.col(k) for k in ("close", "high", "low")}
-    own = F.ln(c["close"] / F.lag("close").over(by()))
+    own = P.log_ratio(c["close"], F.lag("close").over(by()))
     found = good.withColumns(
         {
             "_alpha": F.when(paired, P.corwin_schultz_alpha(c["high"], c["low"], lead("high"), lead("low"))),
             "_moment": F.when(paired, P.abdi_ranaldo_moment(c["close"], c["high"], c["low"], lead("high"), lead("low"))),
             "_r": F.when(joined_before, own),
-            "_next": F.when(paired, F.ln(lead("close") / c["close"])),
+            "_next": F.when(paired, P.log_ratio(lead("close"), c["close"])),
             "_dollars": F.when(F.col("vwap") > 0, F.col("vwap")).otherwise(F.col("close")) * F.col("volume"),
             "_day": F.floor(F.col("ts_ms") / DAY_MS),
         }
@@ -47,7 +47,7 @@ def measured(bars: DataFrame, res_ms: int, per_day: float, least_pairs: int = 64
     sums = both.groupBy("symbol", "month").agg(
         F.count("*").alias("bars"), F.count("_alpha").alias("pairs"), F.avg("_alpha").alias("_alpha"), F.avg("_moment").alias("_moment"),
         F.stddev_samp("_r").alias("_sd"), F.avg("_cross").alias("_roll"), F.count("_cross").alias("roll_pairs"),
-        F.sum(1 / F.col("close")).alias("_inverse"),
+        F.sum(F.try_divide(F.lit(1.0), F.col("close"))).alias("_inverse"),
     )
     same = (F.col("a.symbol") == F.col("b.symbol")) & F.col("a.month").eqNullSafe(F.col("b.month"))
     roll = (F.col("_roll") < 0) & (F.col("roll_pairs") >= least_pairs)
@@ -57,7 +57,7 @@ def measured(bars: DataFrame, res_ms: int, per_day: float, least_pairs: int = 64
         P.corwin_schultz_spread(F.col("_alpha")).alias("cs_spread"),
         F.when(F.col("_moment") > 0, F.sqrt("_moment")).alias("ar_spread"),
         F.when(roll, 2 * F.sqrt(-F.col("_roll"))).alias("roll_spread"),
-        (F.col("bars") / F.col("_inverse")).alias("harmonic_price"),
+        F.try_divide(F.col("bars"), F.col("_inverse")).alias("harmonic_price"),
     )
 
 

@@ -24,6 +24,21 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_a
     return both.where("_tag = 1").select(*by, "_row.*", *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
+def asof_days(left: DataFrame, series: DataFrame, left_day: str, out_day: str) -> DataFrame:
+    """Left rows with the row of one series that was out last on their day: an equi-join on days.
+
+    A release stands for the days until the next, so the series becomes a row a day, however many rows are on the left;
+    of releases of one day the greatest counts.
+    """
+    values = [c for c in series.columns if c != out_day]
+    newest = series.where(F.col(out_day).isNotNull()).groupBy(out_day).agg(F.max(F.struct(*values)).alias("_seen"))
+    last = left.agg(F.max(left_day).alias("_last"))
+    until = F.coalesce(F.date_sub(F.lead(out_day).over(W.orderBy(out_day)), 1), F.greatest(F.col("_last"), F.col(out_day)))
+    newest = newest.join(F.broadcast(last)).withColumn("_until", until)  # one row
+    spans = newest.select("_seen", F.explode(F.sequence(F.col(out_day), F.col("_until"))).alias(left_day))
+    return left.join(spans, left_day, "left").select(*left.columns, *(F.col(f"_seen.{v}").alias(v) for v in values))
+
+
 def common_timestamps(bars: DataFrame) -> DataFrame:
     """The bars whose time exists for every symbol."""
     count = bars.select("symbol").distinct().agg(F.count("*").alias("_n"))

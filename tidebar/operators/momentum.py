@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.folds import ema, recurrence
+from tidebar.functions.prices import log_ratio
+
 
 def by():
     return W.partitionBy("symbol").orderBy("ts_ms")
@@ -26,7 +28,8 @@ def index() -> Column:
 
 
 def log_return(column: str = "close") -> Column:
-    return F.ln(F.col(column) / F.lag(column).over(by()))
+    """Null after or at a price that is not above 0."""
+    return log_ratio(F.col(column), F.lag(column).over(by()))
 
 
 def with_log_returns(bars: DataFrame) -> DataFrame:
@@ -41,19 +44,19 @@ def differences(column: str = "close") -> Column:
 def expanding_range() -> Column:
     """(highest high - lowest low so far) / close."""
     whole = by().rowsBetween(W.unboundedPreceding, 0)
-    return (F.max("high").over(whole) - F.min("low").over(whole)) / F.col("close")
+    return F.try_divide(F.max("high").over(whole) - F.min("low").over(whole), F.col("close"))
 
 
 def price_normals() -> Column:
     least = F.min("close").over(W.partitionBy("symbol"))
-    return (F.col("close") - least) / least
+    return F.try_divide(F.col("close") - least, least)
 
 
 def momentum(bars: DataFrame) -> DataFrame:
     """mom_5, mom_60, mom_120, mom_accel, rsi, trend_strength, range_pos, stoch_k, zscore, vol_adj_mom, efficiency."""
     p = F.col("close")
     found = bars.withColumn("_i", index()).withColumn("_d", p - F.lag("close").over(by()))
-    back = lambda k, bound: F.when(F.col("_i") >= k, clamp(p / F.lag("close", k).over(by()) - 1, -bound, bound)).otherwise(0.0)
+    back = lambda k, bound: F.when(F.col("_i") >= k, clamp(F.try_divide(p, F.lag("close", k).over(by())) - 1, -bound, bound)).otherwise(0.0)
     found = found.withColumns({"mom_5": back(5, 0.5), "mom_60": back(60, 1.0), "mom_120": back(120, 2.0)})
     accel = clamp(F.col("mom_5") - F.lag("mom_5", 5).over(by()), -0.2, 0.2)
     up, down = F.greatest("_d", F.lit(0.0)), F.greatest(-F.col("_d"), F.lit(0.0))
@@ -76,7 +79,7 @@ def momentum(bars: DataFrame) -> DataFrame:
             "range_pos": late(20, place * 2 - 1, 0.0),
             "stoch_k": late(20, place, 0.5),
             "zscore": late(20, clamp((p - mean) / floored, -3.0, 3.0), 0.0),
-            "vol_adj_mom": late(20, clamp((p / ago - 1) / F.greatest(floored / mean, F.lit(1e-10)), -5.0, 5.0), 0.0),
+            "vol_adj_mom": late(20, clamp((F.try_divide(p, ago) - 1) / F.greatest(F.try_divide(floored, mean), F.lit(1e-10)), -5.0, 5.0), 0.0),
             "efficiency": late(20, clamp(F.abs(p - ago) / path, 0.0, 1.0), 0.0),
         }
     ).drop("_i", "_d")
@@ -85,7 +88,7 @@ def momentum(bars: DataFrame) -> DataFrame:
 def macd(bars: DataFrame, fast: float = 2 / 13, slow: float = 2 / 27) -> DataFrame:
     """Difference of two exponential means in percent of price, at most 5; 0 at the first bar."""
     found = ema(bars, "close", {"_fast": fast, "_slow": slow})
-    value = clamp((F.col("_fast") - F.col("_slow")) / F.col("close") * 100, -5.0, 5.0)
+    value = clamp(F.try_divide(F.col("_fast") - F.col("_slow"), F.col("close")) * 100, -5.0, 5.0)
     return found.withColumn("macd", F.when(index() > 0, value).otherwise(0.0)).drop("_fast", "_slow")
 
 
@@ -124,7 +127,7 @@ def rolling_sharpe(bars: DataFrame, width: int = 100, per_year: float = 252 * 78
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
     step = lambda a, x: F.struct(
         F.greatest(a["peak"], x).alias("peak"),
-        F.greatest(a["worst"], 1 - x / F.greatest(a["peak"], x)).alias("worst"),
+        F.greatest(a["worst"], 1 - F.try_divide(x, F.greatest(a["peak"], x))).alias("worst"),
     )
     drawdown = F.aggregate(prices, start, step, lambda a: a["worst"])
     late = F.col("_i") >= width
@@ -134,7 +137,7 @@ def rolling_sharpe(bars: DataFrame, width: int = 100, per_year: float = 252 * 78
 def drawdown(bars: DataFrame, column: str = "close") -> DataFrame:
     """Running peak and the fall from it."""
     peak = F.max(column).over(by().rowsBetween(W.unboundedPreceding, 0))
-    return bars.withColumn("peak", peak).withColumn("drawdown", 1 - F.col(column) / peak)
+    return bars.withColumn("peak", peak).withColumn("drawdown", 1 - F.try_divide(F.col(column), peak))
 
 
 def volume_reference(bars: DataFrame, span: int = 20) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebar.functions.prices import log_ratio
+from tidebar.functions.shared import value_counts
 from tidebar.operators.momentum import by
 
 
@@ -16,7 +18,7 @@ def returns(bars: DataFrame) -> DataFrame:
     clock = clock.select("ts_ms", (F.row_number().over(W.orderBy("ts_ms")) - 1).alias("t"), F.lag("ts_ms").over(W.orderBy("ts_ms")).alias("_tick"))
     own = bars.withColumn("_prev", F.lag("ts_ms").over(by())).withColumn("_close", F.lag("close").over(by())).join(clock, "ts_ms")
     kept = own.where("_prev = _tick AND close > 0 AND _close > 0")
-    return kept.select("t", "ts_ms", "symbol", F.ln(F.col("close") / F.col("_close")).alias("realized_r"), "close")
+    return kept.select("t", "ts_ms", "symbol", log_ratio(F.col("close"), F.col("_close")).alias("realized_r"), "close")
 
 
 def book_weights(panel: DataFrame, score: str, gross: float = 1.0) -> DataFrame:
@@ -95,11 +97,13 @@ def metrics(equity: DataFrame, key: str, order: str, value: str, start: float =
 
 
 def nearest_rank_by_rows(df: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
-    """Sorted elements at round((n - 1) * q), halves up, by row numbers."""
-    ranked = df.select(column).where(F.col(column).isNotNull())
-    ranked = ranked.withColumn("_k", F.row_number().over(W.orderBy(column)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
+    """Sorted elements at round((n - 1) * q), halves up, from the counts of the values."""
+    counts = value_counts(df, column)
+    total = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("_n"))
+    own = counts.join(F.broadcast(total))  # one row
     at = lambda q: F.floor((F.col("_n") - 1) * F.lit(q) + 0.5)
-    return ranked.agg(*(F.max(F.when(F.col("_k") == at(q), F.col(column))).alias(name) for name, q in qs.items()))
+    here = lambda q: (F.col("below") <= at(q)) & (at(q) < F.col("below") + F.col("n"))
+    return own.agg(*(F.max(F.when(here(q), F.col(column))).alias(name) for name, q in qs.items()))
 
 
 def kelly(mu: Column, variance: Column, floor: float, most: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions.prices import log_ratio
 from tidebar.operators.joins import near
 from tidebar.operators.momentum import by, index, log_return
 
@@ -23,7 +24,7 @@ def marked(bars: DataFrame, hole_days: float = 14, jump: float = 2 * 0.693147180
     """Adds i, gap_ms, r, and kind: splice (after a hole), tick (the next bar gives it back), jump, or null."""
     r, later = log_return(), F.lead("close").over(by())
     found = bars.withColumn("i", index()).withColumn("r", r).withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(by()))
-    found = found.withColumn("_next", F.ln(later / F.col("close")))
+    found = found.withColumn("_next", log_ratio(later, F.col("close")))
     extreme = F.abs("r") > jump
     back = F.coalesce(F.abs(F.col("r") + F.col("_next")) < 0.5 * F.abs("r"), F.lit(False))
     kind = F.when(extreme & (F.col("gap_ms") >= hole_days * DAY_MS), "splice").when(extreme & back, "tick").when(extreme, "jump")
@@ -31,8 +32,8 @@ def marked(bars: DataFrame, hole_days: float = 14, jump: float = 2 * 0.693147180
 
 
 def census(bars: DataFrame, hole_days: float = 14, jump: float = 2 * 0.6931471805599453) -> DataFrame:
-    """Anomalies of each symbol: bars, holes, splices, ticks, jumps, extreme_range."""
-    wide = F.ln(F.col("high") / F.col("low")) > jump
+    """Anomalies of each symbol: bars, holes, splices, ticks, jumps, extreme_range; prices not above 0 make none."""
+    wide = log_ratio(F.col("high"), F.col("low")) > jump
     count = lambda c: F.count_if(c).alias
     return marked(bars, hole_days, jump).groupBy("symbol").agg(
         F.count("*").alias("bars"), count(F.col("hole"))("holes"), count(F.col("kind") == "splice")("splices"),
@@ -49,7 +50,7 @@ def rates(census: DataFrame) -> DataFrame:
 def discontinuities(bars: DataFrame, gap_days: float = 5, ratio: float = 4.0) -> DataFrame:
     """Bars after a gap of days or a price change beyond 1/ratio..ratio, with the severity of the break."""
     found = bars.withColumn("i", index()).withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(by()))
-    found = found.withColumn("ratio", F.col("close") / F.lag("close").over(by()))
+    found = found.withColumn("ratio", F.try_divide(F.col("close"), F.lag("close").over(by())))
     broken = (F.col("gap_ms") >= gap_days * DAY_MS) | (F.col("ratio") > ratio) | (F.col("ratio") < 1 / ratio)
     return found.where(broken).withColumn("severity", F.col("gap_ms") / DAY_MS + F.abs(F.ln("ratio")))
 

@@ -109,22 +109,31 @@ def pnl_reward(values: DataFrame, key: str = "scenario", order: str = "step", sc
     return values.withColumn("reward", F.coalesce(F.ln(F.col("equity") / before) * scale, F.lit(0.0)))
 
 
-def break_even_bps(steps: DataFrame, most: float = 1000.0, rounds: int = 48) -> float:
+def break_even_bps(steps: DataFrame, most: float = 1000.0, rounds: int = 48, bits_a_round: int = 6) -> float:
     """The flat cost at which a book of (gross_r, turnover) no longer grows: 0 if it never does, inf if it always does.
 
-    Bisection over one aggregate a round; the table is read once a round and only a number comes back.
+    As exact as ``rounds`` halvings of the span: each job holds 2 ** ``bits_a_round`` - 1 costs against each other in one
+    aggregate, of which a row a cost comes back.
     """
 
-    def growth(bps: float) -> float:
-        net = 1 + F.col("gross_r") - F.col("turnover") * (bps / 10_000)
-        return steps.agg(F.sum(F.ln(F.greatest(net, F.lit(1e-12))))).first()[0] or 0.0
+    def growth(costs: list[float]) -> list[float]:
+        net = 1 + F.col("gross_r") - F.col("turnover") * (F.col("bps") / 10_000)
+        tried = steps.select("gross_r", "turnover", F.explode(F.array(*map(F.lit, costs))).alias("bps"))
+        found = tried.groupBy("bps").agg(F.sum(F.ln(F.greatest(net, F.lit(1e-12)))).alias("g")).collect()
+        by_cost = {r["bps"]: r["g"] or 0.0 for r in found}
+        return [by_cost.get(c, 0.0) for c in costs]
 
-    if growth(0.0) <= 0:
+    free, dear = growth([0.0, most])
+    if free <= 0:
         return 0.0
-    if growth(most) > 0:
+    if dear > 0:
         return float("inf")
-    a, b = 0.0, most
-    for _ in range(rounds):
-        mid = (a + b) / 2
-        a, b = (mid, b) if growth(mid) > 0 else (a, mid)
+    a, b, parts = 0.0, most, 1 << bits_a_round
+    for _ in range(-(-rounds // bits_a_round)):
+        costs = [a + (b - a) * k / parts for k in range(parts + 1)]
+        inner = growth(costs[1:-1]) if b > a else []
+        grows = 0
+        while grows < len(inner) and inner[grows] > 0:
+            grows += 1
+        a, b = costs[grows], costs[grows + 1]
     return (a + b) / 2

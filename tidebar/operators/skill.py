@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebar.functions.shared import value_counts
 
-def mid_rank(column: str, keys: list[str] | None = None) -> Column:
-    """1-based ranks, ties at their mean."""
-    over = W.partitionBy(*(keys or [])).orderBy(column)
-    ties = F.count("*").over(W.partitionBy(*(keys or []), column))
-    return F.rank().over(over) + (ties - 1) / 2
+
+def mid_ranked(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds 1-based ranks over all rows, ties at their mean; rows without a value have none."""
+    ranks = value_counts(df, column).select(column, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
+    return df.join(ranks, column, "left")
 
 
 def information(df: DataFrame, mu: str = "mu", r: str = "r") -> DataFrame:
     """Pooled Pearson and Spearman correlation."""
-    ranked = df.withColumn("_a", mid_rank(mu)).withColumn("_b", mid_rank(r))
+    ranked = mid_ranked(mid_ranked(df, mu, "_a"), r, "_b")
     return ranked.agg(F.corr(mu, r).alias("pearson"), F.corr("_a", "_b").alias("spearman"), F.count("*").alias("n"))
 
 
@@ -59,9 +60,9 @@ def confusion(df: DataFrame, mu: str = "mu", r: str = "r") -> DataFrame:
 
 def auc(df: DataFrame, mu: str = "mu", r: str = "r") -> DataFrame:
     """0.5 + mean placement of rises - mean placement of falls, of directed and moving bars."""
-    own = df.where((F.col(mu) != 0) & (F.col(r) != 0)).withColumn("_rank", mid_rank(mu)).withColumn("_n", F.count("*").over(W.partitionBy()))
-    place = (F.col("_rank") - 0.5) / F.col("_n")
-    return own.agg((0.5 + F.avg(F.when(F.col(r) > 0, place)) - F.avg(F.when(F.col(r) < 0, place))).alias("auc"))
+    own = mid_ranked(df.where((F.col(mu) != 0) & (F.col(r) != 0)), mu, "_rank")
+    rises, falls = F.avg(F.when(F.col(r) > 0, F.col("_rank"))), F.avg(F.when(F.col(r) < 0, F.col("_rank")))
+    return own.agg((0.5 + F.try_divide(rises - falls, F.count("*"))).alias("auc"))
 
 
 def cutpoints(df: DataFrame, column: str, k: int = 10) -> DataFrame:

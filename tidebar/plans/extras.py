@@ -168,7 +168,7 @@ def eligible_ranges(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stratified_endpoints",
     f"""WITH {RANGES}, k AS (SELECT unnest(range(7)) AS k)
-        SELECT symbol, k, (start + (2 * k + 1) * ("end" - start) // 14)::BIGINT AS anchor FROM spans, k WHERE split = 'train'""",
+        SELECT symbol, k, (start + (2 * k + 1) * ("end" - start) // 14)::BIGINT AS anchor FROM spans, k WHERE split = 'train' AND start < "end"""",
 )
 def stratified_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     own = ranges(spark, sf).where("split = 'train'")
@@ -179,7 +179,7 @@ def stratified_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     "sleeves",
     f"""WITH {BARS}, p AS (SELECT symbol, row_number() OVER w - 1 AS step, close AS price, (row_number() OVER w - 1) % 3::DOUBLE AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
              d AS (SELECT *, q - lag(q, 1, 0) OVER w AS d FROM p WINDOW w AS (PARTITION BY symbol ORDER BY step))
-        SELECT symbol, step, round(2000 - sum(d * price) OVER w + q * price, 4) AS sleeve, round(2000 * price / first_value(price) OVER w, 4) AS held
+        SELECT symbol, step, round(10000.0::DOUBLE / (SELECT count(DISTINCT symbol) FROM bars) - sum(d * price) OVER w + q * price, 4) AS sleeve, round(10000.0::DOUBLE / (SELECT count(DISTINCT symbol) FROM bars) * price / first_value(price) OVER w, 4) AS held
         FROM d WINDOW w AS (PARTITION BY symbol ORDER BY step ROWS UNBOUNDED PRECEDING)""",
 )
 def sleeves(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import calendar as K
 from tidebar.functions import prices as P
+from tidebar.functions.shared import shared_dir, written
 from tidebar.operators import momentum as M
 from tidebar.operators import simulate as X
 from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
-from tidebar.plans.markets import panel
+from tidebar.plans.markets import PANEL, panel
 from tidebar.sources import packed, providers
 from tidebar.sources.views import DAY, HOUR, bars, bars_sql, table, ticks
 from tidebar.streaming import live
@@ -55,15 +56,26 @@ def chart_bars(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: r6(c) for c in ("open", "high", "low", "close", "vwap")})
 
 
-@query("trading_days")
+_SESSIONS = K.sessions_sql("1995-01-01", "2001-12-31")
+
+
+@query(
+    "trading_days",
+    f"""WITH {_SESSIONS}, own AS (SELECT o_orderdate::DATE AS day, count(*) AS orders FROM orders GROUP BY 1)
+        SELECT day, coalesce(orders, 0)::BIGINT AS orders FROM sessions LEFT JOIN own USING (day)""",
+)
 def trading_days(spark: SparkSession, sf: str) -> DataFrame:
     """Orders by trading day: days without a session have none."""
-    days = K.sessions(spark, "1995-01-01", "2001-12-31", ("2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14"))
+    days = K.sessions(spark, "1995-01-01", "2001-12-31")
     own = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
     return days.join(own, "day", "left").select("day", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
 
-@query("release_sessions")
+@query(
+    "release_sessions",
+    f"""WITH {_SESSIONS}, own AS (SELECT DISTINCT o_orderdate::DATE AS released FROM orders)
+        SELECT released, (SELECT min(day) FROM sessions WHERE day > released AND day <= released + 11) AS available_day FROM own""",
+)
 def release_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The first session after each order's day."""
     days = K.sessions(spark, "1995-01-01", "2001-12-31")
@@ -82,8 +94,7 @@ def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
     own = source.select(
         F.col("event_type").alias("symbol"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts")).alias("ts_s"), F.col("value").alias("close")
     )
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-{uuid.uuid4().hex[:6]}"
-    root = f"{base}/live-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     sink = live.buckets(own, HOUR // 1000).writeStream.format("parquet").option("path", f"{root}/bars")
     run = sink.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -103,7 +114,8 @@ def live_barrier(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "last_closes",
-    """SELECT event_type AS symbol, (epoch_ms(ts) // 300000) * 300 AS bucket_s, last(value ORDER BY ts, event_id) AS close, count(*) AS ticks FROM events GROUP BY 1, 2""",
+    """SELECT event_type AS symbol, (epoch_ms(ts) // 300000) * 300 AS bucket_s, last(value ORDER BY ts, event_id) AS close, count(*) AS ticks
+       FROM events WHERE value > 0 AND value < 'Infinity'::DOUBLE GROUP BY 1, 2""",
 )
 def last_closes(spark: SparkSession, sf: str) -> DataFrame:
     own = ticks(spark, sf).withColumn("ts_s", F.struct("ts_ms", "seq"))
@@ -162,8 +174,20 @@ def explained_variance(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy("symbol").agg(r6(1 - share).alias("explained"))
 
 
-@query("break_even_cost")
+@query(
+    "break_even_cost",
+    f"""WITH RECURSIVE {PANEL}, own AS MATERIALIZED (
+            SELECT t, avg(exp(realized_r) - 1) AS gross, count(*) / 5.0::DOUBLE AS turnover FROM panel GROUP BY 1
+        ), ends AS (
+            SELECT sum(ln(greatest(1 + gross, 1e-12))) AS free, sum(ln(greatest(1 + gross - turnover * 0.1::DOUBLE, 1e-12))) AS dear FROM own
+        ), walk AS (
+            SELECT 0 AS k, 0.0::DOUBLE AS a, 1000.0::DOUBLE AS b
+            UNION ALL
+            SELECT k + 1, CASE WHEN up THEN (a + b) / 2 ELSE a END, CASE WHEN up THEN b ELSE (a + b) / 2 END FROM (
+                SELECT *, (SELECT sum(ln(greatest(1 + gross - turnover * ((a + b) / 2 / 10000), 1e-12))) FROM own) > 0 AS up FROM walk WHERE k < 48))
+        SELECT round(CASE WHEN free <= 0 THEN 0 WHEN dear > 0 THEN 'Infinity'::DOUBLE ELSE (a + b) / 2 END, 6) AS bps FROM walk, ends WHERE k = 48""",
+)
 def break_even_cost(spark: SparkSession, sf: str) -> DataFrame:
     """The flat cost at which an equal book of all names stops growing; one row."""
     own = panel(spark, sf).groupBy("t").agg(F.avg(F.expm1("realized_r")).alias("gross_r"), (F.count("*") / 5).alias("turnover"))
-    return spark.createDataFrame([(X.break_even_bps(own.persist(), rounds=16),)], "bps double")
+    return spark.createDataFrame([(round(X.break_even_bps(written(own, "book")), 6),)], "bps double")

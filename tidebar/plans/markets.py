@@ -80,7 +80,7 @@ USER_DAILY = f"""{bars_sql(DAY, "user_id")}, names AS (
 def user_costs(spark: SparkSession, sf: str) -> DataFrame:
     return bars(spark, sf, DAY, "user_id").groupBy("symbol").agg(
         F.median(F.col("vwap") * F.col("volume")).alias("daily_dollars"),
-        (F.stddev_samp("close") / F.avg("close")).alias("sigma_daily"), F.avg(F.ln(F.col("high") / F.col("low"))).alias("spread"),
+        (F.stddev_samp("close") / F.avg("close")).alias("sigma_daily"), F.avg(P.log_ratio(F.col("high"), F.col("low"))).alias("spread"),
     )
 
 
@@ -220,8 +220,8 @@ def equity(spark: SparkSession, sf: str) -> DataFrame:
         ), stats AS (
             SELECT symbol, count(r) AS returns, (arg_max(value, ts_ms) / 10000 - 1) * 100 AS total, max(fall) AS fall, avg(r) AS m,
                    stddev_pop(r) AS sd, stddev_pop(r) FILTER (r < 0) AS down, avg((r > 0)::INTEGER) AS win_rate FROM steps GROUP BY 1)
-        SELECT symbol, returns, round(total, 6) AS total_return, round(fall, 6) AS max_drawdown, round(m / sd, 6) AS sharpe,
-               round(m / down, 6) AS sortino, round(total / fall, 6) AS calmar, round(win_rate, 6) AS win_rate FROM stats""",
+        SELECT symbol, returns, round(total, 6) AS total_return, round(fall, 6) AS max_drawdown, round(coalesce(CASE WHEN sd > 0 THEN m / sd END, 0), 6) AS sharpe,
+               round(coalesce(CASE WHEN down > 0 THEN m / down END, 0), 6) AS sortino, round(coalesce(total / nullif(fall, 0), 0), 6) AS calmar, round(win_rate, 6) AS win_rate FROM stats""",
 )
 def backtest_metrics(spark: SparkSession, sf: str) -> DataFrame:
     found = N.metrics(equity(spark, sf), "symbol", "ts_ms", "value")

@@ -33,9 +33,8 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
         SELECT day, period, value FROM days ASOF LEFT JOIN macro ON day >= available""",
 )
 def asof_macro(spark: SparkSession, sf: str) -> DataFrame:
-    days = table(spark, sf, "orders").select(F.lit(1).alias("k"), F.to_date("o_orderdate").alias("day")).distinct()
-    known = macro(spark, sf).withColumn("k", F.lit(1))
-    return J.asof(days, known, ["k"], "day", "available", ["period", "value"]).drop("k")
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return J.asof_days(days, macro(spark, sf), "day", "available")
 
 
 FUNDAMENTALS = """fundamentals AS (
@@ -90,8 +89,7 @@ def prior_year(spark: SparkSession, sf: str) -> DataFrame:
 )
 def asof_point(spark: SparkSession, sf: str) -> DataFrame:
     at = spark.createDataFrame([("1996-06-01",), ("1999-01-31",), ("2000-12-31",)], "d string").select(F.to_date("d").alias("day"))
-    known = macro(spark, sf)
-    return F.broadcast(at).join(known, F.col("available") <= F.col("day")).groupBy("day").agg(F.max_by("period", "available").alias("period"))
+    return J.asof_days(at, macro(spark, sf), "day", "available").where("period IS NOT NULL").select("day", "period")
 
 
 @query(

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebar.functions.shared import written
+
 # fixed values of the file format
 MAGIC, VERSION = b"TBBARS01", 1
 HEADER = "<8sIIQqq24s"
@@ -131,14 +133,11 @@ def append_bars(spark: SparkSession, path: str, bars: DataFrame) -> int:
     """Appends the bars that are later than their symbol's last, and returns how many; a second call appends none."""
     last = spark.read.parquet(path).groupBy("symbol", "res_secs").agg(F.max("ts_ms").alias("_last"))
     newer = bars.join(last, ["symbol", "res_secs"], "left").where("_last IS NULL OR ts_ms > _last").drop("_last")
-    newer = newer.dropDuplicates(["symbol", "res_secs", "ts_ms"]).persist()
-    try:
-        n = newer.count()
-        if n:
-            newer.sortWithinPartitions("symbol", "ts_ms").write.mode("append").partitionBy("res_secs").parquet(path)
-        return n
-    finally:
-        newer.unpersist()
+    newer = written(newer.dropDuplicates(["symbol", "res_secs", "ts_ms"]), "newer")
+    n = newer.count()
+    if n:
+        newer.sortWithinPartitions("symbol", "ts_ms").write.mode("append").partitionBy("res_secs").parquet(path)
+    return n
 
 
 def replay_journal(lines: DataFrame, schema: str, keys: list[str]) -> DataFrame:

@@ -21,8 +21,8 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def ticks(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
-    """symbol, ts_ms, price, size, seq from the events."""
-    return table(spark, sf_dir, "events").select(
+    """symbol, ts_ms, price, size, seq from the events; one without a finite price above 0 is no trade."""
+    return table(spark, sf_dir, "events").where("value > 0 AND value < double('Infinity')").select(
         F.col(symbol).cast("string").alias("symbol"), epoch_ms(F.col("ts")).alias("ts_ms"),
         F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("seq"),
     )
@@ -50,4 +50,4 @@ def bars_sql(res_ms: int = HOUR, symbol: str = "event_type", name: str = "bars")
                first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
                last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume, avg(value) AS vwap,
                count(*) AS trades
-        FROM events GROUP BY 1, 2)"""
+        FROM events WHERE value > 0 AND value < 'Infinity'::DOUBLE GROUP BY 1, 2)"""
