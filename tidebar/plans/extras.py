@@ -168,7 +168,7 @@ def eligible_ranges(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stratified_endpoints",
     f"""WITH {RANGES}, k AS (SELECT unnest(range(7)) AS k)
-        SELECT symbol, k, (start + (2 * k + 1) * ("end" - start) // 14)::BIGINT AS anchor FROM spans, k WHERE split = 'train' AND start < "end"""",
+        SELECT symbol, k, (start + (2 * k + 1) * ("end" - start) // 14)::BIGINT AS anchor FROM spans, k WHERE "end" > start AND split = 'train'""",
 )
 def stratified_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     own = ranges(spark, sf).where("split = 'train'")
