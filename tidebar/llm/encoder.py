@@ -3,8 +3,8 @@
 A vocabulary with the rules ``_KNOWN`` splits at white space first and encodes each pre-token on its own, so a text's
 ids are the ids of its white-space-bounded segments in order.  Arrow splits a batch of whole texts and numbers its
 distinct segments; each distinct segment is encoded by the tokenizers library and remembered in a bounded table.  The
-result equals encoding each whole text in one call (a test holds them together).  Whole-text calls encode for any
-other vocabulary, and for whoever needs offsets.
+result equals encoding each whole text in one call (a test holds them together, offsets included).  Any other
+vocabulary gets its texts in whole-text calls.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +162,59 @@ class SegmentEncoder(dict):
         return self.encode_many(pa.array([text])).ids
 
 
+class OffsetEncoder(dict):
+    """segment -> character places, in the segment, where its tokens start and end (two rows)."""
+
+    def __init__(self, path: str, most: int = 250_000):
+        super().__init__()
+        self._library = Tokenizer.from_file(path)
+        self._model, self._most, self._parts = self._library.model, most, {}
+        self._letters = _byte_letters()
+
+    def _core(self, core: str) -> list[tuple[int, int]]:
+        """Spans of one run of Latin letters; a token that begins within a letter's bytes starts at that letter."""
+        if core.isascii():
+            return [t.offsets for t in self._model.tokenize(core)]
+        letters = "".join(map(self._letters.__getitem__, core.encode()))
+        place = [k for k, c in enumerate(core) for x in c.encode() for _ in range(1 if x < 128 else 2)]
+        return [(place[a], place[b - 1] + 1) for a, b in (t.offsets for t in self._model.tokenize(letters))]
+
+    def _signs(self, part: str) -> list[tuple[int, int]]:
+        if part not in self._parts:
+            if len(self._parts) >= self._most:
+                self._parts.clear()
+            self._parts[part] = self._library.encode(part, add_special_tokens=False).offsets
+        return self._parts[part]
+
+    def __missing__(self, segment: str) -> np.ndarray:
+        m = _WORD.fullmatch(segment) if len(segment) < 60 and "Σ" not in segment and "İ" not in segment else None
+        core = m[2].lower() if m else ""
+        if core.isalpha() and max(core) < "ɐ" and unicodedata.is_normalized("NFC", core):
+            a, b = m.span(2)
+            spans = self._signs(m[1]) if a else []
+            spans = [*spans, *((x + a, y + a) for x, y in self._core(core))]
+            spans += [(x + b, y + b) for x, y in self._signs(m[3])] if m[3] else []
+        else:
+            spans = self._library.encode(segment, add_special_tokens=False).offsets
+        got = np.array(spans, np.int32).reshape(-1, 2)
+        if len(segment) < 60:
+            if len(self) >= self._most:
+                self.clear()
+            self[segment] = got
+        return got
+
+    def spans_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Character spans of all tokens end to end (two columns), and where each text's tokens begin."""
+        codes, segments, words = split_texts(texts)
+        found = [self[w] for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        pool = np.concatenate([np.empty((0, 2), np.int32), *found])
+        each = counts[codes]
+        spans = pool[ragged((np.cumsum(counts) - counts)[codes], each)].astype(np.int64)
+        spans += np.repeat(segment_places(texts), each)[:, None]
+        return spans, np.concatenate([[0], np.cumsum(each)])[segments]
+
+
 class WholeEncoder:
     """Whole texts by the library itself, about ``most`` characters at a time."""
 
@@ -190,11 +244,27 @@ class WholeEncoder:
 
     def spans_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Character spans of all tokens end to end (two columns), and where each text's tokens begin."""
-        spans = [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self._encoded(texts)]
+        spans = [np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2) for e in self._encoded(texts)]
         starts = np.cumsum([0, *(len(x) for x in spans)])
         return np.concatenate([np.empty((0, 2), np.int64), *spans]), starts
 
 
+def segment_places(texts: pa.Array) -> np.ndarray:
+    """The character of its text at which each white-space-bounded segment starts, for all texts end to end."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring_regex(texts, _WIDE_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, _WIDE_SPACE, " ")
+    raw, at = flat_bytes(texts)
+    lead = (raw & 0xC0) != 0x80
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    before = np.concatenate([[True], space[:-1]])
+    before[at[:-1][at[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(~space & before)
+    chars = np.cumsum(lead) - lead
+    owner = np.searchsorted(at, starts, "right") - 1
+    return chars[starts] - chars[at[owner]] if len(starts) else starts
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins (one more entry than texts)."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_binary(texts.type) else texts
@@ -218,8 +288,8 @@ def encoder(path: str) -> SegmentEncoder | WholeEncoder:
     return _kept(SegmentEncoder if by_segments(path) else WholeEncoder, path)
 
 
-def whole_encoder(path: str) -> WholeEncoder:
-    return _kept(WholeEncoder, path)
+def offset_encoder(path: str) -> OffsetEncoder | WholeEncoder:
+    return _kept(OffsetEncoder if by_segments(path) else WholeEncoder, path)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
