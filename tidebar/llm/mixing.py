@@ -49,18 +49,20 @@ def targets(sources: DataFrame, share: float, cap: float, weights: tuple[int, ..
 
 
 def packets(
-    docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: str = "mix"
-) -> DataFrame:
+    docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: str = "mix",
+    row: str | None = None,
+) -> DataFrame:
     """The queue: row, doc_id, text_key, source, size, source_size, target, pass, first, length, finish, at, words.
 
     A packet is a pass of a document, or a part of one: ``length`` words from its word ``first`` on.  ``finish`` is its
     virtual finish time, ``at`` the words of all packets that finish before, over all sources, and ``words`` those that
     the budget leaves it.  Rows of one doc_id are served by their texts, and equal ones as they are stored.  Sources are
-    sorted together, so none of them meets in one task.
+    sorted together, so none of them meets in one task.  ``row`` names a column of ``docs`` that numbers its rows; without
+    one they are numbered here, once, and the numbers hold for the rows returned only.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), text_key().alias("text_key"),
     )
     sized = scratch.put(sized, "sized")
