@@ -63,14 +63,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where the mix cuts a document, its first words stay, between blanks.  Null texts and texts without words aren't
     taken; rows that repeat a doc_id, or a text, too, are documents of their own; sources may be null.
     """
-    queue = mixing.packets(docs).where("words > 0").select("row", "text_key", "at", "words", "size")
-    queue = Scratch(spark, "mixed").put(queue, "queue")
+    scratch = Scratch(spark, "mixed")
+    # a second scan may deal rows otherwise, where executors came or went, so they are numbered once and written
+    own = scratch.put(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    queue = mixing.packets(own.select("doc.doc_id", "doc.source", "doc.text", "row"), row="row").where("words > 0")
+    queue = scratch.put(queue.select("row", "at", "words", "size"), "queue")
     total = queue.agg(F.sum("words")).first()[0] or 0
-    # rows are numbered as in the queue, from the same files; the key says so
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), text_key().alias("key"))
-    same = F.when(F.col("key") == F.col("text_key"), F.col("doc.text")).otherwise(F.raise_error(F.lit("rows are not where the queue has them")))
-    words = F.filter(F.split(same, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(same)
+    words = F.filter(F.split("doc.text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("doc.text"))
     both = own.join(queue, "row").select("at", "words", F.col("doc").withField("text", text).alias("doc"))
     return mixing.mixed_order(both, total).select("doc.*")
 
