@@ -220,14 +220,15 @@ def common_symbols(spark: SparkSession, sf: str) -> DataFrame:
     "rollout_report",
     """WITH runs AS (
            SELECT l_suppkey, avg(l_discount) AS r, avg(l_tax * 10) AS a, avg((l_tax * 10 NOT BETWEEN 0.01 AND 0.99)::INTEGER) AS b,
-                  arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) / arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) AS w, count(*) AS n
+                  arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) / arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS w, count(*) AS n
            FROM lineitem GROUP BY 1)
        SELECT round(sum(r * n) / sum(n), 6) AS reward, round(sum(a * n) / sum(n), 6) AS action, round(sum(b * n) / sum(n), 6) AS at_bounds,
               round(avg(w), 6) AS wealth_ratio FROM runs""",
 )
 def rollout_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' lines as runs, in order of line and price, since a line's number can repeat within an order."""
     steps = table(spark, sf, "lineitem").select(
-        "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("step"), F.col("l_discount").alias("reward"),
+        "l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("step"), F.col("l_discount").alias("reward"),
         (F.col("l_tax") * 10).alias("action"), F.col("l_extendedprice").alias("wealth"),
     )
     found = V.rollout(steps, "l_suppkey", "step")
