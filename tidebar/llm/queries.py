@@ -10,12 +10,15 @@ from tidebar.llm import (
     exact_dedup,
     id_store,
     jaccard_join,
+    lexical_search,
+    line_dedup,
     media,
     mixing,
     packing,
     suffix_dedup,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from tidebar.llm.common import Scratch, table
 
@@ -73,6 +76,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -84,8 +102,49 @@ QUERIES = {
     "op8_id_store": op8_id_store,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Each round as a table of assignments and a table of new codebooks; doubles hold these integers exactly."""
+    sql = """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, len(embedding) // 4 AS w,
+                   list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+            FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cut AS MATERIALIZED (
+            SELECT i, p, v[p * w + 1:(p + 1) * w] AS x FROM kept, range(4) AS parts(p)
+        ), book0 AS MATERIALIZED (
+            SELECT p, i - 1 AS e, x AS c FROM cut WHERE i <= 256
+        )"""
+    for k in range(rounds + 1):
+        sql += f""", far{k} AS MATERIALIZED (
+            SELECT i, cut.p, min([list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e]) AS best
+            FROM cut JOIN book{k} AS b ON cut.p = b.p GROUP BY 1, 2
+        )"""
+        if k < rounds:
+            sql += f""", sums{k} AS (
+            SELECT p, e, list(m ORDER BY nth) AS c
+            FROM (SELECT p, e, nth, floor(sum(y) / count(*)) AS m
+                  FROM (SELECT f.p, best[2] AS e, unnest(x) AS y, unnest(range(len(x))) AS nth FROM far{k} AS f JOIN cut ON f.i = cut.i AND f.p = cut.p)
+                  GROUP BY 1, 2, 3)
+            GROUP BY 1, 2
+        ), book{k + 1} AS MATERIALIZED (
+            SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM book{k} AS b LEFT JOIN sums{k} AS s ON b.p = s.p AND b.e = s.e
+        )"""
+    return sql + f""", coded AS (
+            SELECT vec_id, label, string_agg(lower(format('{{:02x}}', best[2]::BIGINT)), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error
+            FROM kept JOIN far{rounds} AS f ON kept.i = f.i GROUP BY kept.i, vec_id, label
+        ), named AS (
+            SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, nth)) AS codebooks_sha256
+            FROM (SELECT p, e, unnest(c) AS y, unnest(range(len(c))) AS nth FROM book{rounds})
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, named
+    """
+
+
 SQL = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -172,4 +231,53 @@ SQL = {
         SELECT d.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies
         FROM documents d JOIN classes c ON coalesce(d.text, '') = c.text JOIN named ON c.rep = node LEFT JOIN degrees ON c.rep = x
     """,
+    "op11_lexical_search": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents
+        ), sized AS (
+            SELECT doc_id, t, len(t)::BIGINT AS n FROM docs WHERE len(t) > 0
+        ), total AS (
+            SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM sized
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY 1, 2
+        ), held AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM sized) GROUP BY 1, 2, 3
+        ), spread AS (
+            SELECT term, count(*) AS df FROM held GROUP BY 1
+        ), scores AS (
+            SELECT item_id, doc_id,
+                   sum(times * floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                       * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))))::BIGINT AS score
+            FROM asked JOIN spread USING (term) JOIN held USING (term), total GROUP BY 1, 2
+        )
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 10
+    """,
+    "op12_line_dedup": """
+        WITH rows AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+        ), lines AS (
+            SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM rows
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), shared AS (
+            SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 3
+        ), judged AS (
+            SELECT r, doc_id, line, pos, s.key IS NOT NULL AND doc_id IS DISTINCT FROM keep AS gone
+            FROM keyed k LEFT JOIN shared s ON k.key = s.key
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY r
+    """,
+    "op13_vector_codes": _vector_codes_sql(),
 }
