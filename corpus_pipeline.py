@@ -7,7 +7,6 @@ next stage's documents.  All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
@@ -16,18 +15,24 @@ from tidebar.llm.common import Scratch, table, text_key
 THRESHOLD = 0.3
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds _key, the text's, and _nth, which tells rows of one doc_id and text apart."""
-    same = W.partitionBy("doc_id", "_key").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "text")
-    return docs.withColumn("_key", text_key()).withColumn("_nth", F.row_number().over(same))
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, row): each row whole in a struct, whatever its columns are called, and its number.
+
+    A second scan may deal rows otherwise, where executors came or went, so they are numbered once and written.
+    """
+    return scratch.put(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row for each (doc_id, text_key) of ``kept``."""
+def _only(own: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row for each (doc_id, text_key) of ``kept``, the first as stored.
+
+    Numbers are chosen by keys alone; texts are exchanged once, to meet the chosen numbers.
+    """
+    keyed = own.select("row", F.col("doc.doc_id").alias("doc_id"), text_key("doc.text").alias("_key"))
+    first = keyed.groupBy("doc_id", "_key").agg(F.min("row").alias("row"))
     keys = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_kept"))
-    keyed = docs.withColumn("_key", text_key())
     same = (F.col("_key") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return _numbered(keyed.join(keys, same, "left_semi").drop("_key")).where("_nth = 1").drop("_key", "_nth")
+    return own.join(first.join(keys, same, "left_semi").select("row"), "row", "left_semi").select("doc.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +48,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of equal ones, that with the largest doc_id; null texts count as empty ones.
 
-    Of rows that repeat doc_id and text one stays, the first by its other columns.
+    Of rows that repeat doc_id and text one stays, the first as stored.
     """
-    found = exact_dedup.exact_dedup(docs).where("kept")
-    return _only(docs, found.select("doc_id", F.unhex(F.substring("text_sha256", 1, 32)).alias("text_key")))
+    own = _numbered(docs, Scratch(spark, "distinct"))
+    found = exact_dedup.exact_dedup(own.select("doc.doc_id", "doc.text")).where("kept")
+    return _only(own, found.select("doc_id", F.unhex(F.substring("text_sha256", 1, 32)).alias("text_key")))
 
 
 def without_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,8 @@ def without_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts count as empty ones; texts without words link to none; of rows that repeat doc_id and text one stays.
     """
-    return _only(docs, jaccard_join.jaccard_join(docs).where("kept"))
+    own = _numbered(docs, Scratch(spark, "near"))
+    return _only(own, jaccard_join.jaccard_join(own.select("doc.doc_id", "doc.text")).where("kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +71,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken; rows that repeat a doc_id, or a text, too, are documents of their own; sources may be null.
     """
     scratch = Scratch(spark, "mixed")
-    # a second scan may deal rows otherwise, where executors came or went, so they are numbered once and written
-    own = scratch.put(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    own = _numbered(docs, scratch)
     queue = mixing.packets(own.select("doc.doc_id", "doc.source", "doc.text", "row"), row="row").where("words > 0")
     queue = scratch.put(queue.select("row", "at", "words", "size"), "queue")
     total = queue.agg(F.sum("words")).first()[0] or 0
