@@ -102,10 +102,27 @@ def test_stages_on_an_empty_table(spark, docs, tmp_path):
         assert stage(spark, none, SMALL).count() == 0
 
 
-def test_stages_keep_other_columns(spark, docs, tmp_path):
-    """Columns named as the stages name theirs."""
-    names = ("row", "at", "words", "size", "doc", "key", "_key", "text_key")
-    docs.withColumns({k: F.lit(k) for k in names}).write.parquet(f"{tmp_path}/more")
+def test_stages_keep_other_columns(spark, tmp_path):
+    """Columns named as the stages name theirs, and maps, which can be neither sorted nor joined by."""
+    names = ("row", "at", "words", "size", "doc", "key", "_key", "_nth", "_id", "_kept", "text_key")
+    docs = table(spark, SMALL, "documents")
+    more = docs.withColumns({k: F.lit(k) for k in names}).withColumn("tags", F.create_map(F.lit("k"), F.col("n_chars")))
+    more.write.parquet(f"{tmp_path}/more")
     more = spark.read.parquet(f"{tmp_path}/more")
-    kept = pipeline.mixed(spark, more, SMALL)
-    assert kept.columns == more.columns and {tuple(r[k] for k in names) for r in kept.collect()} == {names}
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, more, SMALL)
+        assert kept.columns == more.columns
+        assert {(*(r[k] for k in names), r.tags == {"k": r.n_chars}) for r in kept.collect()} == {(*names, True)}
+
+
+def test_stages_on_many_repeats_of_a_row(spark, tmp_path):
+    """10,000 times one document, beside others: one stays, and the mix takes no more than twice each row."""
+    once = table(spark, SMALL, "documents").where("doc_id < 20")
+    hot = once.where("doc_id = 7").join(spark.range(10_000).select(F.lit(1)))
+    once.unionByName(hot.select(*once.columns)).repartition(4).write.parquet(f"{tmp_path}/hot")
+    docs = spark.read.parquet(f"{tmp_path}/hot")
+    for stage in (pipeline.distinct, pipeline.without_near):
+        kept = rows_of(stage(spark, docs, SMALL))
+        assert Counter(r[0] for r in kept)[7] <= 1 and len({r[1] for r in kept}) == len(kept)
+    taken = Counter(r[0] for r in rows_of(pipeline.mixed(spark, docs, SMALL)))
+    assert 0 < taken[7] <= 2 * 10_001
