@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.functions.shared import value_counts
+from tidebar.functions.shared import percentiles, value_counts
 
 
 def mid_ranked(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -67,7 +67,7 @@ def auc(df: DataFrame, mu: str = "mu", r: str = "r") -> DataFrame:
 
 def cutpoints(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """One row with the interior percentiles, by linear interpolation."""
-    return df.agg(F.percentile(column, F.array(*(F.lit(j / k) for j in range(1, k)))).alias("cuts"))
+    return percentiles(df, column, [j / k for j in range(1, k)])
 
 
 def bucketed(df: DataFrame, column: str, cuts: DataFrame, out: str = "decile") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ("indicators", "pointintime", "markets", "flows", "extras", "accounts", "landed")
+_MODULES = ("indicators", "pointintime", "markets", "flows", "extras", "accounts", "landed", "streams", "laws")
 
 
 def query(name: str, sql: str | None = None):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import calendar as K
 from tidebar.functions import prices as P
-from tidebar.functions.shared import shared_dir, written
+from tidebar.functions.shared import percentiles, shared_dir, written
 from tidebar.operators import momentum as M
 from tidebar.operators import simulate as X
 from tidebar.plans import query
@@ -92,7 +92,7 @@ def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     own = source.select(
-        F.col("event_type").alias("symbol"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts")).alias("ts_s"), F.col("value").alias("close")
+        F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts")).alias("ts_s"), F.col("value").alias("close")
     )
     root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     sink = live.buckets(own, HOUR // 1000).writeStream.format("parquet").option("path", f"{root}/bars")
@@ -160,7 +160,8 @@ def closure_kelly(spark: SparkSession, sf: str) -> DataFrame:
 )
 def quantile_bands(spark: SparkSession, sf: str) -> DataFrame:
     own = bars(spark, sf).withColumn("horizon", (F.floor(F.col("ts_ms") / HOUR) % 24).cast("long"))
-    return own.groupBy("horizon").agg(*(r6(F.percentile("close", F.lit(q))).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))))
+    cuts = percentiles(own, "close", [0.05, 0.5, 0.95], ("horizon",))
+    return cuts.select("horizon", *(r6(F.col("cuts")[k]).alias(n) for k, n in enumerate(("p05", "p50", "p95"))))
 
 
 @query(

@@ -19,7 +19,7 @@ _STATE = "bucket long, close double"
 
 
 def fold_ticks(state: tuple | None, ticks: list[tuple[int, float]], width_s: int) -> tuple[tuple | None, list[tuple]]:
-    """(state, [(bucket, close, kind)]) after ticks (epoch seconds, close) in order of time."""
+    """(state, [(bucket, close, kind)]) after ticks (epoch seconds, close) in order of arrival."""
     out = []
     for ts, close in ticks:
         bucket = ts // width_s
@@ -37,11 +37,11 @@ def fold_ticks(state: tuple | None, ticks: list[tuple[int, float]], width_s: int
 
 
 def buckets(ticks: DataFrame, width_s: int = 300) -> DataFrame:
-    """Ticks (symbol, ts_s, close) to completed buckets, as a stream."""
+    """Ticks (symbol, seq, ts_s, close) to completed buckets, as a stream, folded in the order of arrival, ``seq``."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts_s", kind="stable")
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         now, out = fold_ticks(now, list(zip(rows["ts_s"].tolist(), rows["close"].tolist(), strict=True)), width_s)
         if now is not None:
             state.update(now)
@@ -76,20 +76,3 @@ def feed_health(latest: DataFrame, now_s: int, max_age_s: int, max_ahead_s: int
         .otherwise("ok")
     )
     return found.withColumn("state", state)
-
-
-def append_batches(bars: DataFrame, path: str, checkpoint: str):
-    """A streaming sink that appends only bars that the table has not got; replays write nothing twice."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["symbol", "bucket"])
-        try:
-            known = spark.read.parquet(path).select("symbol", "bucket")
-            fresh = fresh.join(known, ["symbol", "bucket"], "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
-
-    return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
