@@ -114,7 +114,11 @@ def exact_dedup(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")
     )
     groups = scratch.put(groups, "groups")
-    return join_counted(recipes, groups, ["recipe"], "group_size", recipes.count()).select(
+    found = join_counted(recipes, groups, ["recipe"], "group_size", recipes.count()).select(
         "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"),
     )
+    found = scratch.put(found, "found")
+    for name in ("cut", "shared", "groups"):  # the chunks are as large as the texts
+        scratch.drop(name)
+    return found
