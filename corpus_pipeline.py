@@ -16,11 +16,18 @@ THRESHOLD = 0.3
 
 
 def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, row): each row whole in a struct, whatever its columns are called, and its number.
+    """(doc, row): each row whole in a struct, whatever its columns are called, and what tells it from all others.
 
-    A second scan may deal rows otherwise, where executors came or went, so they are numbered once and written.
+    Of a table of files that is the row's place: its file, by 128 bits of the path's MD5, and its index there, the same
+    however a scan is split.  Other rows are numbered once and written, as a second scan might deal them otherwise, where
+    executors came or went.
     """
-    return scratch.put(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    doc = F.struct(*docs.columns).alias("doc")
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    if plain and "_metadata" not in (c.lower() for c in docs.columns):
+        file, nth = F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))), F.col("_metadata.row_index")
+        return docs.select(doc, F.struct(file.alias("file"), nth.alias("nth")).alias("row"))
+    return scratch.put(docs.select(doc, F.monotonically_increasing_id().alias("row")), "numbered")
 
 
 def _only(own: DataFrame, kept: DataFrame) -> DataFrame:
