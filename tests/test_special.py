@@ -41,7 +41,8 @@ def test_incomplete_gamma_and_normal_law():
 
 def test_columns_give_null_outside_the_domain(spark):
     df = spark.createDataFrame([(1.0,), (None,), (-1.0,), (float("nan"),)], "x double")
-    assert [r.y for r in df.select(S.column(S.ln_gamma, F.col("x")).alias("y")).collect()] == [0.0, None, None, None]
+    found = [r.y for r in df.select(S.column(S.ln_gamma, F.col("x")).alias("y")).collect()]
+    assert abs(found[0]) < 1e-12 and found[1:] == [None, None, None]
 
 
 @pytest.mark.parametrize("keys", [(), ("k",)])
@@ -63,7 +64,7 @@ def test_percentiles_by_counts(spark, keys):
 
 
 def test_percentiles_of_nothing(spark):
-    assert not [r for r in percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).collect() if r.cuts]
+    assert percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).collect() == []
 
 
 def test_gaussian_mixture(spark):

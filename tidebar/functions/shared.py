@@ -52,7 +52,7 @@ def percentiles(df: DataFrame, column: str, fractions: list[float], keys: tuple[
     """(*keys, cuts): the values at the fractions of the rows, exact, interpolated linearly between neighbours by rank.
 
     Works on the counts of values: a row of counts gives out the wanted ranks that fall in it, at most two a fraction, so no
-    task holds a whole table's or key's values.  Without values, null or no row.
+    task holds a whole table's or key's values.  Without values there is no row.
     """
     counts = value_counts(df, column, keys)
     sizes = counts.groupBy(*keys).agg(F.max(F.col("below") + F.col("n")).alias("_size"))
@@ -67,6 +67,7 @@ def percentiles(df: DataFrame, column: str, fractions: list[float], keys: tuple[
     own = F.filter(wanted, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
     hits = ranked.select(*keys, "_size", F.col(column).cast("double").alias("_x"), F.explode(own).alias("_rank"))
     known = hits.groupBy(*keys).agg(F.max("_size").alias("_size"), F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+    known = known.where("_size > 0")
     low, high = (lambda p: F.col("_at")[F.floor(at(p))]), (lambda p: F.col("_at")[F.ceil(at(p))])
     share = lambda p: at(p) - F.floor(at(p))
     cuts = F.array(*(low(p) + (high(p) - low(p)) * share(p) for p in fractions))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidebar.functions.folds import streamed
+from tidebar.operators.accounts import ledger_legs
 from tidebar.operators.momentum import by
 
 
@@ -111,33 +109,14 @@ def observation(columns: dict[str, Column]) -> Column:
     return F.array(*(scaled[k](c).cast("float") if k in scaled else c.cast("float") for k, c in columns.items()))
 
 
-_BANDED = StructType([StructField("t", LongType()), *(StructField(c, DoubleType()) for c in ("gross_r", "turnover", "net_r", "wealth"))])
-
-
 def banded_backtest(panel: DataFrame, weight: str, cost_bps: float, band: float) -> DataFrame:
-    """A book that trades a name only when its target is more than ``band`` away; leavers are sold and charged.
+    """(t, gross_r, turnover, net_r, wealth) of a book that trades a name only when its target is more than ``band`` away.
 
-    The book is one account over all instants, so its instants are one stream; each holds its names as arrays.
+    Names are streams of their own; leavers are sold and charged at the next instant.  Instants, one row each, are summed
+    up in one window.
     """
-    row = F.struct("symbol", F.col(weight).alias("w"), "realized_r")
-    steps = panel.groupBy("t").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("book", F.lit(0))
-
-    def run(key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        held, wealth = state or ({}, 1.0)
-        out = []
-        for t, own in zip(rows["t"].tolist(), rows["rows"], strict=True):
-            target = {r["symbol"]: r["w"] for r in own}
-            turnover = sum(abs(w) for s, w in held.items() if s not in target)
-            held = {s: w for s, w in held.items() if s in target}
-            for s, w in target.items():
-                gap = w - held.get(s, 0.0)
-                if abs(gap) > band:
-                    turnover += abs(gap)
-                    held[s] = w
-            gross = sum(held.get(r["symbol"], 0.0) * (2.718281828459045 ** r["realized_r"] - 1) for r in own)
-            net = gross - turnover * cost_bps / 10_000
-            wealth *= max(1 + net, 1e-12)
-            out.append((int(t), gross, turnover, net, wealth))
-        return (held, wealth), pd.DataFrame(out, columns=_BANDED.names)
-
-    return streamed(steps, ["book"], [F.col("t")], run, _BANDED)
+    own = panel.withColumns({"adv": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double")})
+    steps = ledger_legs(own, weight, band).groupBy("t").agg(F.coalesce(F.sum(F.col("held") * F.expm1("realized_r")), F.lit(0.0)).alias("gross_r"), F.sum("trade").alias("turnover"))
+    steps = steps.withColumn("net_r", F.col("gross_r") - F.col("turnover") * cost_bps / 10_000)
+    wealth = F.exp(F.sum(F.ln(F.greatest(1 + F.col("net_r"), F.lit(1e-12)))).over(W.orderBy("t")))
+    return steps.withColumn("wealth", wealth)

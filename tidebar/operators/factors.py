@@ -10,52 +10,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebar.functions.shared import value_counts, written
 from tidebar.operators.momentum import by
 
 
-def gram(panel: DataFrame, value: str, most_names: int = 2000) -> tuple[list[str], np.ndarray]:
-    """Names and the products of their z-scored columns, absent values as 0.
+def standardised_rows(panel: DataFrame, value: str) -> tuple[DataFrame, list[str]]:
+    """(t, at array<int>, z array<double>): each instant's z-scores by the names' numbers, and the names in that order.
 
-    Each task adds up its instants' outer products; only matrices of a bounded size leave a task.
+    Names without spread are left out.  What reaches the driver is one name for each number.
     """
     stats = panel.groupBy("symbol").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")).where("_s > 0")
-    names = [r.symbol for r in stats.select("symbol").orderBy("symbol").limit(most_names + 1).collect()]
-    if len(names) > most_names:
-        raise ValueError(f"more than {most_names} names")
-    place = {s: k for k, s in enumerate(names)}
-    z = panel.join(F.broadcast(stats), "symbol").select("t", "symbol", ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z"))
+    numbered = written(value_counts(stats.select("symbol"), "symbol").select("symbol", F.col("below").cast("int").alias("_at")), "names")
+    z = panel.join(stats, "symbol").join(numbered, "symbol")
+    z = z.select("t", F.struct(F.col("_at").alias("at"), ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z")).alias("p"))
+    rows = z.groupBy("t").agg(F.collect_list("p").alias("p")).select("t", F.col("p.at").alias("at"), F.col("p.z").alias("z"))
+    return written(rows, "scores"), [r.symbol for r in numbered.orderBy("_at").collect()]
 
-    rows = z.groupBy("t").agg(F.collect_list(F.struct("symbol", "z")).alias("r"))
-    flat = rows.select("t", F.transform("r", lambda x: x["symbol"]).alias("symbols"), F.transform("r", lambda x: x["z"]).alias("zs"))
 
-    def by_instant(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), len(names)))
+def applied(rows: DataFrame, v: np.ndarray) -> np.ndarray:
+    """Z'Zv in one pass: each instant's sum over names of z * v, and with it the names' sums over instants.
+
+    The vector is broadcast, a number a name; a task adds up its instants, and tasks' sums are merged by a grouped shuffle.
+    """
+    shared, n = rows.sparkSession.sparkContext.broadcast(v), len(v)
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, total = shared.value, np.zeros(n)
         for frame in frames:
-            for symbols, zs in zip(frame["symbols"], frame["zs"], strict=True):
-                at = np.array([place[s] for s in symbols])
-                total[np.ix_(at, at)] += np.outer(zs, zs)
-        yield pd.DataFrame({"i": np.arange(len(names)), "row": list(total)})
-
-    parts = flat.mapInPandas(by_instant, "i int, row array<double>")
-    summed = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
-    out = np.zeros((len(names), len(names)))
-    for r in summed.collect():
-        out[r.i, r.j] = r.x
-    return names, out
-
-
-def first_factor(panel: DataFrame, value: str, rounds: int = 128) -> tuple[pd.DataFrame, float]:
-    """Loadings (symbol, loading) with a sum not below 0, and the factor's share of the variance."""
-    names, g = gram(panel, value)
-    v = np.ones(len(names)) / np.sqrt(max(len(names), 1))
+            for at, z in zip(frame["at"], frame["z"], strict=True):
+                total[at] += z * (z @ own[at])
+        there = np.flatnonzero(total)
+        yield pd.DataFrame({"at": there.astype(np.int32), "x": total[there]})
+
+    out = np.zeros(n)
+    for r in rows.mapInPandas(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r.x
+    return out
+
+
+def first_factor(panel: DataFrame, value: str, rounds: int = 128, settled: float = 1e-12) -> tuple[pd.DataFrame, float]:
+    """Loadings (symbol, loading) with a sum not below 0, and the factor's share of the variance.
+
+    Power iteration on z-scores, absent values as 0, until no loading moves by more than ``settled``; the matrix of all
+    pairs of names is never formed.
+    """
+    rows, names = standardised_rows(panel, value)
+    if not names:
+        return pd.DataFrame({"symbol": [], "loading": []}), float("nan")
+    v = np.full(len(names), 1 / np.sqrt(len(names)))
     for _ in range(rounds):
-        w = g @ v
-        if not np.linalg.norm(w):
+        w = applied(rows, v)
+        size = np.linalg.norm(w)
+        if not size:
+            break
+        moved, v = np.abs(w / size - v).max(), w / size
+        if moved <= settled:
             break
-        v = w / np.linalg.norm(w)
     v = v if v.sum() >= 0 else -v
-    trace = float(np.trace(g))
-    return pd.DataFrame({"symbol": names, "loading": v}), float(v @ g @ v / trace) if trace else float("nan")
+    trace = rows.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    return pd.DataFrame({"symbol": names, "loading": v}), float(v @ applied(rows, v) / trace) if trace else float("nan")
 
 
 def effective_rank(df: DataFrame, columns: list[str]) -> DataFrame:

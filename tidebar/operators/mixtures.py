@@ -8,6 +8,7 @@ part; without rows there is no fit.  A component whose share of the rows is ``LE
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from math import log, pi
 
@@ -22,6 +23,13 @@ from tidebar.functions.shared import percentiles
 LEAST, SETTLED, ROUNDS = 1e-9, 1e-8, 120
 
 
+def _spots(df: DataFrame, column: str, k: int, takes: Callable[[Column], Column]) -> list[float] | None:
+    """The middles of k equal parts of the rows that take part, and the quartiles; None without rows."""
+    own = df.select(F.col(column).cast("double").alias("x")).where(takes(F.col("x")))
+    row = percentiles(own, "x", [(c + 0.5) / k for c in range(k)] + [0.25, 0.75]).first()
+    return row and list(row.cuts)
+
+
 @dataclass(frozen=True)
 class Gaussian:
     weights: tuple[float, ...]
@@ -32,10 +40,10 @@ class Gaussian:
     @staticmethod
     def start(df: DataFrame, column: str, k: int, floor: float = 1e-9) -> Gaussian | None:
         """Means at the middles of k equal parts, deviations a k-th of the spread between the quartiles."""
-        row = percentiles(df, column, [(c + 0.5) / k for c in range(k)] + [0.25, 0.75]).first()
-        if row is None:
+        spots = _spots(df, column, k, Gaussian.takes)
+        if spots is None:
             return None
-        *means, low, high = row.cuts
+        *means, low, high = spots
         return Gaussian((1 / k,) * k, tuple(means), (max(abs(high - low) / k, floor),) * k, floor)
 
     @staticmethod
@@ -70,13 +78,13 @@ class Beta:
 
     @staticmethod
     def start(df: DataFrame, column: str, k: int, most: float = 1e6) -> Beta | None:
-        """Means as for normal laws; the concentration that a deviation of a k-th of the quartiles' spread has."""
-        row = percentiles(df, column, [(c + 0.5) / k for c in range(k)] + [0.25, 0.75]).first()
-        if row is None:
+        """Means as for normal laws; the concentration of a deviation of a k-th of the quartiles' spread, but with a peak."""
+        spots = _spots(df, column, k, Beta.takes)
+        if spots is None:
             return None
-        *means, low, high = row.cuts
+        *means, low, high = spots
         sd = max(abs(high - low) / k, 1e-3)
-        total = [min(max(m * (1 - m) / sd**2 - 1, 0.5), most) for m in means]
+        total = [min(max(m * (1 - m) / sd**2 - 1, 2 / min(m, 1 - m)), most) for m in means]
         return Beta((1 / k,) * k, tuple(m * t for m, t in zip(means, total, strict=True)), tuple((1 - m) * t for m, t in zip(means, total, strict=True)), most)
 
     @staticmethod

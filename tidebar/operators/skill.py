@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.functions.shared import percentiles, value_counts
+from tidebar.functions.shared import percentiles, value_counts, written
 
 
 def mid_ranked(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -93,24 +93,62 @@ def selective(df: DataFrame, key: str, order: str, thresholds: int = 10, mu: str
     return found
 
 
-def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Mean, deviation and percentile interval from blocks resampled with replacement; null under two blocks.
+def picked_blocks(size: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, i, times): how often each draw takes block i, of as many picks as there are blocks (``size``: one row, n).
+
+    A pick is the first 32 bits of an MD5 over seed, draw and pick, so every statistic sees the same draws, in any rerun.
+    """
+    each = size.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    each = each.select("n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pick"))
+    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "pick").cast("binary")), 1, 8), 16, 10).cast("long")
+    return each.groupBy("draw", F.pmod(word, F.col("n")).alias("i")).agg(F.count("*").alias("times"))
+
+
+def joint_bootstrap(
+    df: DataFrame, block: str, group: str, sums: dict[str, Column], stats: dict[str, Column], draws: int = 200, seed: int = 0, level: float = 0.95
+) -> DataFrame:
+    """(group, stat, point, se, low, high, blocks, draws) of each group and, where ``group`` is null, of all rows together.
 
-    Blocks are summed first, so a draw costs as many rows as there are blocks; the picks are hashes, so reruns agree.
+    ``sums`` are additive over rows, ``stats`` expressions over their names.  Blocks are resampled with the same picks for
+    all groups, so ``<stat>_over_pooled``, a group's over that of all rows on the same draw, has an interval of its own.
+    Draws without a finite value are left out; with fewer than half of them finite, or under two blocks, only the point
+    stands.  Rows are summed by block and group first; a draw costs as many rows as there are such sums.
     """
-    sums = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    sums = sums.withColumn("i", F.row_number().over(W.orderBy(block)) - 1)
-    n = sums.agg(F.count("*").alias("n"), (F.sum("s") / F.sum("c")).alias("mean"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    picks = sums.select("i", spread).join(F.broadcast(n))
-    picks = picks.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "i"), F.col("n")).cast("int").alias("i"))
-    means = picks.join(sums, "i").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("m"))
+    names = list(sums)
+    own = df.select(F.col(block).alias("_block"), F.col(group).alias("_group"), *(c.alias(n) for n, c in sums.items()))
+    cells = own.groupBy("_block", "_group").agg(*(F.sum(n).alias(n) for n in names))
+    pooled = cells.groupBy("_block").agg(F.lit(None).cast(own.schema["_group"].dataType).alias("_group"), *(F.sum(n).alias(n) for n in names))
+    cells = cells.where("_group IS NOT NULL").unionByName(pooled)
+    places = value_counts(cells.select("_block").distinct(), "_block").select("_block", F.col("below").alias("i"))
+    cells = written(cells.join(places, "_block").drop("_block"), "cells")
+    size = cells.agg(F.coalesce(F.max("i") + 1, F.lit(0)).alias("n"))
+    drawn = cells.join(picked_blocks(size.where("n > 1"), draws, seed), "i")
+    drawn = drawn.groupBy("draw", "_group").agg(*(F.sum(F.col(n) * F.col("times")).alias(n) for n in names))
+    whole = cells.groupBy(F.lit(-1).alias("draw"), "_group").agg(*(F.sum(n).alias(n) for n in names))
+    both = drawn.unionByName(whole).select("draw", "_group", *(c.cast("double").alias(n) for n, c in stats.items()))
+    of_all = lambda n: F.max(F.when(F.col("_group").isNull(), F.col(n))).over(W.partitionBy("draw"))
+    both = both.withColumns({f"{n}_over_pooled": F.try_divide(F.col(n), of_all(n)) for n in stats})
+    kinds = [k for n in stats for k in (n, f"{n}_over_pooled")]
+    pairs = F.array(*(F.struct(F.lit(k).alias("stat"), F.col(k).alias("x")) for k in kinds))
+    each = both.select("draw", "_group", F.explode(pairs).alias("p")).select("draw", "_group", "p.stat", "p.x")
+    x = F.when(~F.isnan("x") & (F.abs("x") < float("inf")) & (F.col("draw") >= 0), F.col("x"))
     tail = (1 - level) / 2
-    found = means.agg(
-        F.stddev_samp("m").alias("sd"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")
-    )
-    enough = F.col("n") >= 2
-    return found.join(n).select(
-        F.col("n").alias("blocks"), F.when(enough, F.col("mean")).alias("mean"), F.when(enough, F.col("sd")).alias("sd"),
-        F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"),
+    found = each.groupBy("_group", "stat").agg(
+        F.max(F.when(F.col("draw") < 0, F.col("x"))).alias("point"), F.stddev_samp(x).alias("se"), F.percentile(x, F.lit(tail)).alias("low"),
+        F.percentile(x, F.lit(1 - tail)).alias("high"), F.count(x).alias("draws"),
+    )
+    enough = (F.col("draws") * 2 >= draws) & (F.col("n") >= 2) & F.col("point").isNotNull()
+    found = found.join(F.broadcast(size))  # one row
+    return found.select(
+        F.col("_group").alias(group), "stat", "point", *(F.when(enough, F.col(c)).alias(c) for c in ("se", "low", "high")),
+        F.col("n").alias("blocks"), "draws",
     )
+
+
+def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Mean of a value, deviation and percentile interval from blocks resampled with replacement; null under two blocks."""
+    sums = {"s": F.col(value), "c": F.col(value).isNotNull().cast("long")}
+    own = df.withColumn("_all", F.lit(None).cast("int"))
+    found = joint_bootstrap(own, block, "_all", sums, {"mean": F.try_divide(F.col("s"), F.col("c"))}, draws, seed, level).where("stat = 'mean'")
+    enough = F.col("blocks") >= 2
+    return found.select("blocks", F.when(enough, F.col("point")).alias("mean"), F.col("se").alias("sd"), "low", "high")

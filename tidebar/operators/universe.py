@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,20 +98,43 @@ def block_sample(bars: DataFrame, size: int, blocks: int, seed: int = 0) -> Data
 def quotas(counts: DataFrame, total: int) -> DataFrame:
     """(symbol, capacity) with shares of ``total`` in proportion, by largest remainder, ties by symbol."""
     whole = W.partitionBy()
-    share = F.col("capacity") * F.lit(total) / F.sum("capacity").over(whole)
-    found = counts.withColumn("_floor", F.floor(share)).withColumn("_rest", share - F.floor(share))
+    n, share = F.sum("capacity").over(whole), F.col("capacity") * F.lit(total).cast("long")
+    found = counts.withColumn("_rest", share % n).withColumn("_floor", ((share - F.col("_rest")) / n).cast("long"))
     left = F.lit(total) - F.sum("_floor").over(whole)
     nth = F.row_number().over(W.orderBy(F.desc("_rest"), "symbol"))
     return found.withColumn("quota", (F.col("_floor") + F.when(nth <= left, 1).otherwise(0)).cast("long")).drop("_floor", "_rest")
 
 
-def sampled_sessions(spark: SparkSession, first: str, last: str, n: int) -> DataFrame:
-    """``n`` days evenly spaced over a span, weekends rolled back to Friday, each once."""
-    a, b = F.to_date(F.lit(first)), F.to_date(F.lit(last))
-    step = F.datediff(b, a) / F.lit(max(n - 1, 1))
-    days = spark.range(n).select(F.date_add(a, F.floor(F.col("id") * step).cast("int")).alias("day"))
-    back = F.greatest(F.weekday("day") - 4, F.lit(0))
-    return days.select(F.date_sub("day", back).alias("day")).distinct()
+def word(*parts: Column | str) -> Column:
+    """The first 32 bits of an MD5 over the parts, as a long: a seeded draw that any engine gives."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def pinned(counts: DataFrame, total: int, seed: int = 0) -> DataFrame:
+    """(turn, draw, symbol, place): ``total`` windows over symbols of (symbol, capacity), fixed by the seed.
+
+    Symbols get quotas by largest remainder, never above their capacity.  A symbol's picks stand in the middles of as many
+    equal parts of its windows, all moved round by one phase.  In turns each symbol with picks left gives one, in the order
+    of a seeded draw, so any first part is spread over symbols, too: order by (turn, draw, symbol).
+    """
+    some = counts.where("capacity > 0").withColumn("capacity", F.col("capacity").cast("long"))
+    n = some.agg(F.coalesce(F.sum("capacity"), F.lit(0))).first()[0]
+    if not n or total <= 0:
+        return some.select(F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("draw"), "symbol", F.lit(0).cast("long").alias("place")).limit(0)
+    dealt = quotas(some, min(total, n)).where("quota > 0")
+    turns = dealt.select("symbol", "capacity", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("turn"))
+    middle = F.floor((2 * F.col("turn") + 1) * F.col("capacity") / (2 * F.col("quota"))).cast("long")
+    phase = word(F.lit("phase"), F.lit(seed), "symbol") % F.col("capacity")
+    return turns.select("turn", word(F.lit("order"), F.lit(seed), "symbol").alias("draw"), "symbol", ((middle + phase) % F.col("capacity")).alias("place"))
+
+
+def sampled_sessions(days: DataFrame, n: int) -> DataFrame:
+    """``n`` days evenly spaced over the span of ``days`` (day), weekends rolled back to Friday, each once."""
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
+    step = F.datediff("b", "a") / F.lit(max(n - 1, 1))
+    each = span.select("a", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    found = each.select(F.expr("date_add(a, CAST(floor(k * _step) AS INT))").alias("day"))
+    return found.select(F.date_sub("day", F.greatest(F.weekday("day") - 4, F.lit(0))).alias("day")).distinct()
 
 
 def identity_cut(bars: DataFrame, breaks: DataFrame, identities: DataFrame, worst: int = 16, within_ms: int = 20 * 86_400_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import calendar as K
 from tidebar.operators import accounts as A
+from tidebar.operators import evaluate as V
 from tidebar.operators import momentum as M
 from tidebar.operators import quality as Q
 from tidebar.plans import query
@@ -88,33 +89,6 @@ def days_to_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "single_account",
-    f"""WITH RECURSIVE {NUMBERED}, steps AS (
-            SELECT symbol, i, close AS price, lead(close) OVER w AS later, ((i * 7) % 11) / 10.0::DOUBLE AS target
-            FROM numbered WINDOW w AS (PARTITION BY symbol ORDER BY i)
-        ), walk AS (
-            SELECT symbol, -1::BIGINT AS i, 10000.0::DOUBLE AS money, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS before, 0.0::DOUBLE AS after
-            FROM (SELECT DISTINCT symbol FROM steps)
-            UNION ALL
-            SELECT symbol, i, m2, s2, traded / assets, assets, m2 + s2 * later FROM (
-                SELECT *, money + CASE WHEN change < 0 THEN traded - traded / price * 0.0035 ELSE -traded - traded / price * 0.0035 END AS m2,
-                       shares + CASE WHEN change < 0 THEN -traded / price ELSE traded / price END AS s2 FROM (
-                    SELECT *, CASE WHEN abs(change) < 0.001 * greatest(wanted, held) THEN 0 WHEN change < 0 THEN least(-change, held)
-                                   WHEN change > 0 THEN change * least(money / (change + change / price * 0.0035), 1) ELSE 0 END AS traded FROM (
-                        SELECT n.symbol, n.i, n.price, n.later, p.money, p.shares, p.money + p.shares * n.price AS assets, p.shares * n.price AS held,
-                               least(n.target, 1) * (p.money + p.shares * n.price) AS wanted,
-                               least(n.target, 1) * (p.money + p.shares * n.price) - p.shares * n.price AS change
-                        FROM walk p JOIN steps n ON n.symbol = p.symbol AND n.i = p.i + 1 WHERE n.later IS NOT NULL))))
-        SELECT symbol, i AS step, round(turnover, 6) AS turnover, round(ln(after), 6) AS log_assets, round(ln(after / before) * 20, 6) AS reward FROM walk WHERE i >= 0""",
-)
-def single_account(spark: SparkSession, sf: str) -> DataFrame:
-    own = bars(spark, sf).select("symbol", M.index().cast("long").alias("step"), F.col("close").alias("price"), F.lead("close").over(M.by()).alias("next_price"))
-    target = ((F.col("step") * 7) % 11) / F.lit(10.0)
-    found = A.single_account(own.where("next_price IS NOT NULL").withColumn("target", target))
-    return found.select("symbol", "step", r6("turnover").alias("turnover"), r6(F.ln("assets")).alias("log_assets"), r6("reward").alias("reward"))
-
-
 @query(
     "reward_by_name",
     f"""WITH {PANEL}, book AS (SELECT t, symbol, (exp(realized_r) - 1) / count(*) OVER (PARTITION BY t) AS c FROM panel
@@ -128,24 +102,55 @@ def reward_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("t").cast("long").alias("t"), "symbol", F.round("step_reward", 5).alias("step_reward"), F.round("reward", 5).alias("reward"))
 
 
+BAND = 0.02
+
+
+def banded_sql(band: float) -> str:
+    """legs (t, symbol, trade, held, realized_r, adv, sigma, in_slice, banded) of the signed book, and which are priced."""
+    return f"""{SCORED}, named AS (
+            SELECT t, symbol, signed AS target, realized_r, close * 500 AS adv, CASE WHEN close > 20 THEN abs(realized_r) END AS sigma,
+                   lag(t) OVER o AS before, lead(t) OVER o AS later, row_number() OVER o AS n
+            FROM weighed WINDOW o AS (PARTITION BY symbol ORDER BY t)
+        ), walk AS (
+            SELECT t, symbol, n, target, realized_r, adv, sigma, later, 0.0::DOUBLE AS base, CASE WHEN abs(target) <= {band} THEN 0 ELSE target END AS held FROM named WHERE n = 1
+            UNION ALL
+            SELECT t, symbol, n, target, realized_r, adv, sigma, later, base, CASE WHEN abs(target - base) <= {band} THEN base ELSE target END FROM (
+                SELECT c.*, CASE WHEN c.before = c.t - 1 THEN p.held ELSE 0 END AS base FROM walk p JOIN named c ON c.symbol = p.symbol AND c.n = p.n + 1)
+        ), legs AS (
+            SELECT t, symbol, CASE WHEN abs(target - base) <= {band} THEN 0 ELSE abs(target - base) END AS trade, held, realized_r, adv, sigma, true AS in_slice,
+                   abs(target - base) <= {band} AND target <> base AS banded FROM walk
+            UNION ALL SELECT t + 1, symbol, abs(held), 0, NULL, adv, sigma, false, false FROM walk WHERE (later IS NULL OR later > t + 1) AND t < (SELECT max(t) FROM walk)
+        ), priced AS (
+            SELECT *, trade > 0 AND coalesce(adv > 0 AND NOT isnan(adv) AND adv < 'Infinity'::DOUBLE AND sigma > 0 AND NOT isnan(sigma) AND sigma < 'Infinity'::DOUBLE, false) AS priced FROM legs)"""
+
+
+def legs_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return weighed(spark, sf).withColumns({"adv": F.col("close") * 500, "sigma": F.when(F.col("close") > 20, F.abs("realized_r"))})
+
+
 @query(
     "book_ledger",
-    f"""WITH {SCORED}, held AS (
-            SELECT t, symbol, signed AS w, close * 500 AS adv, CASE WHEN close > 20 THEN abs(realized_r) END AS sigma, lag(t) OVER o AS before, lead(t) OVER o AS later,
-                   lag(signed) OVER o AS w0 FROM weighed WINDOW o AS (PARTITION BY symbol ORDER BY t)
-        ), legs AS (
-            SELECT t, adv, sigma, abs(w - CASE WHEN before = t - 1 THEN w0 ELSE 0 END) AS trade, 0 AS gone FROM held
-            UNION ALL SELECT t + 1, adv, sigma, abs(w), 1 FROM held WHERE (later IS NULL OR later > t + 1) AND t < (SELECT max(t) FROM held)
-        ), priced AS (SELECT *, trade * 0.5::DOUBLE * sigma * sqrt(trade * 1000 / adv) AS impact FROM legs WHERE trade > 0)
-        SELECT t, count(*) AS legs, sum(gone)::BIGINT AS liquidated, count(*) - count(impact) AS unpriced, round(sum(trade), 6) AS turnover,
-               round(sum(trade) * 3 / 10000, 6) AS fixed, round(coalesce(sum(impact), 0), 6) AS impact FROM priced GROUP BY 1""",
+    f"""WITH RECURSIVE {banded_sql(BAND)}
+        SELECT t, count(*) FILTER (in_slice) AS names, count(*) FILTER (trade > 0) AS legs, count(*) FILTER (banded) AS banded, count(*) FILTER (trade > 0 AND NOT in_slice) AS liquidated,
+               count(*) FILTER (trade > 0 AND NOT priced) AS unpriced, round(sum(trade), 6) AS turnover, round(sum(abs(held)), 6) AS exposure,
+               round(coalesce(sum(held * (exp(realized_r) - 1)), 0), 6) AS gross, round(sum(trade) * 3 / 10000, 6) AS fixed,
+               round(coalesce(sum(CASE WHEN priced THEN trade * 0.5::DOUBLE * sigma * sqrt(trade * 1000 / adv) END), 0), 6) AS impact
+        FROM priced GROUP BY 1""",
 )
 def book_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    own = weighed(spark, sf).withColumns({"adv": F.col("close") * 500, "sigma": F.when(F.col("close") > 20, F.abs("realized_r"))})
-    found = A.ledger(own, "signed", 1000.0, 3.0, 0.5)
-    return found.select(
-        F.col("t").cast("long").alias("t"), "legs", F.col("liquidated").cast("long").alias("liquidated"), "unpriced", *(r6(c).alias(c) for c in ("turnover", "fixed", "impact"))
-    )
+    found = A.ledger(legs_panel(spark, sf), "signed", 1000.0, 3.0, 0.5, BAND)
+    return found.select("t", "names", "legs", "banded", "liquidated", "unpriced", *(r6(F.col(c) + 0.0).alias(c) for c in ("turnover", "exposure", "gross", "fixed", "impact")))
+
+
+@query(
+    "book_participation",
+    f"""WITH RECURSIVE {banded_sql(BAND)}, p AS (SELECT trade / adv AS p FROM priced WHERE priced)
+        SELECT (SELECT count(*) FROM p) AS priced, (SELECT count(*) FROM priced WHERE trade > 0 AND NOT priced) AS unpriced,
+               (SELECT round(avg(p), 9) FROM p) AS mean, (SELECT round(list_sort(list(p))[floor((count(*) - 1) * 0.99 + 0.5)::INTEGER + 1], 9) FROM p) AS p99""",
+)
+def book_participation(spark: SparkSession, sf: str) -> DataFrame:
+    found = A.participation(legs_panel(spark, sf), "signed", BAND)
+    return found.select("priced", "unpriced", F.round("mean", 9).alias("mean"), F.round("p99", 9).alias("p99"))
 
 
 @query(
@@ -157,3 +162,16 @@ def last_changes(spark: SparkSession, sf: str) -> DataFrame:
     found = A.last_changes(bars(spark, sf), 50)
     total = F.aggregate("changes", F.lit(0.0), lambda a, x: a + x)
     return found.select("symbol", F.size("changes").cast("long").alias("changes"), r6(total).alias("total"), r6(F.get("changes", F.lit(0))).alias("oldest"))
+
+
+@query(
+    "banded_backtest",
+    f"""WITH RECURSIVE {banded_sql(0.05)}, steps AS (
+            SELECT t, coalesce(sum(held * (exp(realized_r) - 1)), 0) AS gross_r, sum(trade) AS turnover FROM priced GROUP BY 1
+        ), net AS (SELECT *, gross_r - turnover * 5 / 10000 AS net_r FROM steps)
+        SELECT t, round(gross_r, 6) AS gross_r, round(turnover, 6) AS turnover, round(net_r, 6) AS net_r, round(sum(ln(greatest(1 + net_r, 1e-12))) OVER (ORDER BY t), 5) AS log_wealth FROM net""",
+)
+def banded_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """The signed book with a band of 5 % of no trade, at 5 basis points."""
+    found = V.banded_backtest(weighed(spark, sf), "signed", 5.0, 0.05)
+    return found.select("t", *(r6(F.col(c) + 0.0).alias(c) for c in ("gross_r", "turnover", "net_r")), F.round(F.ln("wealth"), 5).alias("log_wealth"))

@@ -93,18 +93,35 @@ def nearest_rational(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sampled_sessions",
-    """WITH d AS (SELECT DATE '2024-01-01' + floor(i * 365 / 36.0::DOUBLE)::INTEGER AS day FROM (SELECT unnest(range(37)) AS i))
+    """WITH span AS (SELECT min(o_orderdate::DATE) AS a, max(o_orderdate::DATE) AS b FROM orders),
+            d AS (SELECT a + floor(i * (b - a) / 36.0::DOUBLE)::INTEGER AS day FROM span, (SELECT unnest(range(37)) AS i))
        SELECT DISTINCT (day - greatest(isodow(day)::INTEGER - 5, 0)) AS day FROM d""",
 )
 def sampled_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return U.sampled_sessions(spark, "2024-01-01", "2024-12-31", 37)
+    """Days spaced evenly over the span of the orders."""
+    return U.sampled_sessions(table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")), 37)
 
 
-@query("first_factor")
+@query(
+    "first_factor",
+    f"""WITH RECURSIVE {PANEL}, stats AS (SELECT symbol, avg(realized_r) AS m, stddev_pop(realized_r) AS sd FROM panel GROUP BY 1 HAVING stddev_pop(realized_r) > 0),
+             z AS MATERIALIZED (SELECT t, symbol, (realized_r - m) / sd AS z FROM panel JOIN stats USING (symbol)),
+             cells AS (SELECT a.symbol AS x, b.symbol AS y, sum(coalesce(p.z * q.z, 0)) AS g FROM stats a CROSS JOIN stats b
+                       LEFT JOIN z p ON p.symbol = a.symbol LEFT JOIN z q ON q.symbol = b.symbol AND q.t = p.t GROUP BY 1, 2),
+             gram AS MATERIALIZED (SELECT list(row ORDER BY x) AS g, list(x ORDER BY x) AS names, count(*) AS n FROM (SELECT x, list(g ORDER BY y) AS row FROM cells GROUP BY 1)),
+             it AS (SELECT 0 AS k, list_transform(names, lambda s: 1 / sqrt(n)) AS v FROM gram
+                    UNION ALL
+                    SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (
+                        SELECT k, list_transform(g, lambda row: list_inner_product(row, v)) AS w FROM it, gram WHERE k < 128)),
+             last AS (SELECT CASE WHEN list_sum(v) < 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM it WHERE k = 128),
+             done AS (SELECT names, v, list_inner_product(v, list_transform(g, lambda row: list_inner_product(row, v))) / (SELECT sum(g) FROM cells WHERE x = y) AS share FROM last, gram)
+        SELECT unnest(names) AS symbol, unnest(list_transform(v, lambda x: round(x, 5))) AS loading, round(share, 6) AS share FROM done""",
+)
 def first_factor(spark: SparkSession, sf: str) -> DataFrame:
     """Loadings of the panel's first factor and its share of the variance."""
     loadings, share = A.first_factor(panel(spark, sf), "realized_r")
-    return spark.createDataFrame(loadings.assign(share=share), "symbol string, loading double, share double")
+    out = spark.createDataFrame(loadings.assign(share=share), "symbol string, loading double, share double")
+    return out.select("symbol", F.round("loading", 5).alias("loading"), r6("share").alias("share"))
 
 
 @query(
@@ -211,12 +228,6 @@ def candle_path(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("symbol", "ts_ms", *(F.round(c, 5).alias(c) for c in ("p_close", "p_low", "p_open", "p_high")))
 
 
-@query("banded_backtest")
-def banded_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    """The signed book with a band of 5 % of no trade, at 5 basis points."""
-    return V.banded_backtest(weighed(spark, sf), "signed", 5.0, 0.05)
-
-
 @query("observation_rows")
 def observation_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Each bar's indicators as one row of an agent's observation."""

@@ -88,6 +88,6 @@ def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
 def beta_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Three Beta laws fitted to where closes fall between low and high."""
     own = bars(spark, sf).where("high > low").select(((F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))).alias("x"))
-    law, path = X.fit(own, "x", X.Beta.start(own.where("x > 0 AND x < 1"), "x", 3), rounds=24)
+    law, path = X.fit(own, "x", X.Beta.start(own, "x", 3), rounds=24)
     rows = [(c, *map(float, r), path[-1]) for c, r in enumerate(law.rows())] if law else []
     return spark.createDataFrame(rows, "component int, weight double, alpha double, beta double, level double")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import prices as P
 from tidebar.operators import costs as C
+from tidebar.operators import horizons as Z
 from tidebar.operators import momentum as M
 from tidebar.operators import panel as N
 from tidebar.operators import reports as R
 from tidebar.operators import skill as S
 from tidebar.operators import support as B
+from tidebar.operators import universe as U
 from tidebar.plans import query
 from tidebar.plans.indicators import BARS, NUMBERED, r6, recursive_sql, shown
 from tidebar.sources.views import DAY, HOUR, bars, bars_sql
@@ -326,11 +328,148 @@ def selective_table(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("k", "held", *(r6(c).alias(c) for c in ("turnover", "edge_bps", "break_even_bps", "hit_rate")))
 
 
-@query("bootstrap_interval")
+DRAWS = 200
+#: From numbered (i from 0) to picks: how often each draw takes each block.
+PICKS = f"""size AS (SELECT max(i) + 1 AS n FROM numbered_blocks),
+        picks AS (SELECT draw, (('0x' || substr(md5('0:' || draw || ':' || pick), 1, 8))::BIGINT % n) AS i, count(*) AS times
+                  FROM (SELECT n, unnest(range(n)) AS pick FROM size WHERE n > 1), range({DRAWS}) AS d(draw) GROUP BY 1, 2)"""
+
+
+@query(
+    "bootstrap_interval",
+    f"""WITH {FORECAST}, numbered_blocks AS (
+            SELECT row_number() OVER (ORDER BY day) - 1 AS i, s, c FROM (SELECT t // 24 AS day, sum(sign(mu) * r) AS s, count(sign(mu) * r) AS c FROM forecast GROUP BY 1)
+        ), {PICKS}, drawn AS (SELECT draw, sum(s * times) / sum(c * times) AS m FROM numbered_blocks JOIN picks USING (i) GROUP BY 1)
+        SELECT (SELECT n FROM size) AS blocks, round((SELECT sum(s) / sum(c) FROM numbered_blocks), 9) AS mean, round(stddev_samp(m), 9) AS sd,
+               round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM drawn""",
+)
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     """Mean return of the signed forecasts with an interval from days resampled with replacement."""
     own = forecast(spark, sf).withColumn("day", F.floor(F.col("t") / 24)).withColumn("pay", F.signum("mu") * F.col("r"))
-    return S.block_bootstrap(own, "day", "pay")
+    found = S.block_bootstrap(own, "day", "pay", DRAWS)
+    return found.select("blocks", *(F.round(c, 9).alias(c) for c in ("mean", "sd", "low", "high")))
+
+
+_EDGES = ("edge_bps", "hit_rate", "round_trip")
+
+
+@query(
+    "decile_edges",
+    f"""WITH {DECILED}, cells AS (
+            SELECT t // 24 AS day, decile, sum(sign(mu) * r) AS pay, sum(abs(sign(mu))) AS held, sum(CASE WHEN sign(mu) * r > 0 THEN 1 ELSE 0 END) AS hits FROM deciled GROUP BY 1, 2
+        ), both_cells AS (
+            SELECT * FROM cells UNION ALL SELECT day, NULL, sum(pay), sum(held), sum(hits) FROM cells GROUP BY 1
+        ), numbered_blocks AS (SELECT dense_rank() OVER (ORDER BY day) - 1 AS i, * FROM both_cells), {PICKS}, totals AS (
+            SELECT draw, decile, sum(pay * times) AS pay, sum(held * times) AS held, sum(hits * times) AS hits FROM numbered_blocks JOIN picks USING (i) GROUP BY 1, 2
+            UNION ALL SELECT -1, decile, sum(pay), sum(held), sum(hits) FROM numbered_blocks GROUP BY 2
+        ), plain AS (
+            SELECT draw, decile, pay / nullif(held, 0) * 10000 AS edge_bps, hits / nullif(held, 0) AS hit_rate, pay / nullif(held, 0) * 10000 / (2 * 5.0::DOUBLE) AS round_trip FROM totals
+        ), pooled AS (SELECT * FROM plain WHERE decile IS NULL), each AS (
+            SELECT p.draw, p.decile, unnest(['edge_bps', 'hit_rate', 'round_trip', 'edge_bps_over_pooled', 'hit_rate_over_pooled', 'round_trip_over_pooled']) AS stat,
+                   unnest([p.edge_bps, p.hit_rate, p.round_trip, p.edge_bps / nullif(q.edge_bps, 0), p.hit_rate / nullif(q.hit_rate, 0), p.round_trip / nullif(q.round_trip, 0)]) AS x
+            FROM plain p JOIN pooled q USING (draw)
+        ), found AS (
+            SELECT decile, stat, max(x) FILTER (draw < 0) AS point, stddev_samp(x) FILTER (draw >= 0) AS se, quantile_cont(x, 0.025) FILTER (draw >= 0) AS low,
+                   quantile_cont(x, 0.975) FILTER (draw >= 0) AS high, count(x) FILTER (draw >= 0) AS draws FROM each GROUP BY 1, 2)
+        SELECT decile::BIGINT AS decile, stat, round(point, 6) AS point, CASE WHEN ok THEN round(se, 6) END AS se, CASE WHEN ok THEN round(low, 6) END AS low,
+               CASE WHEN ok THEN round(high, 6) END AS high, n AS blocks, draws
+        FROM (SELECT *, draws * 2 >= {DRAWS} AND n >= 2 AND point IS NOT NULL AS ok FROM found, size)""",
+)
+def decile_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge, hit rate and edge over a round trip's cost of each decile of forecasts and of all, with joint intervals."""
+    own = deciled(spark, sf).withColumn("day", F.floor(F.col("t") / 24)).withColumn("decile", F.col("decile").cast("long"))
+    pay = F.signum("mu") * F.col("r")
+    sums = {"pay": pay, "held": F.abs(F.signum("mu")), "hits": (pay > 0).cast("double")}
+    edge = F.try_divide(F.col("pay"), F.col("held")) * 10_000
+    stats = {"edge_bps": edge, "hit_rate": F.try_divide(F.col("hits"), F.col("held")), "round_trip": edge / (2 * 5.0)}
+    found = S.joint_bootstrap(own, "day", "decile", sums, stats, DRAWS)
+    return found.select("decile", "stat", *(r6(c).alias(c) for c in ("point", "se", "low", "high")), "blocks", "draws")
+
+
+SIX = 6 * HOUR
+
+
+def _six(spark: SparkSession, sf: str) -> DataFrame:
+    return N.returns(bars(spark, sf, SIX))
+
+
+SIX_PANEL = PANEL.replace(bars_sql(), bars_sql(SIX))
+_COMMON = f"""{SIX_PANEL}, common AS (
+            SELECT * FROM panel WHERE symbol IN (SELECT symbol FROM panel GROUP BY 1 HAVING count(DISTINCT t) = (SELECT count(DISTINCT t) FROM panel)))"""
+
+
+def _pairwise(source: str, key: str) -> str:
+    return f"""moves AS (
+            SELECT {key}, t, symbol, (x - avg(x) OVER s) / nullif(stddev_pop(x) OVER s, 0) AS z, stddev_pop(x) OVER s AS sd FROM {source} WINDOW s AS (PARTITION BY {key}, symbol)
+        ), per_t AS (SELECT {key}, t, sum(z) AS z, count(*) AS n FROM moves WHERE sd > 0 GROUP BY 1, 2
+        ), pairs AS (SELECT {key}, max(n) AS names, CASE WHEN max(n) >= 2 THEN (avg(z * z) - max(n)) / (max(n) * max(n) - max(n)) END AS c FROM per_t GROUP BY 1)"""
+
+
+@query(
+    "horizon_correlation",
+    f"""WITH {_COMMON}, instants AS (SELECT ts_ms, ts_ms - (row_number() OVER (ORDER BY ts_ms) - 1) * {SIX} AS run FROM (SELECT DISTINCT ts_ms FROM common)
+        ), placed AS (SELECT ts_ms, run, (ts_ms - min(ts_ms) OVER r) // {SIX} AS place, count(*) OVER r AS length FROM instants WINDOW r AS (PARTITION BY run)
+        ), ks AS (SELECT unnest([1, 3, 6, 12, 39, 78]) AS horizon
+        ), blocked AS (
+            SELECT horizon, (run, place // horizon) AS t, symbol, sum(realized_r) AS x FROM common JOIN placed USING (ts_ms), ks WHERE place // horizon < length // horizon GROUP BY 1, 2, 3
+        ), counted AS (SELECT horizon, count(DISTINCT t) AS blocks FROM blocked GROUP BY 1), {_pairwise("blocked", "horizon")}
+        SELECT horizon, blocks, coalesce(names, 0) AS names, CASE WHEN blocks >= 2 THEN round(c, 5) END AS mean_correlation FROM counted LEFT JOIN pairs USING (horizon)""",
+)
+def horizon_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """How names move together over 1 to 78 bars of six hours."""
+    return Z.horizon_correlation(_six(spark, sf), "realized_r", SIX).withColumn("mean_correlation", F.round("mean_correlation", 5))
+
+
+@query(
+    "monthly_correlation",
+    f"""WITH {_COMMON}, monthly AS (SELECT year(make_timestamp(ts_ms * 1000)) * 12 + month(make_timestamp(ts_ms * 1000)) - 1 AS month, t, symbol, realized_r AS x FROM common), {_pairwise("monthly", "month")}
+        SELECT month, names, round(c, 5) AS mean_correlation FROM pairs WHERE month IN (SELECT month FROM monthly GROUP BY 1 HAVING count(DISTINCT t) >= 2)""",
+)
+def monthly_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return Z.monthly_correlation(_six(spark, sf), "realized_r").withColumn("mean_correlation", F.round("mean_correlation", 5))
+
+
+GRID, PLACES = 0.25, 16
+
+
+@query(
+    "horizon_laws",
+    f"""WITH {BARS}, r AS (SELECT symbol, greatest(least(round(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts_ms)) / {GRID}), {PLACES}), -{PLACES})::INTEGER AS i FROM bars
+        ), one AS MATERIALIZED (SELECT symbol, i, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY symbol) AS p FROM r WHERE i IS NOT NULL GROUP BY 1, 2
+        ), two AS MATERIALIZED (SELECT a.symbol, a.i + b.i AS i, sum(a.p * b.p) AS p FROM one a JOIN one b ON a.symbol = b.symbol GROUP BY 1, 2
+        ), three AS MATERIALIZED (SELECT a.symbol, a.i + b.i AS i, sum(a.p * b.p) AS p FROM two a JOIN one b ON a.symbol = b.symbol GROUP BY 1, 2
+        ), six AS (SELECT a.symbol, a.i + b.i AS i, sum(a.p * b.p) AS p FROM three a JOIN three b ON a.symbol = b.symbol GROUP BY 1, 2)
+        SELECT symbol, round(sum(p), 9) AS mass, round(sum(p * i * {GRID}), 6) AS mean, round(sum(p * i * i * {GRID * GRID}), 6) AS second,
+               round(sum(CASE WHEN i > 0 THEN p ELSE 0 END), 6) AS rise, round(sum(p * exp(i * {GRID})), 6) AS growth FROM six GROUP BY 1""",
+)
+def horizon_laws(spark: SparkSession, sf: str) -> DataFrame:
+    """The law of the sum of six hourly returns, from each symbol's law of one on a grid."""
+    i = F.greatest(F.least(F.round(M.log_return() / GRID), F.lit(PLACES)), F.lit(-PLACES)).cast("int")
+    own = bars(spark, sf).select("symbol", i.alias("i")).where("i IS NOT NULL").groupBy("symbol", "i").agg(F.count("*").alias("n"))
+    counts = own.groupBy(F.col("symbol").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("n").cast("double")))).alias("n"))
+    pmf = F.transform(F.sequence(F.lit(-PLACES), F.lit(PLACES)), lambda k: F.coalesce(F.col("n")[k], F.lit(0.0)))
+    laws = Z.horizon_laws(counts.select("key", F.lit(-PLACES * GRID).alias("first"), F.lit(GRID).alias("step"), pmf.alias("pmf")), 6)
+    cells = F.transform("pmf", lambda p, k: F.struct(p.alias("p"), (F.col("first") + k * F.col("step")).alias("x")))
+    total = lambda f: F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["p"] * f(c["x"]))
+    rise = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(c["x"] > 1e-9, c["p"]).otherwise(0.0))
+    return laws.select(
+        F.col("key").alias("symbol"), F.round(total(lambda x: F.lit(1.0)), 9).alias("mass"), r6(total(lambda x: x) + 0.0).alias("mean"), r6(total(lambda x: x * x)).alias("second"),
+        r6(rise).alias("rise"), r6(total(F.exp)).alias("growth"),
+    )
+
+
+@query(
+    "pinned_windows",
+    f"""WITH {BARS}, capacity AS (SELECT symbol, count(*) AS capacity FROM bars GROUP BY 1
+        ), shared AS (SELECT *, (capacity * 100) // sum(capacity) OVER () AS fl, (capacity * 100) % sum(capacity) OVER () AS rest FROM capacity
+        ), dealt AS (SELECT symbol, capacity, (fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, symbol) <= 100 - sum(fl) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM shared
+        ), turns AS (SELECT *, unnest(range(quota)) AS turn FROM dealt)
+        SELECT turn, ('0x' || substr(md5('order:0:' || symbol), 1, 8))::BIGINT AS draw, symbol,
+               (((2 * turn + 1) * capacity // (2 * quota)) + ('0x' || substr(md5('phase:0:' || symbol), 1, 8))::BIGINT % capacity) % capacity AS place FROM turns""",
+)
+def pinned_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """100 windows, the same in every run, spread over symbols and their time."""
+    return U.pinned(bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("capacity")), 100)
 
 
 # --- encodings

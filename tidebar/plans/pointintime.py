@@ -94,13 +94,13 @@ def asof_point(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "exact_ts_join",
-    f"""WITH {BARS}, market AS (SELECT ts_ms, count(*) AS ids FROM bars WHERE symbol <> 'view' GROUP BY 1 HAVING count(*) > 2)
-        SELECT symbol, ts_ms, coalesce(ids, 0)::BIGINT AS market_id FROM bars LEFT JOIN market USING (ts_ms) WHERE symbol = 'view'""",
+    f"""WITH {BARS}, {bars_sql(2 * HOUR, name="coarse")}, market AS (SELECT ts_ms, count(*) AS ids FROM coarse GROUP BY 1)
+        SELECT symbol, ts_ms, coalesce(ids, 0)::BIGINT AS market_id FROM bars LEFT JOIN market USING (ts_ms)""",
 )
 def exact_ts_join(spark: SparkSession, sf: str) -> DataFrame:
-    own = bars(spark, sf)
-    market = own.where("symbol <> 'view'").groupBy("ts_ms").agg(F.count("*").alias("ids")).where("ids > 2")
-    return own.where("symbol = 'view'").join(market, "ts_ms", "left").select("symbol", "ts_ms", F.coalesce("ids", F.lit(0)).cast("long").alias("market_id"))
+    """Each hourly bar's market state at its very instant, from bars of two hours: 0 where none begins then."""
+    market = bars(spark, sf, 2 * HOUR).groupBy("ts_ms").agg(F.count("*").alias("ids"))
+    return bars(spark, sf).join(market, "ts_ms", "left").select("symbol", "ts_ms", F.coalesce("ids", F.lit(0)).cast("long").alias("market_id"))
 
 
 @query(
@@ -303,7 +303,7 @@ def truncate_at_seam(spark: SparkSession, sf: str) -> DataFrame:
 
 SAMPLES = """samples AS (
     SELECT l_suppkey AS symbol, l_shipdate::DATE AS session, sum(l_extendedprice) AS dollar_volume FROM lineitem GROUP BY 1, 2
-), refs AS (SELECT s_suppkey AS symbol, s_nationkey < 5 AS delisted FROM supplier WHERE s_suppkey % 10 <> 3)
+), refs AS (SELECT s_suppkey AS symbol, s_nationkey < 5 AS delisted FROM supplier)
 , upper AS (
     SELECT symbol, count(*) AS sessions, min(session) AS first, max(session) AS last,
            list_sort(list(round(dollar_volume, 4)))[(count(*) // 2)::INTEGER + 1] AS median
@@ -318,7 +318,7 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     samples = lines.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("session")).agg(
         F.round(F.sum("l_extendedprice"), 4).alias("dollar_volume")
     )
-    refs = table(spark, sf, "supplier").where("s_suppkey % 10 <> 3")
+    refs = table(spark, sf, "supplier")
     return U.rank_liquidity(samples, refs.select(F.col("s_suppkey").alias("symbol"), (F.col("s_nationkey") < 5).alias("delisted")), 20)
 
 
