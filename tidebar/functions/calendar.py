@@ -108,3 +108,14 @@ def first_friday(day: Column) -> Column:
 def next_day_of_month(day: Column, n: int) -> Column:
     own = F.date_add(F.trunc(day, "month"), n - 1)
     return F.when(own >= day, own).otherwise(F.date_add(F.add_months(F.trunc(day, "month"), 1), n - 1))
+
+
+#: Months and day of the rate decisions and of the product reports.
+RATE_MONTHS, RATE_DAY = (1, 3, 5, 6, 7, 9, 11, 12), 15
+PRODUCT_MONTHS, PRODUCT_DAY = (1, 4, 7, 10), 28
+
+
+def next_yearly(day: Column, months: tuple[int, ...], of_month: int) -> Column:
+    """The first of the yearly dates strictly after the day."""
+    dates = [F.make_date(F.year(day) + F.lit(k), F.lit(m), F.lit(of_month)) for k in (0, 1) for m in months]
+    return F.array_min(F.filter(F.array(*dates), lambda d: d > day))

@@ -118,3 +118,23 @@ def split_like(bars: DataFrame, jump: float = 0.4, within: float = 0.02) -> Data
     alone = ~F.coalesce(F.abs("_next") > jump, F.lit(False)) & ~F.coalesce(F.abs("_before") > jump, F.lit(False))
     hit = nearest_rational(F.exp(-F.col("r")))
     return found.where(extreme & ~reverts & alone).withColumn("ratio", hit).where(F.col("ratio.off") <= within).drop("_next", "_before")
+
+
+def seam_census(bars: DataFrame, extreme: float, quiet_range: float, quiet_volume: float) -> DataFrame:
+    """Bars (symbol, ts_ms, day, r, s, w) that move more than ``extreme``, with what tells a seam from a trade.
+
+    ratio is the simple ratio nearest to exp(r) and off how far, in log; session_open: the bar before is of another day
+    (a first bar opens none); quiet: range and volume stay small for such a move; isolated: neither neighbour is extreme;
+    reverts: the next bar takes more than half of it back.
+    """
+    before, later, day = F.lag("r").over(by()), F.lead("r").over(by()), F.lag("day").over(by())
+    far = lambda c: F.coalesce(F.abs(c) > extreme, F.lit(False))
+    found = bars.withColumns({"_before": before, "_later": later, "_day": day}).where(F.abs("r") > extreme)
+    near = nearest_rational(F.exp("r"))
+    return found.withColumn("_near", near).select(
+        "symbol", "ts_ms", "r", F.col("_near.p").alias("p"), F.col("_near.q").alias("q"), F.col("_near.off").alias("off"),
+        F.coalesce(F.col("_day") != F.col("day"), F.lit(False)).alias("session_open"),
+        ((F.col("s") < quiet_range * F.abs("r")) & (F.abs("w") < quiet_volume)).alias("quiet"),
+        (~far(F.col("_before")) & ~far(F.col("_later"))).alias("isolated"),
+        F.coalesce(F.abs(F.col("r") + F.col("_later")) < 0.5 * F.abs("r"), F.lit(False)).alias("reverts"),
+    )

@@ -146,6 +146,24 @@ def volume_reference(bars: DataFrame, span: int = 20) -> DataFrame:
     return found.withColumn("ema_volume", F.coalesce(F.lag("_after").over(by()), F.col("volume"))).drop("_after")
 
 
+def windowed_reference(bars: DataFrame, length: int, warm: int = 256, span: int = 20) -> DataFrame:
+    """Adds window, i and ema_volume: ``volume_reference`` seeded anew ``warm`` + 1 bars before each window of ``length`` bars.
+
+    A symbol's first bar has no predecessor and is in no window.  A bar is also warm-up to the few windows that begin
+    within the next ``warm`` + 1 bars, so windows are folds of their own, of bounded length, and a long symbol takes many
+    tasks.
+    """
+    i = F.row_number().over(by()) - 1
+    own = bars.withColumn("i", i.cast("long"))
+    first, last = F.greatest(F.floor((F.col("i") - 1) / length), F.lit(0)), F.floor((F.col("i") + warm) / length)
+    each = own.withColumn("window", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    alpha, at = 2 / (span + 1), W.partitionBy("symbol", "window").orderBy("i")
+    each = each.withColumn("_a", F.lit(1 - alpha)).withColumn("_b", F.when(F.lag("i").over(at).isNull(), F.col("volume")).otherwise(F.col("volume") * alpha))
+    found = recurrence(each, ["symbol", "window"], [F.col("i")], {"_after": ("_a", "_b")})
+    found = found.withColumn("ema_volume", F.lag("_after").over(at)).drop("_a", "_b", "_after")
+    return found.where(F.col("i") >= F.col("window") * length + 1)
+
+
 def gae(steps: DataFrame, gamma: float = 0.995, trace: float = 0.95) -> DataFrame:
     """Generalised advantages of (env, t, reward, value, next_value, terminated, truncated), from the last step back.
 

@@ -63,6 +63,23 @@ def with_split(bars: DataFrame, bounds: DataFrame) -> DataFrame:
     return bars.join(F.broadcast(bounds)).withColumn("split", part).drop("b0", "b1")
 
 
+def restricted(bars: DataFrame, least: int, res_ms: int, symbols: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """The bars of ``symbols`` (symbol) that have at least ``least``, with their split.
+
+    Bounds are those of all symbols with enough bars, before the restriction, unless given: a smaller universe is split at
+    the same times.
+    """
+    enough = bars.join(eligible(bars, least).select("symbol"), "symbol", "left_semi")
+    found = split_bounds(enough, res_ms) if bounds is None else bounds
+    return with_split(enough.join(symbols.select("symbol").distinct(), "symbol", "left_semi"), found)
+
+
+def by_liquidity(names: DataFrame, value: str = "adv") -> DataFrame:
+    """``names`` (symbol, value) with rank from 1, least first: one that isn't a finite number comes before all, ties by symbol."""
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return names.withColumn("rank", F.row_number().over(W.orderBy(F.when(finite, F.col(value)).asc_nulls_first(), "symbol")).cast("long"))
+
+
 def fingerprint(bars: DataFrame, res_ms: int, bounds: DataFrame) -> DataFrame:
     """SHA-256 over resolution, bounds and each symbol's length and extent; one line a symbol."""
     lines = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b"))
@@ -131,9 +148,8 @@ def pinned(counts: DataFrame, total: int, seed: int = 0) -> DataFrame:
 def sampled_sessions(days: DataFrame, n: int) -> DataFrame:
     """``n`` days evenly spaced over the span of ``days`` (day), weekends rolled back to Friday, each once."""
     span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
-    step = F.datediff("b", "a") / F.lit(max(n - 1, 1))
-    each = span.select("a", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    found = each.select(F.expr("date_add(a, CAST(floor(k * _step) AS INT))").alias("day"))
+    each = span.select("a", F.datediff("b", "a").alias("_span"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    found = each.select(F.expr(f"date_add(a, CAST(k * _span DIV {max(n - 1, 1)} AS INT))").alias("day"))
     return found.select(F.date_sub("day", F.greatest(F.weekday("day") - 4, F.lit(0))).alias("day")).distinct()
 
 

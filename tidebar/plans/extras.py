@@ -12,7 +12,7 @@ from tidebar.operators import momentum as M
 from tidebar.operators import panel as N
 from tidebar.operators import skill as S
 from tidebar.operators import universe as U
-from tidebar.plans import query
+from tidebar.plans import SQL, query
 from tidebar.plans.indicators import BARS, r6
 from tidebar.plans.markets import DOF, FORECAST, PANEL, dofs, forecast, panel, weighed
 from tidebar.plans.pointintime import BOUNDS, MIDDLE
@@ -228,9 +228,21 @@ def candle_path(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("symbol", "ts_ms", *(F.round(c, 5).alias(c) for c in ("p_close", "p_low", "p_open", "p_high")))
 
 
-@query("observation_rows")
+#: Indicators of an observation, in order: the query that has each, and its scale as SQL.
+_OBSERVED = {
+    "mom_5": ("momentum_returns", "mom_5 * 2"), "mom_60": ("momentum_returns", "mom_60"), "mom_120": ("momentum_returns", "mom_120 / 2"),
+    "mom_accel": ("momentum_acceleration", "mom_accel"), "rsi": ("rsi14", "rsi * 2 - 1"), "trend_strength": ("trend_strength", "trend_strength"),
+    "range_pos": ("stoch_range", "range_pos"), "stoch_k": ("stoch_range", "stoch_k * 2 - 1"), "zscore": ("zscore20", "zscore / 3"), "efficiency": ("efficiency20", "efficiency"),
+}
+_PARTS = dict.fromkeys(q for q, _ in _OBSERVED.values())
+
+
+@query(
+    "observation_rows",
+    "SELECT symbol, ts_ms, " + ", ".join(f"round(({x})::FLOAT::DOUBLE, 5) AS o_{n}" for n, (_, x) in _OBSERVED.items())
+    + " FROM " + " JOIN ".join(f"({SQL[q]}) AS {q}" + (" USING (symbol, ts_ms)" if k else "") for k, q in enumerate(_PARTS)),
+)
 def observation_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Each bar's indicators as one row of an agent's observation."""
-    own = M.momentum(bars(spark, sf))
-    names = ("mom_5", "mom_60", "mom_120", "mom_accel", "rsi", "trend_strength", "range_pos", "stoch_k", "zscore", "efficiency")
-    return own.select("symbol", "ts_ms", V.observation({k: F.col(k) for k in names}).alias("observation"))
+    """Each bar's indicators, to six places, as one row of an agent's observation."""
+    own = M.momentum(bars(spark, sf)).select("symbol", "ts_ms", V.observation({k: r6(k) for k in _OBSERVED}).alias("o"))
+    return own.select("symbol", "ts_ms", *(F.round(F.get("o", F.lit(k)).cast("double"), 5).alias(f"o_{n}") for k, n in enumerate(_OBSERVED)))
