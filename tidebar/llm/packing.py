@@ -4,8 +4,7 @@ A run of documents is one stream of ids.  Windows may be cut at ends of document
 dozen ids of a sentence that is longer).  A cut inside a document is penalised, as is padding; the cheapest chain of
 windows is found with a monotone queue, since a window's cost is a sum of a term of its start and a term of its end,
 and starts leave the front of the queue as they come to lie more than a sequence away.  A window whose length happens
-to be a power of two needs no padding; it is a transition of its own, for a fee, so that short sequences stay rare;
-lengths below ``shortest`` are left to ends of runs.
+to be a power of two needs no padding; it is a transition of its own, for a fee, so that short sequences stay rare.
 
 Only the last window of a run, which no later document can fill, may be cut anywhere, into powers of two, each for the
 fee and the penalty of a cut within a sentence; the programme weighs that against padding it.
@@ -41,25 +40,29 @@ def powers(length: int) -> list[int]:
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
-def short_windows(places: np.ndarray, most: int, least: int) -> dict[int, list[int]]:
-    """For each place, those before it at a distance that is a power of two from ``least`` to below ``most``, by number."""
-    out: dict[int, list[int]] = {}
+def short_windows(places: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """(ends, starts) by number of all pairs of places at a distance that is a power of two below ``most``, ends ascending."""
+    ends, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k in range(most.bit_length()):
-        if least <= 1 << k < most:
+        if 1 << k < most:
             at = np.searchsorted(places, places - (1 << k))
-            for j in np.flatnonzero(places[at] == places - (1 << k)).tolist():
-                out.setdefault(j, []).append(int(at[j]))
-    return out
+            there = np.flatnonzero(places[at] == places - (1 << k))
+            ends.append(there), starts.append(at[there])
+    end, start = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(end, kind="stable")
+    return end[order].tolist(), start[order].tolist()
 
 
-def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int, fee: float, anywhere: float, least: int = 1) -> list[int]:
+def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int, fee: float, anywhere: float) -> list[int]:
     """Places at which windows end, from ``places`` (ascending, the first 0, no two further apart than ``most``).
 
     cost(end) = penalty(end) + the less of most - place(end) + least over starts in reach of (cost(start) +
-    place(start)), and fee + least cost(start) over starts at the distance of a power of two from ``least`` on.  The last window may also
+    place(start)), and fee + least cost(start) over starts at the distance of a power of two.  The last window may also
     be cut into powers of two, for ``fee`` each and ``anywhere`` a cut.
     """
-    short = short_windows(places, most, least)
+    ends, starts = short_windows(places, most)
+    ends.append(-1)
+    nth = 0
     places, penalty = places.tolist(), penalty.tolist()
     cost, came = [0.0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])
@@ -70,10 +73,11 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int, fee: float,
             queue.popleft()
         i = queue[0]
         best = key[i] + most - here
-        if j in short:
-            for s in short[j]:
-                if cost[s] + fee < best:
-                    i, best = s, cost[s] + fee
+        while ends[nth] == j:
+            s = starts[nth]
+            nth += 1
+            if cost[s] + fee < best:
+                i, best = s, cost[s] + fee
         came[j] = i
         cost[j] = best + penalty[j]
         k = key[j] = cost[j] + here
@@ -101,8 +105,8 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int, fee: float,
 class Packer:
     """Packs runs of documents: their ids end to end, where each ends, and where their sentences end."""
 
-    def __init__(self, most: int, inside: float, mid_sentence: float, grid: int, fee: float, least: int = 1):
-        self.most, self.inside, self.mid_sentence, self.grid, self.fee, self.least = most, inside, mid_sentence, grid, fee, least
+    def __init__(self, most: int, inside: float, mid_sentence: float, grid: int, fee: float):
+        self.most, self.inside, self.mid_sentence, self.grid, self.fee = most, inside, mid_sentence, grid, fee
 
     def places(self, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where windows may be cut, and the penalty of each."""
@@ -118,7 +122,7 @@ class Packer:
 
     def windows(self, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> list[int]:
         places, penalty = self.places(doc_ends, sentence_ends)
-        return choose_cuts(places, penalty, self.most, self.fee, self.mid_sentence, self.least)
+        return choose_cuts(places, penalty, self.most, self.fee, self.mid_sentence)
 
 
 def pack_partition(path: str, end_id: int, packer: Packer, run_tokens: int):
@@ -175,15 +179,15 @@ def pack_partition(path: str, end_id: int, packer: Packer, run_tokens: int):
 
 def pack(
     docs: DataFrame, most: int = 4096, end_id: int = 2, path: str | None = None, inside: float = 8.0,
-    mid_sentence: float = 24.0, grid: int = 32, fee: float = 64.0, shortest: int = 1024, run_tokens: int = 3_000_000,
+    mid_sentence: float = 24.0, grid: int = 32, fee: float = 64.0, run_tokens: int = 3_000_000,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
 
     Documents keep the order in which they are stored, so nothing is exchanged; a sequence is filled from one
     partition.  ``inside`` and ``mid_sentence`` are the penalties, in ids of padding, of a cut at the end of a
     sentence within a document and of one within a sentence; ``fee`` is that of a sequence whose length is a lesser
-    power of two, of which those from ``shortest`` on are weighed before the end of a run.
+    power of two.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    work = pack_partition(path or vocabulary_path(), end_id, Packer(most, inside, mid_sentence, grid, fee, shortest), run_tokens)
+    work = pack_partition(path or vocabulary_path(), end_id, Packer(most, inside, mid_sentence, grid, fee), run_tokens)
     return source.mapInArrow(work, _PIECES)
