@@ -119,3 +119,8 @@ def next_yearly(day: Column, months: tuple[int, ...], of_month: int) -> Column:
     """The first of the yearly dates strictly after the day."""
     dates = [F.make_date(F.year(day) + F.lit(k), F.lit(m), F.lit(of_month)) for k in (0, 1) for m in months]
     return F.array_min(F.filter(F.array(*dates), lambda d: d > day))
+
+
+def session_open_ms(day: Column) -> Column:
+    """UTC milliseconds of the day's midnight in New York, across changes of the clock."""
+    return F.unix_millis(F.to_utc_timestamp(day.cast("timestamp_ntz").cast("string"), "America/New_York"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,35 @@ def extremes(tidy: DataFrame, k: int) -> DataFrame:
 def file_name(name: Column) -> Column:
     """Lower case, runs of anything else as one underscore."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_|_$", "")
+
+
+#: The format that ``read_scores`` takes, and no other.
+SCORES_VERSION = 3
+
+
+def write_scores(scores: DataFrame, path: str, version: int = SCORES_VERSION) -> None:
+    """Scores of windows as lines of JSON, each with the format's version; numbers that are not finite keep their names."""
+    if "format_version" in scores.columns:
+        raise ValueError("format_version is the document's own")
+    scores.withColumn("format_version", F.lit(version)).write.json(path)
+
+
+def read_scores(spark: SparkSession, path: str, schema: str, version: int = SCORES_VERSION) -> DataFrame:
+    """What ``write_scores`` wrote, without its version; another version, a line that can't be read, or no line is an error."""
+    found = spark.read.schema(f"{schema}, format_version int").option("mode", "FAILFAST").json(path)
+    rows, low, high, known = found.agg(F.count("*"), F.min("format_version"), F.max("format_version"), F.count("format_version")).first()
+    if not rows:
+        raise ValueError(f"{path} holds no windows")
+    if known < rows or (low, high) != (version, version):
+        raise ValueError(f"{path} has format version {low if low == high else (low, high)}, not {version}")
+    return found.drop("format_version")
+
+
+def newest_with_data(runs: DataFrame) -> DataFrame:
+    """Of runs (name, touched, latest, generations) the one marked latest if it has any, else the newest by (touched, name) that has."""
+    return runs.where("generations > 0").orderBy(F.col("latest").desc_nulls_last(), F.desc_nulls_last("touched"), F.desc("name")).limit(1)
+
+
+def last_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` of lines (nth, line), in their order."""
+    return lines.orderBy(F.desc("nth")).limit(n).orderBy("nth")

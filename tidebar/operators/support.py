@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebar.functions.shared import value_counts, written
+
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins from least to greatest; the last includes its end."""
@@ -39,23 +41,27 @@ def moments(binned: DataFrame, column: str) -> DataFrame:
 def fit_support(df: DataFrame, column: str, mandated: tuple[float, ...], bins: int, least_mass: float = 0.005, most_atoms: int = 8, clip: float = 1e-4) -> DataFrame:
     """Atoms (mandated values, and values with much mass) and equal-mass edges between them: (kind, at, mass).
 
-    Values are counted first, so ranks and masses come from a table of distinct values.
+    Values are counted and sorted by ranges, so no task has all of a continuous column's; the values heavy enough to be
+    atoms, at most 1 / ``least_mass`` of them and the mandated ones, meet in one.
     """
-    counts = df.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    shares = counts.withColumn("mass", F.col("n") / total)
+    own = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("x"))
+    counts = value_counts(own, "x")
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    shares = counts.join(F.broadcast(total)).withColumn("mass", F.col("n") / F.col("_total"))
     must = F.col("x").isin(*mandated) if mandated else F.lit(False)
     nth = F.row_number().over(W.orderBy((~must).cast("int"), F.desc("mass"), "x"))
     heavy = shares.where(must | (F.col("mass") >= least_mass)).withColumn("_k", nth).where(F.col("_k") <= most_atoms)
-    atoms = heavy.select(F.lit("atom").alias("kind"), F.col("x").alias("at"), "mass")
-    rest = shares.join(atoms.select(F.col("at").alias("x")), "x", "left_anti")
-    upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    share = upto / F.sum("n").over(W.partitionBy())
-    ranked = rest.withColumn("_share", share).where((F.col("_share") >= clip) & (F.col("_share") <= 1 - clip))
+    atoms = written(heavy.select("x", "n", "below", "mass"), "atoms")
+    # what stands below a value without the atoms' rows
+    light = F.aggregate("_atoms", F.lit(0).cast("long"), lambda a, v: a + F.when(v["x"] < F.col("x"), v["n"]).otherwise(0))
+    listed = atoms.agg(F.collect_list(F.struct("x", "n")).alias("_atoms"), F.coalesce(F.sum("n"), F.lit(0)).alias("_heavy"))  # one row of bounded size
+    rest = shares.join(F.broadcast(atoms.select("x")), "x", "left_anti").join(F.broadcast(listed))
+    upto = (F.col("below") - light + F.col("n")) / (F.col("_total") - F.col("_heavy"))
+    ranked = rest.withColumn("_share", upto).where((F.col("_share") >= clip) & (F.col("_share") <= 1 - clip))
     free = F.lit(bins) - F.least(F.lit(most_atoms), F.lit(max(len(mandated), 1)))
-    slot = F.floor(F.col("_share") * free)
-    edges = ranked.groupBy(slot.alias("_slot")).agg(F.min("x").alias("at"), F.sum("mass").alias("mass"))
-    return atoms.unionByName(edges.select(F.lit("edge").alias("kind"), "at", "mass"))
+    edges = ranked.groupBy(F.floor(F.col("_share") * free).alias("_slot")).agg(F.min("x").alias("at"), F.sum("mass").alias("mass"))
+    named = atoms.select(F.lit("atom").alias("kind"), F.col("x").alias("at"), "mass")
+    return named.unionByName(edges.select(F.lit("edge").alias("kind"), "at", "mass"))
 
 
 def tail_slopes(df: DataFrame, column: str, ks: tuple[int, ...]) -> DataFrame:

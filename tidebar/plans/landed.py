@@ -11,6 +11,7 @@ from tidebar.functions import prices as P
 from tidebar.functions.shared import shared_dir
 from tidebar.operators import evaluate as V
 from tidebar.operators import factors as A
+from tidebar.operators import momentum as M
 from tidebar.operators import quality as Q
 from tidebar.operators import reports as R
 from tidebar.operators import support as B
@@ -247,3 +248,61 @@ def rollout_report(spark: SparkSession, sf: str) -> DataFrame:
 def fitted_support(spark: SparkSession, sf: str) -> DataFrame:
     found = B.fit_support(table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity").cast("double")), "x", (25.0,), 20)
     return found.select("kind", F.col("at").alias("place"), r6("mass").alias("mass"))
+
+
+def _clock_sql(y: str) -> str:
+    """The offset of New York's midnight in hours: the clock changes at two in the morning, so the day of a change is still as before."""
+    sunday = lambda m, d: f"make_date({y}, {m}, {d}) + ((7 - isodow(make_date({y}, {m}, {d}))) % 7)::INTEGER"
+    return f"""CASE WHEN {y} >= 2007 THEN CASE WHEN day > {sunday(3, 8)} AND day <= {sunday(11, 1)} THEN 4 ELSE 5 END
+                    ELSE CASE WHEN day > {sunday(4, 1)} AND day <= {sunday(10, 25)} THEN 4 ELSE 5 END END"""
+
+
+@query(
+    "grouped_daily",
+    f"""WITH sent AS (
+            SELECT event_type AS symbol, (ts::DATE - INTERVAL 8 YEAR - INTERVAL 200 DAY)::DATE AS day, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+                   last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2
+            UNION ALL SELECT o_orderpriority, o_orderdate::DATE, min(o_totalprice), max(o_totalprice), min(o_totalprice), max(o_totalprice), count(*)::DOUBLE FROM orders GROUP BY 1, 2)
+        SELECT symbol, (epoch_ms(day::TIMESTAMP) + ({_clock_sql("year(day)")}) * 3600000)::BIGINT AS ts_ms, open, high, low, close, volume FROM sent""",
+)
+def grouped_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of orders and of events (moved back some years), stamped at New York's midnight."""
+    at, day = F.struct("ts", "event_id"), F.to_date("ts")
+    shifted = F.date_sub(F.add_months(day, -96), 200)
+    events = table(spark, sf, "events").groupBy(F.col("event_type").alias("T"), shifted.alias("day")).agg(
+        F.min_by("value", at).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", at).alias("c"), F.count("*").cast("double").alias("v")
+    )
+    low, high = F.min("o_totalprice"), F.max("o_totalprice")
+    orders = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("T"), F.to_date("o_orderdate").alias("day")).agg(
+        low.alias("o"), high.alias("h"), low.alias("l"), high.alias("c"), F.count("*").cast("double").alias("v")
+    )
+    return providers.grouped_daily(events.unionByName(orders))
+
+
+@query(
+    "score_documents",
+    f"""WITH {BARS}, r AS (SELECT symbol, ts_ms // {DAY} AS day, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts_ms)) AS r FROM bars)
+        SELECT symbol, day, count(r) AS bars, round(avg(r * r), 9) AS score FROM r GROUP BY 1, 2""",
+)
+def score_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of each symbol's days, written as documents with a version and read again."""
+    own = bars(spark, sf).select("symbol", F.floor(F.col("ts_ms") / DAY).alias("day"), M.log_return().alias("r"))
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    R.write_scores(own.groupBy("symbol", "day").agg(F.count("r").alias("bars"), F.round(F.avg(F.col("r") * F.col("r")), 9).alias("score")), path)
+    return R.read_scores(spark, path, "symbol string, day long, bars long, score double")
+
+
+@query(
+    "newest_run",
+    """WITH runs AS (SELECT o_custkey AS name, max(o_orderdate)::DATE AS touched, max(o_totalprice) = (SELECT max(o_totalprice) FROM orders) AS latest,
+                            count(*) FILTER (o_orderstatus = 'F') AS generations FROM orders GROUP BY 1)
+       SELECT name::VARCHAR AS name, generations FROM runs WHERE generations > 0 ORDER BY latest DESC, touched DESC, name::VARCHAR DESC LIMIT 1""",
+)
+def newest_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as runs: the one with the dearest order is marked latest, finished orders are generations."""
+    orders = table(spark, sf, "orders")
+    dearest = orders.agg(F.max("o_totalprice").alias("_top"))  # one row
+    runs = orders.join(F.broadcast(dearest)).groupBy(F.col("o_custkey").cast("string").alias("name")).agg(
+        F.max("o_orderdate").alias("touched"), F.max(F.col("o_totalprice") == F.col("_top")).alias("latest"), F.count_if(F.col("o_orderstatus") == "F").alias("generations")
+    )
+    return R.newest_with_data(runs).select("name", "generations")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebar.functions.calendar import session_open_ms
+
 _NUMBERS = "array<double>"
 CHART = f"symbol string, timestamp array<long>, open {_NUMBERS}, high {_NUMBERS}, low {_NUMBERS}, close {_NUMBERS}, volume {_NUMBERS}, adjclose {_NUMBERS}"
 
@@ -65,3 +67,17 @@ def check_observations(obs: DataFrame) -> DataFrame:
     if wrong or obs.isEmpty():
         raise ValueError(f"bad series: {wrong[0].series if wrong else 'none'}")
     return obs
+
+
+def grouped_daily(rows: DataFrame) -> DataFrame:
+    """One day's bars of all symbols (T, day, o, h, l, c, v), stamped at their close, as bars stamped at New York's midnight.
+
+    Then ts_ms is a bar's opening instant, from whichever endpoint it came; of bars that a symbol has twice the last by
+    volume stays.
+    """
+    own = rows.select(
+        F.col("T").alias("symbol"), session_open_ms(F.col("day")).alias("ts_ms"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"),
+        F.col("c").alias("close"), F.col("v").alias("volume"),
+    )
+    first = F.row_number().over(W.partitionBy("symbol", "ts_ms").orderBy(F.desc("volume"), "open", "high", "low", "close"))
+    return own.withColumn("_k", first).where("_k = 1").drop("_k")
