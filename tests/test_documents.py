@@ -71,3 +71,59 @@ def test_support_of_a_continuous_column(spark):
     want = sorted(rest[kept & (slot == k)].min() for k in np.unique(slot[kept]))
     assert np.allclose(sorted(r.at for r in found if r.kind == "edge"), want)
     assert B.fit_support(df.limit(0), "x", (0.0,), 16).collect() == []
+
+
+def brute_bins(xs, mandated, bins, least_mass=0.005, most=8, clip=1e-4):
+    xs = sorted(float(np.float32(v)) for v in xs if v is not None and math.isfinite(v))
+    n = len(xs)
+    count = {v: xs.count(v) for v in set(xs)}
+    heavy = sorted((-c, v) for v, c in count.items() if c / n >= least_mass and v not in mandated)
+    atoms = sorted({*mandated, *(v for _, v in heavy[: most - len(mandated)])})
+    low, high = xs[int(clip * (n - 1) + 0.5)], xs[int((1 - clip) * (n - 1) + 0.5)]
+    pins = set(atoms) | ({low} if not atoms or low < atoms[0] else set()) | ({high} if not atoms or high > atoms[-1] else set())
+    pins = sorted(pins)
+    if len(pins) == 1:
+        pins.append(float(np.float32(pins[0] + max(abs(pins[0]), 1) * 1e-3)))
+    parts = [[v for v in xs if a < v < b] for a, b in zip(pins, pins[1:])]
+    share = B.shared_out([len(p) for p in parts], bins - len(atoms))
+    out = []
+    for k, pin in enumerate(pins):
+        if pin in atoms:
+            out.append((pin, pin))
+        if k < len(parts):
+            values, edges, before = sorted(set(parts[k])), [pin], int(pin not in atoms) - 1
+            last = len(values) - 1 - int(pins[k + 1] not in atoms)
+            for j in range(1, share[k]) if parts[k] else ():
+                goal = math.ceil(j / share[k] * len(parts[k]))
+                at = max(next(i for i, v in enumerate(values) if sum(y <= v for y in parts[k]) >= goal), before + 1)
+                if at > last:
+                    break
+                edges.append(values[at])
+                before = at
+            edges = B.widened([*edges, pins[k + 1]], share[k])
+            out += zip(edges, edges[1:])
+    return out
+
+
+@pytest.mark.parametrize("case", ["mixed", "few", "one", "plain", "inside"])
+def test_support_bins(spark, case):
+    rng = np.random.default_rng(6)
+    x = {
+        "mixed": [*np.round(rng.normal(size=400), 2), *np.zeros(30), *np.full(9, 1.25)], "few": [-1.0, 0.0, 0.0, 2.0, 3.0], "one": [2.5] * 4,
+        "plain": list(rng.exponential(size=500)), "inside": [*rng.uniform(0.1, 0.9, 200), 0.5, 0.5, 1.0],
+    }[case]
+    mandated = {"mixed": (0.0,), "inside": (0.0, 0.5, 1.0)}.get(case, ())
+    least = 0.6 if case in ("few", "plain") else 0.01
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),)], "x double").repartition(3)
+    found = B.support_bins(df, "x", mandated, 24, least)
+    assert found == brute_bins(x, mandated, 24, least) and len(found) == 24
+    assert all(a <= b for a, b in found) and all(p[1] == q[0] for p, q in zip(found, found[1:]))
+
+
+def test_support_bins_of_nothing_and_float_places(spark):
+    assert B.support_bins(spark.createDataFrame([(None,)], "x double"), "x", (0.0,)) == []
+    values = [-3e38, -1.5, -1e-45, 0.0, 1e-45, 7.25, 3e38]
+    assert sorted(values, key=B.float_place) == values and all(B.float_at(B.float_place(v)) == np.float32(v) for v in values)
+    assert B.shared_out([10, 0, 10], 8) == [4, 1, 3] or B.shared_out([10, 0, 10], 8) == [3, 1, 4]
+    with pytest.raises(ValueError, match="fewer"):
+        B.shared_out([1, 1], 1)

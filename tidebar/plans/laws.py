@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.functions import special as S
+from tidebar.functions.shared import written
 from tidebar.operators import mixtures as X
 from tidebar.operators import momentum as M
+from tidebar.operators import support as B
 from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
+from tidebar.plans.markets import dofs
 from tidebar.sources.views import bars, table
 
 _EULER = 0.5772156649015329
@@ -91,3 +94,18 @@ def beta_mixture(spark: SparkSession, sf: str) -> DataFrame:
     law, path = X.fit(own, "x", X.Beta.start(own, "x", 3), rounds=24)
     rows = [(c, *map(float, r), path[-1]) for c, r in enumerate(law.rows())] if law else []
     return spark.createDataFrame(rows, "component int, weight double, alpha double, beta double, level double")
+
+
+@query("support_bins")
+def support_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """128 bins of where closes fall between low and high, with atoms at 0, 1/2 and 1, and the bars in each."""
+    own = written(dofs(spark, sf).select(F.col("u").cast("float").cast("double").alias("u")), "places")
+    found = B.support_bins(own, "u", (0.0, 0.5, 1.0))
+    bins = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(found)], "bin int, low double, high double")
+    listed = F.broadcast(bins.agg(F.array_sort(F.collect_list(F.struct("low", "high", "bin"))).alias("bins")))  # one row of 128 bins
+    # an atom has no width and comes before the bin that begins with it
+    here = F.filter("bins", lambda b: F.when(b["low"] == b["high"], b["low"] == F.col("u")).otherwise(b["low"] <= F.col("u")))
+    exact = F.filter(here, lambda b: b["low"] == b["high"])
+    name = F.when(F.size(exact) > 0, F.get(exact, F.lit(0))).otherwise(F.coalesce(F.get(here, F.size(here) - 1), F.get("bins", F.lit(0))))["bin"]
+    counted = own.join(listed).groupBy(name.alias("bin")).agg(F.count("*").alias("bars"))
+    return bins.join(counted, "bin", "left").select("bin", r6("low").alias("low"), r6("high").alias("high"), F.coalesce("bars", F.lit(0)).cast("long").alias("bars"))
