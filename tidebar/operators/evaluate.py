@@ -110,7 +110,7 @@ def observation(columns: dict[str, Column]) -> Column:
 
 
 def banded_backtest(panel: DataFrame, weight: str, cost_bps: float, band: float) -> DataFrame:
-    """(t, gross_r, turnover, net_r, wealth) of a book that trades a name only when its target is more than ``band`` away.
+    """(t, gross_r, turnover, net_r, log_wealth, wealth) of a book that trades a name only when its target is more than ``band`` away.
 
     Names are streams of their own; leavers are sold and charged at the next instant.  Instants, one row each, are summed
     up in one window.
@@ -118,5 +118,5 @@ def banded_backtest(panel: DataFrame, weight: str, cost_bps: float, band: float)
     own = panel.withColumns({"adv": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double")})
     steps = ledger_legs(own, weight, band).groupBy("t").agg(F.coalesce(F.sum(F.col("held") * F.expm1("realized_r")), F.lit(0.0)).alias("gross_r"), F.sum("trade").alias("turnover"))
     steps = steps.withColumn("net_r", F.col("gross_r") - F.col("turnover") * cost_bps / 10_000)
-    wealth = F.exp(F.sum(F.ln(F.greatest(1 + F.col("net_r"), F.lit(1e-12)))).over(W.orderBy("t")))
-    return steps.withColumn("wealth", wealth)
+    log_wealth = F.sum(F.ln(F.greatest(1 + F.col("net_r"), F.lit(1e-12)))).over(W.orderBy("t"))
+    return steps.withColumn("log_wealth", log_wealth).withColumn("wealth", F.exp("log_wealth"))

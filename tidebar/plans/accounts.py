@@ -206,7 +206,7 @@ def last_changes(spark: SparkSession, sf: str) -> DataFrame:
 def banded_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """The signed book with a band of 5 % of no trade, at 5 basis points."""
     found = V.banded_backtest(weighed(spark, sf), "signed", 5.0, 0.05)
-    return found.select("t", *(r6(F.col(c) + 0.0).alias(c) for c in ("gross_r", "turnover", "net_r")), F.round(F.ln("wealth"), 5).alias("log_wealth"))
+    return found.select("t", *(r6(F.col(c) + 0.0).alias(c) for c in ("gross_r", "turnover", "net_r")), F.round("log_wealth", 5).alias("log_wealth"))
 
 
 _METRICS = (

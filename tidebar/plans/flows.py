@@ -92,7 +92,7 @@ def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     own = source.select(
-        F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts")).alias("ts_s"), F.col("value").alias("close")
+        F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts")).alias("ts_s"), F.col("value").alias("close")
     )
     root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     sink = live.buckets(own, HOUR // 1000).writeStream.format("parquet").option("path", f"{root}/bars")

@@ -15,10 +15,11 @@ from tidebar.streaming.sliced import arriving
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 WIDTH, RING = 5 * 86_400, 2
 _SECONDS = "epoch_ms(ts) // 1000"
+_KNOWN = f"event_type IN ({', '.join(repr(s) for s in SYMBOLS)})"
 
 COMMITTED = f"""ticks AS (
         SELECT user_id::VARCHAR AS book, event_type AS symbol, event_id AS seq, ({_SECONDS}) // {WIDTH} AS bucket, value AS close FROM events
-        WHERE value > 0 AND value < 'Infinity'::DOUBLE
+        WHERE value > 0 AND value < 'Infinity'::DOUBLE AND {_KNOWN}
     ), kept AS (
         SELECT * FROM (SELECT *, max(bucket) OVER (PARTITION BY book, symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ticks)
         WHERE top IS NULL OR bucket >= top
@@ -94,9 +95,9 @@ _SHUFFLED = "event_id - event_id % 500 + (event_id % 500) * 77 % 500"
 @query(
     "late_ticks",
     f"""WITH ticks AS (
-            SELECT user_id::VARCHAR AS book, event_type AS symbol, {_SHUFFLED} AS seq, ({_SECONDS}) // {WIDTH} AS bucket, value AS close FROM events
+            SELECT user_id::VARCHAR AS book, event_type AS symbol, {_SHUFFLED} AS seq, ({_SECONDS}) // {WIDTH} AS bucket, value AS close, {_KNOWN} AS known FROM events
         ), priced AS (
-            SELECT *, coalesce(close > 0 AND close < 'Infinity'::DOUBLE, false) AS ok FROM ticks
+            SELECT *, coalesce(known AND close > 0 AND close < 'Infinity'::DOUBLE, false) AS ok FROM ticks
         ), topped AS (
             SELECT *, max(CASE WHEN ok THEN bucket END) OVER (PARTITION BY book, symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM priced
         )
