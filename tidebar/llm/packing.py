@@ -17,6 +17,7 @@ and ``text`` are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -40,17 +41,20 @@ def powers(length: int) -> list[int]:
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
-def short_windows(places: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """(ends, starts) by number of all pairs of places at a distance that is a power of two below ``most``, ends ascending."""
-    ends, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def short_windows(places: np.ndarray, most: int) -> tuple[array, array]:
+    """(ends, starts) by number of all pairs of places at a distance that is a power of two below ``most``, ends ascending.
+
+    There are several pairs a place, so they are held in four bytes each.
+    """
+    ends, starts = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     for k in range(most.bit_length()):
         if 1 << k < most:
             at = np.searchsorted(places, places - (1 << k))
             there = np.flatnonzero(places[at] == places - (1 << k))
-            ends.append(there), starts.append(at[there])
+            ends.append(there.astype(np.int32)), starts.append(at[there].astype(np.int32))
     end, start = np.concatenate(ends), np.concatenate(starts)
     order = np.argsort(end, kind="stable")
-    return end[order].tolist(), start[order].tolist()
+    return array("i", end[order].tobytes()), array("i", start[order].tobytes())
 
 
 def choose_cuts(places: np.ndarray, penalty: np.ndarray, most: int, fee: float, anywhere: float) -> list[int]:
