@@ -14,7 +14,7 @@ from tidebar.operators import skill as S
 from tidebar.operators import universe as U
 from tidebar.plans import SQL, query
 from tidebar.plans.indicators import BARS, r6
-from tidebar.plans.markets import DOF, FORECAST, PANEL, dofs, forecast, panel, weighed
+from tidebar.plans.markets import DOF, FORECAST, PANEL, dofs, forecast, panel
 from tidebar.plans.pointintime import BOUNDS, MIDDLE
 from tidebar.sources.views import DAY, HOUR, bars, table
 

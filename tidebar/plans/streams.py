@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.functions.shared import shared_dir
 from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
 from tidebar.sources.views import bars, table
