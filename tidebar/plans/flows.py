@@ -17,7 +17,7 @@ from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
 from tidebar.plans.markets import PANEL, panel
 from tidebar.sources import packed, providers
-from tidebar.sources.views import DAY, HOUR, bars, bars_sql, table, ticks
+from tidebar.sources.views import DAY, HOUR, bars, bars_sql, epoch_s, epoch_us, table, ticks
 from tidebar.streaming import live
 
 _F32 = ", ".join(f"{c}::FLOAT::DOUBLE AS {c}" for c in ("open", "high", "low", "close", "volume"))
@@ -92,7 +92,7 @@ def streamed_bars(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     own = source.select(
-        F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts")).alias("ts_s"), F.col("value").alias("close")
+        F.col("event_type").alias("symbol"), epoch_us(F.col("ts")).alias("seq"), F.col("event_id").alias("tie"), epoch_s(F.col("ts")).alias("ts_s"), F.col("value").alias("close")
     )
     root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     sink = live.buckets(own, HOUR // 1000).writeStream.format("parquet").option("path", f"{root}/bars")

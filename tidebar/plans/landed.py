@@ -20,7 +20,7 @@ from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
 from tidebar.plans.pointintime import MIDDLE
 from tidebar.sources import packed, providers
-from tidebar.sources.views import DAY, HOUR, bars, bars_sql, epoch_ms, resample, table
+from tidebar.sources.views import DAY, HOUR, arrival, bars, bars_sql, epoch_ms, epoch_s, resample, table
 from tidebar.streaming import live
 
 USER_DAYS = bars_sql(DAY, "user_id", "days")
@@ -77,7 +77,7 @@ def usable_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Days of all events, those without a price above 0 among them, as far as bars of them can be used."""
     every = table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("symbol"), epoch_ms(F.col("ts")).alias("ts_ms"), F.col("value").alias("price"),
-        F.lit(1.0).alias("size"), F.col("event_id").alias("seq"),
+        F.lit(1.0).alias("size"), arrival(F.col("ts"), F.col("event_id")).alias("seq"),
     )
     return Q.usable(resample(every, DAY), MIDDLE, DAY).select("symbol", "ts_ms", "open", "high", "low", "close")
 
@@ -118,7 +118,7 @@ NOW_S = (MIDDLE + 14 * DAY) // 1000
                        WHEN {NOW_S} - ts_s > 86400 THEN 'stale' ELSE 'ok' END AS state FROM latest""",
 )
 def feed_health(spark: SparkSession, sf: str) -> DataFrame:
-    at = F.floor(epoch_ms(F.col("ts")) / 1000).cast("long")
+    at = epoch_s(F.col("ts"))
     latest = table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("symbol"), at.alias("ts_s"), (at + F.col("event_id") % 5).alias("received_s")
     )

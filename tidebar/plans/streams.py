@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebar.plans import query
 from tidebar.plans.indicators import BARS, r6
-from tidebar.sources.views import bars, table
+from tidebar.sources.views import bars, epoch_s, table
 from tidebar.streaming import books
 from tidebar.streaming.sliced import arriving
 
@@ -36,9 +36,8 @@ COMMITTED = f"""ticks AS (
 
 def event_ticks(spark: SparkSession, sf: str, seq: str = "event_id") -> DataFrame:
     """A book for each user, a symbol for each kind of event; events arrive in the order of ``seq``."""
-    ts_s = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts"))
     own = table(spark, sf, "events")
-    return own.select(F.col("user_id").cast("string").alias("book"), F.col("event_type").alias("symbol"), F.expr(seq).cast("long").alias("seq"), ts_s.alias("ts_s"), F.col("value").alias("close"))
+    return own.select(F.col("user_id").cast("string").alias("book"), F.col("event_type").alias("symbol"), F.expr(seq).cast("long").alias("seq"), epoch_s(F.col("ts")).alias("ts_s"), F.col("value").alias("close"))
 
 
 def streamed_frames(spark: SparkSession, sf: str, seq: str = "event_id") -> DataFrame:

@@ -37,11 +37,15 @@ def fold_ticks(state: tuple | None, ticks: list[tuple[int, float]], width_s: int
 
 
 def buckets(ticks: DataFrame, width_s: int = 300) -> DataFrame:
-    """Ticks (symbol, seq, ts_s, close) to completed buckets, as a stream, folded in the order of arrival, ``seq``."""
+    """Ticks (symbol, seq, ts_s, close) to completed buckets, as a stream, folded in the order of arrival, ``seq``.
+
+    Ticks may have a ``tie`` that orders those of one seq.
+    """
+    order = ["seq", "tie"] if "tie" in ticks.columns else ["seq"]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
         now, out = fold_ticks(now, list(zip(rows["ts_s"].tolist(), rows["close"].tolist(), strict=True)), width_s)
         if now is not None:
             state.update(now)
