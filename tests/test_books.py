@@ -65,6 +65,46 @@ def test_frames_after_a_restart(spark, tmp_path):
     assert sorted(repr(tuple(r)) for r in found) == expected(rows, 60, 2)
 
 
+def test_a_book_takes_one_read_and_one_write_of_state():
+    """Each is a message to the JVM; the ring is touched by batches with a frame alone."""
+    touched = []
+
+    class Held:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def get(self):
+            touched.append(("get", self.name))
+            return self.value
+
+        def update(self, value):
+            touched.append(("update", self.name))
+            self.value = value
+
+        put = update
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Held(name)
+
+        getListState = getValueState  # noqa: N815
+
+    barrier = B.Barrier(tuple(SYMBOLS), 60, 2)
+    barrier.init(Handle())
+    barrier.deltas.value = []
+    rows = [r for r in some_ticks() if r[0] == "x"]
+    found, n = [], 0
+    for k in range(0, len(rows), 10):
+        del touched[:]
+        out = list(barrier.handleInputRows(("x",), iter(rows[k : k + 10]), None))
+        found += out
+        framed = any(r.kind == "frame" for r in out)
+        assert [x for x in touched if x[1] == "book"] == [("get", "book"), ("update", "book")]
+        assert framed or len(touched) == 2
+        n += not framed
+    assert sorted(repr(tuple(r)) for r in found) == expected(rows, 60, 2) and n
+
+
 def test_frames_are_acted_on_once(spark, tmp_path):
     rows = [("x", 1, 10), ("x", 1, 10), ("x", 2, 11), ("y", 1, 5), ("x", 1, 10), ("x", 2, 11), ("x", 4, 13), ("x", 3, 12)]
     root = str(tmp_path)

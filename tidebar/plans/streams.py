@@ -41,7 +41,7 @@ def event_ticks(spark: SparkSession, sf: str, seq: str = "event_id") -> DataFram
 
 
 def streamed_frames(spark: SparkSession, sf: str, seq: str = "event_id") -> DataFrame:
-    stream, root = arriving(event_ticks(spark, sf, seq), "seq", 3)
+    stream, root = arriving(event_ticks(spark, sf, seq), "seq", 3, files=12)
     with books.state_store(spark):
         sink = books.frames(stream, SYMBOLS, WIDTH, RING).writeStream.format("parquet").option("path", f"{root}/out")
         sink.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
@@ -68,7 +68,8 @@ def ring_deltas(spark: SparkSession, sf: str) -> DataFrame:
 @query("acted_once", f"WITH {COMMITTED} SELECT book, sequence, bucket FROM full_buckets")
 def acted_once(spark: SparkSession, sf: str) -> DataFrame:
     """Committed frames delivered again and again, acted on once."""
-    frames = streamed_frames(spark, sf).where("kind = 'frame'").select("book", "sequence", "bucket", "seq").distinct()
+    # a frame has one row for each symbol
+    frames = streamed_frames(spark, sf).where(f"kind = 'frame' AND symbol = '{SYMBOLS[0]}'").select("book", "sequence", "bucket", "seq")
     stream, root = arriving(frames, "seq", 3, again=0.5)
     with books.state_store(spark):
         sink = books.acted_once(stream).writeStream.format("parquet").option("path", f"{root}/out")
