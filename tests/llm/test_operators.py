@@ -530,3 +530,13 @@ def test_sql_agrees(spark):
         cols = sorted(frame.columns)
         want = base.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in frame.select(*cols).collect())
+
+
+def test_texts_are_exchanged_by_key_at_any_size(spark):
+    """Few members were broadcast and many exchanged, so the exchange grew faster than the documents."""
+    source = spark.createDataFrame([(1, b"a", "x"), (2, b"b", "y")], "doc_id long, text_hash binary, text string")
+    members = spark.createDataFrame([(b"a", 1, 7, 7, 0, 0, 0)], "text_hash binary, rep_id long, node long, root long, block long, one long, two long")
+    found = jaccard_join._with_texts(source, members)
+    assert [(r.node, r.text) for r in found.collect()] == [(7, "x")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -188,6 +188,12 @@ def _tile(n: int, threshold: Fraction):
     return run
 
 
+def _with_texts(source: DataFrame, members: DataFrame) -> DataFrame:
+    """Members with their texts, exchanged by key at any size: how many members there are grows with the documents."""
+    own = members.select("text_hash", "rep_id", "node", "root", "block", "one", "two").hint("merge")
+    return source.join(own, (source["text_hash"] == own["text_hash"]) & source["doc_id"].eqNullSafe(own["rep_id"]))
+
+
 def jaccard_join(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_docs: int = 1500,
     block_bytes: int = 32_000_000,
@@ -248,11 +254,7 @@ def jaccard_join(
         tiled_blocks = tiled_blocks.select("node", "block", "tile.one", "tile.two")
         none = {k: F.lit(0).cast("long") for k in ("one", "two", "block")}
         members = members.where("blocks = 1").withColumns(none).unionByName(members.where("blocks > 1").join(tiled_blocks, "node"))
-    texts = source.join(
-        members.select("text_hash", "rep_id", "node", "root", "block", "one", "two"),
-        (source["text_hash"] == members["text_hash"]) & source["doc_id"].eqNullSafe(members["rep_id"]),
-    )
-    tiled = texts.select("root", "one", "two", "block", "node", "text")
+    tiled = _with_texts(source, members).select("root", "one", "two", "block", "node", "text")
     verified = tiled.groupBy("root", "one", "two").applyInArrow(_tile(n, exact), "node long, links long, root long")
     verified = scratch.put(verified, "verified")
     joined = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch, "links")
