@@ -14,7 +14,9 @@ task holds one conversation, or several short ones; an empty table gives an empt
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidebar.llm.common import Scratch, text_or_empty
 from tidebar.llm.encoder import vocabulary_path
@@ -97,14 +100,20 @@ def learnt(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray, span_starts:
     return [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < y]
 
 
+@functools.cache
+def _library(path: str) -> Tokenizer:
+    """One a Python worker, kept over its tasks: what a task's own one took is not given back when it ends."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return library
+
+
 def format_turns(path: str, learn: tuple[str, ...], at_once: int = 64, chars_at_once: int = 1_000_000):
     """For mapInArrow over turns sorted by conversation and turn; whole conversations are encoded some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        library = _library(path)
         held: list[tuple] = []
         begun, conv, turns, size, spans = False, None, [], 0, []
 
