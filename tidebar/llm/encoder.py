@@ -4,7 +4,7 @@ A vocabulary with the rules ``_KNOWN`` splits at white space first and encodes e
 ids are the ids of its white-space-bounded segments in order.  Arrow splits a batch of whole texts and numbers its
 distinct segments; each distinct segment is encoded by the tokenizers library and remembered in a bounded table.  The
 result equals encoding each whole text in one call (a test holds them together).  Whole-text calls encode for any
-other vocabulary, and for whoever needs offsets.
+other vocabulary, and for whoever needs spans.
 """
 
 from __future__ import annotations
@@ -15,16 +15,25 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: White space of the vocabulary's rule outside of ASCII; each is one character, as the blank put in its place.
 _WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Characters that NFC leaves as they are beside any of them, and whose lower case is one character; as RE2 has classes.
+_PLAIN = (
+    r"\x{0}-\x{12f}\x{131}-\x{2ff}\x{386}\x{388}-\x{38a}\x{391}-\x{3a1}\x{3a3}-\x{3ce}\x{400}-\x{482}\x{48a}-\x{4ff}\x{5d0}-\x{5ea}"
+    r"\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}\x{2190}-\x{21ff}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30a1}-\x{30ff}"
+    r"\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}\x{ff01}-\x{ff60}"
+)
+#: Whether a byte is none of ASCII's white space.
+_SOLID = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _SIGNS = r"[(\[{\"#$%&*+,\-./:;=>?@!~^_`|\])}]*"
 _WORD = re.compile(rf"({_SIGNS})([^\W\d_]*)({_SIGNS})")
 
@@ -168,15 +177,15 @@ class WholeEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
         self._library, self._most = Tokenizer.from_file(path), most
 
-    def _encoded(self, texts: pa.Array) -> Iterator:
-        held, size = [], 0
+    def _encoded(self, texts: pa.Array, encode: Callable | None = None) -> Iterator:
+        encode, held, size = encode or self._library.encode_batch, [], 0
         for text in texts.to_pylist():
             held.append(text or "")
             size += len(held[-1])
             if size >= self._most:
-                yield from self._library.encode_batch(held, add_special_tokens=False)
+                yield from encode(held, add_special_tokens=False)
                 held, size = [], 0
-        yield from self._library.encode_batch(held, add_special_tokens=False)
+        yield from encode(held, add_special_tokens=False)
 
     def encode_many(self, texts: pa.Array) -> Encoded:
         """Each token stands for a segment: what it ends in says whether a sentence ends there."""
@@ -195,6 +204,69 @@ class WholeEncoder:
         return np.concatenate([np.empty((0, 2), np.int64), *spans]), starts
 
 
+class SpanEncoder(WholeEncoder):
+    """Spans of whole texts' tokens, by arithmetic on their ids where a text allows it.
+
+    Under the rules ``_KNOWN`` a text of ``_PLAIN`` characters is only lowered, each character to one, which Arrow does
+    in place of the library's normalizer.  Of its bytes the pre-tokenizer drops white space alone, so the tokens of the
+    whole text lie end to end on all others, and their lengths say where each begins.  Texts with other characters or
+    with an added token's content, and any that the lengths don't fit, get the library's own offsets.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        super().__init__(path, most)
+        model = self._library.model
+        self._known = by_segments(path) and isinstance(model, BPE) and not (model.unk_token or model.continuing_subword_prefix)
+        if not self._known:
+            return
+        added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._other = "|".join([f"[^{_PLAIN}]", *(f"(?i:{re.escape(t)})" for t in added)])
+        suffix, vocab = model.end_of_word_suffix or "", self._library.get_vocab(with_added_tokens=True)
+        self._lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        self._lengths[list(vocab.values())] = [len(t.removesuffix(suffix)) for t in vocab]
+        # both share the library's model; printable ASCII stands for itself in the byte-level letters
+        self._plain, self._ascii = Tokenizer(model), Tokenizer(model)
+        self._plain.pre_tokenizer = self._library.pre_tokenizer
+        self._ascii.pre_tokenizer = self._library.pre_tokenizer[0]
+
+    def spans_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self._known:
+            return super().spans_many(texts)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        other = pc.match_substring_regex(texts, self._other).to_numpy(zero_copy_only=False)
+        ascii_ = pc.match_substring_regex(texts, r"\A[\t-\r -~]*\z").to_numpy(zero_copy_only=False)
+        lowered = pc.utf8_lower(texts)
+        if not ascii_.all():
+            lowered = pc.replace_substring_regex(lowered, _WIDE_SPACE, " ")
+        ids = [np.empty(0, np.uint32)] * len(texts)
+        for rows, library in ((ascii_ & ~other, self._ascii), (~ascii_ & ~other, self._plain)):
+            at = np.flatnonzero(rows)
+            for k, e in zip(at.tolist(), self._encoded(lowered.take(pa.array(at)), library.encode_batch_fast), strict=True):
+                ids[k] = np.array(e.ids, np.uint32)
+
+        raw, at = flat_bytes(lowered)
+        solid = np.concatenate([[0], np.cumsum(_SOLID[raw])])[at]  # bytes that tokens lie on, before each text
+        begins = np.cumsum([0, *map(len, ids)])
+        ends = np.concatenate([[0], np.cumsum(self._lengths[np.concatenate([np.empty(0, np.uint32), *ids])])])
+        other |= np.diff(ends[begins]) != np.diff(solid)
+        own = ~other
+        counts = np.where(own, np.diff(begins), 0)
+        token = ragged(begins[:-1], counts)
+        moved = np.repeat(solid[:-1] - ends[begins[:-1]], counts)
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        of_solid = chars[1:][_SOLID[raw]]  # characters up to each such byte's own, over all texts
+        before = np.repeat(chars[at[:-1]], counts)
+        spans = np.stack([of_solid[ends[token] + moved] - 1, of_solid[ends[token + 1] + moved - 1]], 1) - before[:, None]
+        if own.all():
+            return spans, begins
+
+        rest, rest_at = super().spans_many(texts.filter(pa.array(other)))
+        starts = np.cumsum(counts) - counts
+        starts[other] = len(spans) + rest_at[:-1]
+        counts[other] = np.diff(rest_at)
+        return np.concatenate([spans, rest])[ragged(starts, counts)], np.cumsum([0, *counts])
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins (one more entry than texts)."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_binary(texts.type) else texts
@@ -218,8 +290,8 @@ def encoder(path: str) -> SegmentEncoder | WholeEncoder:
     return _kept(SegmentEncoder if by_segments(path) else WholeEncoder, path)
 
 
-def whole_encoder(path: str) -> WholeEncoder:
-    return _kept(WholeEncoder, path)
+def span_encoder(path: str) -> SpanEncoder:
+    return _kept(SpanEncoder, path)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

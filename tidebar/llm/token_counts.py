@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import slices
-from tidebar.llm.encoder import flat_bytes, vocabulary_path, whole_encoder
+from tidebar.llm.encoder import flat_bytes, span_encoder, vocabulary_path
 
 RULES = ("first", "last", "most")
 _COUNTS = (
@@ -52,7 +52,7 @@ def count_batches(path: str, marks: bytes, rule: str):
     """For mapInArrow: a row for each document, with the tokens of each of its sections in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = whole_encoder(path).spans_many
+        encode = span_encoder(path).spans_many
         for batch in slices(batches, most=2_000_000):
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             raw, at = flat_bytes(texts)
